@@ -59,7 +59,9 @@ def center_and_normalize(df: DataFrame, vector: str = "vector") -> DataFrame:
     """Subtract the mean vector of the table, then scale every row to unit length."""
     dim = vector_dim(df, vector)
     mean = df.agg(F.array(*[F.avg(F.col(vector)[i].cast("double")) for i in range(dim)]).alias("_mean"))
-    centred = df.withColumn(
-        vector, F.zip_with(F.col(vector), mean.scalar(), lambda x, m: x.cast("double") - m)
+    centred = (
+        df.withColumn("_mean", mean.scalar())
+        .withColumn(vector, F.zip_with(F.col(vector), F.col("_mean"), lambda x, m: x.cast("double") - m))
+        .drop("_mean")
     )
     return centred.withColumn(vector, F.transform(vector, lambda x: x / norm(vector)))

@@ -59,4 +59,5 @@ def replicate(df: DataFrame, n: int, alias: str = "copy") -> DataFrame:
 
 def symmetrize(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Edges in both directions."""
-    return edges.unionByName(edges.withColumnsRenamed({src: dst, dst: src}).select(*edges.columns))
+    swapped = {src: F.col(dst).alias(src), dst: F.col(src).alias(dst)}
+    return edges.unionByName(edges.select(*[swapped.get(c, F.col(c)) for c in edges.columns]))

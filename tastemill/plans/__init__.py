@@ -1,6 +1,6 @@
 """Queries over the given tables."""
 
-from . import q_events  # noqa: F401
+from . import q_events, q_basics, q_prep, q_metrics  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -223,9 +223,9 @@ def p5_treatment(spark, sf):
 
 @query(
     "l19_cuped",
-    ctes(LOG, I2I, TREATED) + """, cut AS (SELECT (min("timestamp") + max("timestamp")) / 2 AS at FROM log), halves AS (
-  SELECT "user", treatment, coalesce(sum("time") FILTER ("timestamp" >= at), 0) AS after,
-    coalesce(sum("time") FILTER ("timestamp" < at), 0) AS before FROM tlog, cut GROUP BY 1, 2),
+    ctes(LOG, I2I, TREATED) + """, cut AS (SELECT (min("timestamp") + max("timestamp")) / 2 AS cut_at FROM log), halves AS (
+  SELECT "user", treatment, coalesce(sum("time") FILTER ("timestamp" >= cut_at), 0) AS after,
+    coalesce(sum("time") FILTER ("timestamp" < cut_at), 0) AS before FROM tlog, cut GROUP BY 1, 2),
 fit AS (SELECT covar_samp(after, before) / var_samp(before) AS theta, avg(before) AS mean FROM halves)
 SELECT treatment, count(*) AS n, round(avg(after - theta * (before - mean)), 6) AS mean,
   round(var_samp(after - theta * (before - mean)), 6) AS var FROM halves, fit GROUP BY 1""",
@@ -251,9 +251,9 @@ def l19_cuped(spark, sf):
 
 @query(
     "l19_diff_in_diff",
-    ctes(LOG, I2I, TREATED) + """, cut AS (SELECT (min("timestamp") + max("timestamp")) / 2 AS at FROM log), halves AS (
-  SELECT "user", treatment, coalesce(sum("time") FILTER ("timestamp" >= at), 0)
-    - coalesce(sum("time") FILTER ("timestamp" < at), 0) AS change FROM tlog, cut GROUP BY 1, 2)
+    ctes(LOG, I2I, TREATED) + """, cut AS (SELECT (min("timestamp") + max("timestamp")) / 2 AS cut_at FROM log), halves AS (
+  SELECT "user", treatment, coalesce(sum("time") FILTER ("timestamp" >= cut_at), 0)
+    - coalesce(sum("time") FILTER ("timestamp" < cut_at), 0) AS change FROM tlog, cut GROUP BY 1, 2)
 SELECT treatment, 'change' AS metric, count(*) AS n, round(avg(change), 6) AS mean, round(var_samp(change), 6) AS var
 FROM halves GROUP BY 1""",
 )
