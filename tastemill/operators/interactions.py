@@ -125,25 +125,34 @@ def sample_negatives(
         .join(index, alias)
         .select(user, "_at")
     )
-    # the j-th seen position s_j pushes every rank >= s_j - j up by one; runs of seen items share one such value
-    numbered = known.withColumn("_j", F.row_number().over(Window.partitionBy(user).orderBy("_at")) - 1)
-    marks = (
-        numbered.groupBy(user, (F.col("_at") - F.col("_j")).alias("_t"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .groupBy(user, F.floor(F.col("_t") / RANK_SLICE).alias("_slice"))
-        .agg(F.collect_list(F.struct("_t", "_c")).alias("_marks"), F.sum("_c").alias("_pushed"))
-    )
     free = known.groupBy(user).agg(F.count(F.lit(1)).alias("_seen"))
     ranks = (
         draws.join(free, user, "left")
         .withColumn("_free", size - F.coalesce("_seen", F.lit(0)))
         .where(F.col("_free") > 0)
         .withColumn("_rank", uniform_index(F.col("_free"), *keys, "draw", seed=seed))
-        .select(*df.columns, "draw", "_rank", F.floor(F.col("_rank") / RANK_SLICE).alias("_slice"))
+        .select(*df.columns, "draw", "_rank")
+    )
+    return nth_unseen(ranks, known, user).join(index, "_at").drop("_at")
+
+
+def nth_unseen(ranks: DataFrame, known: DataFrame, user: str = "user") -> DataFrame:
+    """Turn ``_rank`` (0-based, counted among the positions the user has not seen) into the position ``_at``.
+
+    The j-th seen position s_j pushes every rank >= s_j - j up by one; runs of seen positions share one such value.
+    ``known`` has distinct (user, _at) rows.
+    """
+    numbered = known.withColumn("_j", F.row_number().over(Window.partitionBy(user).orderBy("_at")) - 1)
+    marks = (
+        numbered.groupBy(user, (F.col("_at") - F.col("_j")).alias("_t"))
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .groupBy(user, F.floor(F.col("_t") / RANK_SLICE).alias("_slice"))
+        .agg(F.collect_list(F.struct("_t", "_c")).alias("_marks"), F.sum("_c").alias("_pushed"))
     )
+    sliced = ranks.withColumn("_slice", F.floor(F.col("_rank") / RANK_SLICE))
     before = Window.partitionBy(user).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = (
-        ranks.select(user, "_slice")
+        sliced.select(user, "_slice")
         .distinct()
         .join(marks, [user, "_slice"], "full")
         .withColumn("_before", F.coalesce(F.sum("_pushed").over(before), F.lit(0)))
@@ -152,10 +161,10 @@ def sample_negatives(
     inside = F.aggregate(
         F.filter("_marks", lambda m: m["_t"] <= F.col("_rank")), F.lit(0).cast("long"), lambda a, m: a + m["_c"]
     )
-    placed = ranks.join(slices, [user, "_slice"]).withColumn(
+    placed = sliced.join(slices, [user, "_slice"]).withColumn(
         "_at", F.col("_rank") + F.col("_before") + F.coalesce(inside, F.lit(0))
     )
-    return placed.select(*df.columns, "draw", "_at").join(index, "_at").drop("_at")
+    return placed.select(*[c for c in ranks.columns if c != "_rank"], "_at")
 
 
 def eval_negatives(df: DataFrame, items: DataFrame, n: int = 10, seed: int = 1, **names) -> DataFrame:
