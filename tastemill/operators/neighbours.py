@@ -280,5 +280,6 @@ def item_linear(df: DataFrame, neighbours: int = 50, ridge: float = 10.0, user:
         w = np.linalg.solve(g + ridge * np.eye(len(ids)), b)
         return pd.DataFrame({"j": ids, "i": np.full(len(ids), key[0]), "w": w})
 
-    return inner.groupBy("i").cogroup(near.groupBy("i")).applyInPandas(solve, "j long, i long, w double")
+    target = near.select(*[F.col(c).alias(c) for c in ("i", "j", "b")])
+    return inner.groupBy("i").cogroup(target.groupBy("i")).applyInPandas(solve, "j long, i long, w double")
 
