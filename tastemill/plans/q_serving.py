@@ -293,7 +293,7 @@ known AS (SELECT event_id, marked."user", marked.track FROM marked JOIN prof USI
 dom AS (SELECT id AS track, row_number() OVER (ORDER BY id) - 1 AS at_, count(*) OVER () AS n FROM vec JOIN ib ON ib.track = id),
 dr AS (SELECT "user", CAST(floor({uniform_sql('event_id', '"user"', 'track', 'd')} * (SELECT max(n) FROM dom)) AS BIGINT) AS at_ FROM known, range(1, 21) r(d)),
 lab AS (SELECT "user", track, 1 AS label FROM known UNION ALL SELECT "user", dom.track, 0 FROM dr JOIN dom USING (at_))
-SELECT "user", track, label, round(ub, 6) AS user_bias, round(ib, 6) AS item_bias, round(list_dot_product(v, vector::DOUBLE[]), 6) AS product
+SELECT "user", track, lab.label, round(ub, 6) AS user_bias, round(ib, 6) AS item_bias, round(list_dot_product(v, vector::DOUBLE[]), 6) AS product
 FROM lab JOIN prof USING ("user") JOIN vec ON id = track JOIN ib USING (track) JOIN ub USING ("user")""",
 )
 def b1_rows(spark, sf):
