@@ -1,4 +1,4 @@
-"""Hash functions as Column expressions: md5 with salt, seeded murmur3, uniform draws and bucket splits.
+"""Hash functions as Columns: md5 with salt, seeded murmur3, uniform draws and bucket splits.
 
 Every random choice in the package is a hash of the row's own key columns, so the result does not depend on
 partitioning, retries or the number of executors.
@@ -6,10 +6,11 @@ partitioning, retries or the number of executors.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # Fixed values of the public 32-bit murmur3 algorithm.
 C1, C2 = 0xCC9E2D51, 0x1B873593
@@ -21,72 +22,51 @@ def as_column(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.transform(F.array(value), body)[0]
-
+def _murmur3_arrays(texts: pd.Series, seed: int) -> np.ndarray:
+    """murmur3_32 of many strings at once: strings of equal byte length form one byte matrix, hashed column-wise."""
+    data = texts.str.encode("utf-8")
+    sizes = data.str.len().to_numpy()
+    out = np.zeros(len(data), dtype=np.uint64)
+    mask = np.uint64(MASK32)
 
-def _mul32(value: Column, factor: int) -> Column:
-    # 16-bit halves: a full 32x32-bit product can exceed a signed long
-    return _bind(
-        value,
-        lambda v: (
-            v.bitwiseAND(0xFFFF) * F.lit(factor)
-            + F.shiftleft((F.shiftright(v, 16) * F.lit(factor)).bitwiseAND(0xFFFF), 16)
-        ).bitwiseAND(MASK32),
-    )
+    def mul(x, factor):
+        return (x * np.uint64(factor)) & mask
 
+    def rotl(x, bits):
+        return ((x << np.uint64(bits)) | (x >> np.uint64(32 - bits))) & mask
 
-def _rotl32(value: Column, bits: int) -> Column:
-    return _bind(value, lambda v: F.shiftleft(v, bits).bitwiseAND(MASK32).bitwiseOR(F.shiftright(v, 32 - bits)))
+    def scramble(k):
+        return mul(rotl(mul(k, C1), 15), C2)
 
+    def word(columns):
+        return sum(columns[:, i].astype(np.uint64) << np.uint64(8 * i) for i in range(columns.shape[1]))
 
-def _xorshift(value: Column, bits: int) -> Column:
-    return _bind(value, lambda v: v.bitwiseXOR(F.shiftright(v, bits)))
+    for size in np.unique(sizes):
+        where = np.flatnonzero(sizes == size)
+        matrix = np.frombuffer(b"".join(data.iloc[where]), dtype=np.uint8).reshape(len(where), size)
+        h = np.full(len(where), seed & MASK32, dtype=np.uint64)
+        whole = size // 4 * 4
+        for at in range(0, whole, 4):
+            h = (rotl(h ^ scramble(word(matrix[:, at : at + 4])), 13) * np.uint64(5) + np.uint64(ADD)) & mask
+        if size > whole:
+            h ^= scramble(word(matrix[:, whole:]))
+        h ^= np.uint64(size)
+        for shift, factor in ((16, FIN1), (13, FIN2)):
+            h = mul(h ^ (h >> np.uint64(shift)), factor)
+        out[where] = h ^ (h >> np.uint64(16))
+    return out.astype(np.int64)
 
 
-def _scramble(block: Column) -> Column:
-    return _mul32(_rotl32(_mul32(block, C1), 15), C2)
+def murmur3_32(value, seed: int = 0) -> Column:
+    """Unsigned 32-bit murmur3 of the UTF-8 bytes of a string column, as an Arrow function: Spark's own ``hash`` treats
+    the last bytes of a string differently, and the same steps as Column expressions run about fifty times slower."""
 
+    def hashed(texts: pd.Series) -> pd.Series:
+        codes, unique = pd.factorize(texts)
+        hashes = _murmur3_arrays(pd.Series(unique, dtype=object), seed) if len(unique) else np.zeros(0, dtype=np.int64)
+        return pd.Series(np.append(hashes, 0)[codes], dtype="Int64").where(codes >= 0)
 
-def murmur3_32(value, seed: int = 0) -> Column:
-    """Unsigned 32-bit murmur3 of the UTF-8 bytes of a string column."""
-    text = as_column(value).cast("string")
-    digits = F.hex(F.encode(text, "utf-8"))
-    size = F.length(digits) / 2
-    size = size.cast("long")
-
-    def byte(index: Column) -> Column:
-        return F.conv(F.substring(digits, (index * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long")
-
-    def block(start: Column) -> Column:
-        return (
-            byte(start)
-            + F.shiftleft(byte(start + 1), 8)
-            + F.shiftleft(byte(start + 2), 16)
-            + F.shiftleft(byte(start + 3), 24)
-        )
-
-    whole = F.shiftright(size, 2)
-    starts = F.when(whole > 0, F.sequence(F.lit(0).cast("long"), (whole - 1) * 4, F.lit(4).cast("long"))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    body = F.aggregate(
-        starts,
-        F.lit(seed & MASK32).cast("long"),
-        lambda h, at: (_rotl32(h.bitwiseXOR(_scramble(block(at))), 13) * 5 + F.lit(ADD)).bitwiseAND(MASK32),
-    )
-    rest = size.bitwiseAND(3)
-    base = whole * 4
-    zero = F.lit(0).cast("long")
-    tail = (
-        F.when(rest >= 1, byte(base)).otherwise(zero)
-        + F.when(rest >= 2, F.shiftleft(byte(base + 1), 8)).otherwise(zero)
-        + F.when(rest >= 3, F.shiftleft(byte(base + 2), 16)).otherwise(zero)
-    )
-    mixed = body.bitwiseXOR(_scramble(tail)).bitwiseXOR(size)
-    mixed = _xorshift(_mul32(_xorshift(_mul32(_xorshift(mixed, 16), FIN1), 13), FIN2), 16)
-    return F.when(text.isNull(), F.lit(None).cast("long")).otherwise(mixed)
+    return F.pandas_udf(hashed, LongType())(as_column(value).cast("string"))
 
 
 def murmur3_seed(text: str) -> int:

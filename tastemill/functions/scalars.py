@@ -13,7 +13,9 @@ def sigmoid(value) -> Column:
 
 
 def clip(value, low: float, high: float) -> Column:
-    return F.least(F.greatest(as_column(value), F.lit(low)), F.lit(high))
+    bounded = as_column(value)
+    # least and greatest skip NULLs, so a missing value would become a bound
+    return F.when(bounded.isNotNull(), F.least(F.greatest(bounded, F.lit(low)), F.lit(high)))
 
 
 def normalize_text(value) -> Column:

@@ -20,8 +20,7 @@ from ..session import materialize
 from .ordering import normalize_by, top_k_per
 
 BLOCK = 2048  # columns per block
-CHUNK = 200_000  # interactions per row chunk, on average
-ROWS = 4096  # rows scored per group
+CHUNK = 1_500_000  # interactions per row chunk, on average
 SLAB = 2_000_000  # products expanded at a time inside a task
 
 
@@ -80,6 +79,8 @@ def column_products(entries: DataFrame, products: dict[str, tuple[str, str]], ro
 
     schema = "j long, i long, " + ", ".join(f"{n} double" for n in names)
     parts = left.groupBy("_j", "_i", "_u").cogroup(right.groupBy("_j", "_i", "_u")).applyInPandas(multiply, schema)
+    if chunks == 1:  # every pair comes from one group
+        return parts
     return parts.groupBy("j", "i").agg(*[F.sum(n).alias(n) for n in names])
 
 
@@ -98,10 +99,10 @@ def score_by_columns(
 
     Groups are (row chunk, column block); a group holds the chunk's entries and the weights into one block of columns.
     """
-    n_rows = queries.agg(F.count_distinct(row)).first()[0]
-    n_cols = weights.agg(F.count_distinct("i")).first()[0]
-    chunks = max(1, math.ceil(n_rows / ROWS))
-    blocks = max(1, math.ceil(n_cols / (BLOCK // 2)))
+    n_entries = queries.count()
+    n_cols = queries.agg(F.count_distinct(col)).first()[0]
+    chunks = max(1, math.ceil(n_entries / CHUNK))
+    blocks = max(1, math.ceil(n_cols / (BLOCK // 4)))
     own = F.lit(0.0) if minus is None else F.col(minus)
     left = queries.select(
         F.pmod(F.xxhash64(row), F.lit(chunks)).cast("int").alias("_u"),

@@ -189,7 +189,7 @@ def l9_lsh(spark, sf):
 
 @query("l9_minhash_users")
 def l9_minhash(spark, sf):
-    return rt.minhash_neighbours(interactions(spark, sf), 10, hashes=32, bands=32)
+    return rt.minhash_neighbours(interactions(spark, sf), 10, hashes=8, bands=8)
 
 
 @query(
