@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import number_rows, top_n
+from .ordering import number_rows, sum_before, top_n
 
 
 def aggregate_interactions(df: DataFrame, agg: str = "avg", keys: tuple = ("user", "track"), value: str = "time"):
@@ -37,22 +37,9 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> D
 
 
 def _quantiles_of_counts(values: DataFrame, probabilities: list[float]) -> DataFrame:
-    # cumulative counts over the range-sorted distinct values: sizes of ranges first, then offsets
-    numbered = number_rows(values, [], ["value"], "_rn").withColumn("_chunk", F.floor((F.col("_rn") - 1) / 100_000))
-    chunks = numbered.groupBy("_chunk").agg(F.sum("n").alias("_size"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunks.select("_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    running = Window.partitionBy("_chunk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
-    cumulated = (
-        numbered.withColumn("_upto", F.sum("n").over(running))
-        .join(offsets, "_chunk")
-        .select("value", (F.col("_offset") + F.col("_upto")).alias("_upto"), "n")
-    )
+    cumulated = sum_before(values, ["value"], "n", "_upto").withColumn("_upto", F.col("_upto") + F.col("n"))
     total = values.agg(F.sum("n").alias("t")).scalar()
-    found = []
-    for p in probabilities:
-        spot = F.lit(float(p)) * (F.col("_total") - 1)
-        found.append(spot)
+    found = [F.lit(float(p)) * (F.col("_total") - 1) for p in probabilities]
     marked = cumulated.withColumn("_total", total)
     low, high = F.col("_upto") - F.col("n"), F.col("_upto") - 1
     picks = F.array(

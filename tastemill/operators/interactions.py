@@ -114,9 +114,8 @@ def sample_negatives(
         F.col(item).alias(alias), (F.col("_rn") - 1).alias("_at")
     )
     size = index.agg(F.count(F.lit(1)).alias("n")).scalar()
-    draws = replicate(df, n, "draw")
     if not exclude_seen:
-        drawn = draws.withColumn("_size", size).withColumn("_at", uniform_index(F.col("_size"), *keys, "draw", seed=seed))
+        drawn = replicate(df, n, "draw").withColumn("_size", size).withColumn("_at", uniform_index(F.col("_size"), *keys, "draw", seed=seed))
         return drawn.drop("_size").join(index, "_at").drop("_at")
     known = (
         (df if seen is None else seen)
@@ -125,11 +124,14 @@ def sample_negatives(
         .join(index, alias)
         .select(user, "_at")
     )
-    free = known.groupBy(user).agg(F.count(F.lit(1)).alias("_seen"))
-    ranks = (
-        draws.join(free, user, "left")
+    counted = known.groupBy(user).agg(F.count(F.lit(1)).alias("_seen"))
+    open_rows = (
+        df.join(counted, user, "left")
         .withColumn("_free", size - F.coalesce("_seen", F.lit(0)))
         .where(F.col("_free") > 0)
+    )
+    ranks = (
+        replicate(open_rows, n, "draw")
         .withColumn("_rank", uniform_index(F.col("_free"), *keys, "draw", seed=seed))
         .select(*df.columns, "draw", "_rank")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import sum_vectors, vector_dim
-from .ordering import number_rows
+from .ordering import number_rows, sum_before
 
 
 def _hits(recs: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -198,20 +198,13 @@ def precision_ci(per_user: DataFrame, value: str = "precision") -> DataFrame:
 
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Exact ROC AUC by ranks with ties at half weight. Scores are first counted per value; positives below each value
-    come from counts by range-sorted chunk, so no task holds all scores."""
+    come from running counts over the sorted values, so no task holds all scores."""
     levels = df.groupBy(F.col(score).alias("_s")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("_p"), F.sum((F.col(label) == 0).cast("long")).alias("_q")
     )
-    numbered = number_rows(levels, [], ["_s"], "_rn").withColumn("_chunk", F.floor((F.col("_rn") - 1) / 100_000))
-    chunks = numbered.groupBy("_chunk").agg(F.sum("_q").alias("_cq"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunks.select("_chunk", F.coalesce(F.sum("_cq").over(before), F.lit(0)).alias("_below"))
-    inside = Window.partitionBy("_chunk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
-    local = numbered.withColumn("_local", F.coalesce(F.sum("_q").over(inside), F.lit(0)))
-    wins = F.col("_p") * (F.col("_below") + F.col("_local") + F.col("_q") * 0.5)
-    return local.join(offsets, "_chunk").agg(
-        F.try_divide(F.sum(wins), F.sum("_p").cast("double") * F.sum("_q")).alias("auc")
-    )
+    below = sum_before(levels, ["_s"], "_q", "_below")
+    wins = F.col("_p") * (F.col("_below") + F.col("_q") * 0.5)
+    return below.agg(F.try_divide(F.sum(wins), F.sum("_p").cast("double") * F.sum("_q")).alias("auc"))
 
 
 def gini(counts: DataFrame, items: DataFrame | None = None, value: str = "n") -> DataFrame:

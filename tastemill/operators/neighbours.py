@@ -21,6 +21,7 @@ from .ordering import normalize_by, top_k_per
 
 BLOCK = 2048  # columns per block
 CHUNK = 1_500_000  # interactions per row chunk, on average
+SCORE_CHUNK = 4_000_000  # interactions per chunk of scored rows: every chunk gets a copy of the weights
 SLAB = 2_000_000  # products expanded at a time inside a task
 
 
@@ -101,7 +102,7 @@ def score_by_columns(
     """
     n_entries = queries.count()
     n_cols = queries.agg(F.count_distinct(col)).first()[0]
-    chunks = max(1, math.ceil(n_entries / CHUNK))
+    chunks = max(1, math.ceil(n_entries / SCORE_CHUNK))
     blocks = max(1, math.ceil(n_cols / (BLOCK // 4)))
     own = F.lit(0.0) if minus is None else F.col(minus)
     left = queries.select(

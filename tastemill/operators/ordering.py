@@ -73,6 +73,22 @@ def _number_by_sort(df: DataFrame, keys: list[str], order: list, alias: str) ->
     )
 
 
+def sum_before(df: DataFrame, order: list, value: str, alias: str = "before", chunk: int = 1_000_000) -> DataFrame:
+    """Sum of ``value`` over all earlier rows of the whole table: inside chunks of the sorted table, plus the sums of the
+    earlier chunks (one row per chunk)."""
+    numbered = number_rows(df, [], order, "_rn").withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk))
+    chunks = numbered.groupBy("_chunk").agg(F.sum(value).alias("_sum"))
+    earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = chunks.select("_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_chunk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
+    local = numbered.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return (
+        local.join(offsets, "_chunk")
+        .withColumn(alias, F.col("_offset") + F.col("_local"))
+        .drop("_chunk", "_rn", "_local", "_offset")
+    )
+
+
 def top_n(df: DataFrame, order: list, n: int) -> DataFrame:
     """Global sort and head; Spark keeps only n rows per task."""
     return df.orderBy(*order).limit(n)

@@ -33,6 +33,7 @@ def dense(rows):
 def small_blocks(monkeypatch):
     monkeypatch.setattr(nb, "BLOCK", 8)
     monkeypatch.setattr(nb, "CHUNK", 60)
+    monkeypatch.setattr(nb, "SCORE_CHUNK", 90)
     monkeypatch.setattr(nb, "SLAB", 50)
     monkeypatch.setattr(rt, "QUERY_BLOCK", 7)
     monkeypatch.setattr(rt, "ITEM_BLOCK", 5)
