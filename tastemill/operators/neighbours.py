@@ -22,24 +22,45 @@ from .ordering import normalize_by, top_k_per
 BLOCK = 2048  # columns per block
 CHUNK = 1_500_000  # interactions per row chunk, on average
 SCORE_CHUNK = 4_000_000  # interactions per chunk of scored rows: every chunk gets a copy of the weights
+MAX_TASKS = 20_000
 SLAB = 2_000_000  # products expanded at a time inside a task
 
 
+def cogroup_by(left: DataFrame, right: DataFrame, keys: list[str], groups: int):
+    """Cogroup with about one group per task: without a stated number, small inputs are merged into few tasks although
+    their products are large."""
+    parts = min(max(groups, 1), MAX_TASKS)
+    return left.repartition(parts, *keys).groupBy(*keys).cogroup(right.repartition(parts, *keys).groupBy(*keys))
+
+
 def _expand(left_rows, right_rows):
-    """Index pairs (a, b) with left_rows[a] == right_rows[b], slab by slab; ``right_rows`` is sorted."""
+    """All (a, b) with left_rows[a] == right_rows[b], slab by slab, as (slice of a, how often each a occurs, b).
+    ``right_rows`` is sorted."""
     start = np.searchsorted(right_rows, left_rows, "left")
     size = np.searchsorted(right_rows, left_rows, "right") - start
     upto = np.concatenate([[0], np.cumsum(size)])
     at, n = 0, len(left_rows)
     while at < n:
         end = max(at + 1, int(np.searchsorted(upto, upto[at] + SLAB, "right")) - 1)
-        counts = size[at:end]
-        a = np.repeat(np.arange(at, end), counts)
-        offset = np.arange(len(a)) - np.repeat(upto[at:end] - upto[at], counts)
-        yield a, start[a] + offset
+        total = upto[end] - upto[at]
+        b = np.arange(total) + np.repeat(start[at:end] - (upto[at:end] - upto[at]), size[at:end])
+        yield slice(at, end), size[at:end], b
         at = end
 
 
+def top_columns(scores: np.ndarray, k: int):
+    """(row, column) of the k best columns per row, -inf left out, ties to the first column; rows stay in order."""
+    if scores.shape[1] > k:
+        cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
+        rows, columns = np.nonzero((scores >= cut) & (scores > -np.inf))
+    else:
+        rows, columns = np.nonzero(scores > -np.inf)
+    order = np.lexsort((columns, -scores[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
+    return rows[place < k], columns[place < k]
+
+
 def column_products(entries: DataFrame, products: dict[str, tuple[str, str]], row: str = "user", col: str = "track") -> DataFrame:
     """(j, i, name...) for every pair of columns that share a row: name = sum over rows of left_j * right_i.
 
@@ -70,16 +91,16 @@ def column_products(entries: DataFrame, products: dict[str, tuple[str, str]], ro
         met = np.zeros(cells, dtype=bool)
         lv = {c: lp[f"_l_{c}"].to_numpy(dtype=float) for c in lefts}
         rv = {c: rp[f"_r_{c}"].to_numpy(dtype=float) for c in rights}
-        for a, b in _expand(lp["_r"].to_numpy(), rp["_r"].to_numpy()):
-            cell, where = np.unique(j[a] * width + i[b], return_inverse=True)
+        for a, times, b in _expand(lp["_r"].to_numpy(), rp["_r"].to_numpy()):
+            cell, where = np.unique(np.repeat(j[a] * width, times) + i[b], return_inverse=True)
             met[cell] = True
             for n, (x, y) in products.items():
-                sums[n][cell] += np.bincount(where, weights=lv[x][a] * rv[y][b], minlength=len(cell))
+                sums[n][cell] += np.bincount(where, weights=np.repeat(lv[x][a], times) * rv[y][b], minlength=len(cell))
         cell = np.flatnonzero(met)
         return pd.DataFrame({"j": j_ids[cell // width], "i": i_ids[cell % width], **{n: sums[n][cell] for n in names}})
 
     schema = "j long, i long, " + ", ".join(f"{n} double" for n in names)
-    parts = left.groupBy("_j", "_i", "_u").cogroup(right.groupBy("_j", "_i", "_u")).applyInPandas(multiply, schema)
+    parts = cogroup_by(left, right, ["_j", "_i", "_u"], blocks * blocks * chunks).applyInPandas(multiply, schema)
     if chunks == 1:  # every pair comes from one group
         return parts
     return parts.groupBy("j", "i").agg(*[F.sum(n).alias(n) for n in names])
@@ -130,27 +151,26 @@ def score_by_columns(
                 lo, hi = np.searchsorted(r, [first, first + step])
                 size = min(step, len(r_ids) - first)
                 scores = np.zeros(size * width)
-                for a, b in _expand(c[lo:hi], j):
-                    scores += np.bincount(
-                        (r[lo:hi][a] - first) * width + i[b], weights=q[lo:hi][a] * w[b], minlength=size * width
-                    )
+                base = (r[lo:hi] - first) * width
+                for a, times, b in _expand(c[lo:hi], j):
+                    cells = np.repeat(base[a], times) + i[b]
+                    scores += np.bincount(cells, weights=np.repeat(q[lo:hi][a], times) * w[b], minlength=size * width)
                 scores = scores.reshape(size, width)
                 at = np.searchsorted(i_ids, c[lo:hi])
                 known = (at < width) & (i_ids[np.minimum(at, width - 1)] == c[lo:hi])
                 scores[r[lo:hi][known] - first, at[known]] -= mine[lo:hi][known]
                 scores = np.round(scores, digits)
                 ranked = np.where(scores == 0, -np.inf, scores)
-                best = np.argsort(-ranked, axis=1, kind="stable")[:, :k]
-                picked = np.take_along_axis(ranked, best, axis=1)
-                keep = np.isfinite(picked)
-                out["r"].append(np.repeat(r_ids[first : first + size], keep.sum(axis=1)))
-                out["i"].append(i_ids[best[keep]])
-                out["score"].append(picked[keep])
+                line, best = top_columns(ranked, k)
+                out["r"].append(r_ids[first + line])
+                out["i"].append(i_ids[best])
+                out["score"].append(ranked[line, best])
         return pd.DataFrame({n: np.concatenate(v) if v else [] for n, v in out.items()}).astype(
             {"r": "int64", "i": "int64", "score": "float64"}
         )
 
-    parts = left.groupBy("_u", "_i").cogroup(right.groupBy("_u", "_i")).applyInPandas(score, "r long, i long, score double")
+    grouped = cogroup_by(left, right, ["_u", "_i"], chunks * blocks)
+    parts = grouped.applyInPandas(score, "r long, i long, score double")
     ranked = top_k_per(parts, ["r"], [F.col("score").desc(), "i"], k)
     return ranked.select(F.col("r").alias(row), F.col("i").alias(col), "score", "rank")
 
@@ -198,14 +218,15 @@ def neighbour_stats(df: DataFrame, norm: str = "l2", **names) -> DataFrame:
         v_ids, v = np.unique(rp["u"].to_numpy(), return_inverse=True)
         t, x, y = lp["t"].to_numpy(), lp["q"].to_numpy(), rp["q"].to_numpy()
         sums = np.zeros(len(u_ids) * len(v_ids))
-        for a, b in _expand(t, rp["t"].to_numpy()):
-            cell, where = np.unique(u[a] * len(v_ids) + v[b], return_inverse=True)
-            sums[cell] += np.bincount(where, weights=x[a] * y[b], minlength=len(cell))
+        for a, times, b in _expand(t, rp["t"].to_numpy()):
+            cell, where = np.unique(np.repeat(u[a] * len(v_ids), times) + v[b], return_inverse=True)
+            sums[cell] += np.bincount(where, weights=np.repeat(x[a], times) * y[b], minlength=len(cell))
         sims = np.round(sums.reshape(len(u_ids), len(v_ids)), 12)
         sims[u_ids[:, None] == v_ids[None, :]] = 0.0
         return pd.DataFrame({"positive": [int((sims > 0).sum())], "negative": [int((sims < 0).sum())]})
 
-    counts = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(count, "positive long, negative long")
+    grouped = cogroup_by(left, right, ["_a", "_b"], blocks * blocks)
+    counts = grouped.applyInPandas(count, "positive long, negative long")
     return counts.agg(
         (F.sum("positive") / n_users).alias("mean_positive"), (F.sum("negative") / n_users).alias("mean_negative")
     )

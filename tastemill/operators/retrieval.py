@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, dot, scale, sum_vectors, vector_dim
 from ..session import materialize
+from .neighbours import cogroup_by, top_columns
 from .ordering import number_rows, sample_weighted, top_k_per
 
 QUERY_BLOCK = 4096
@@ -61,12 +62,8 @@ def _best(k: int | None, metric: str, digits: int, exclude_self: bool):
                 for line, seen in enumerate(part["seen"]):
                     if seen is not None and len(seen):
                         scores[line, np.searchsorted(ids, np.intersect1d(seen, ids))] = -np.inf
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            picked = np.take_along_axis(scores, order, axis=1)
-            keep = picked > -np.inf
-            out.append(
-                pd.DataFrame({"query": np.repeat(names, keep.sum(axis=1)), "item": ids[order[keep]], "score": picked[keep]})
-            )
+            line, best = top_columns(scores, k or len(ids))
+            out.append(pd.DataFrame({"query": names[line], "item": ids[best], "score": scores[line, best]}))
         return pd.concat(out) if out else empty
 
     return best
@@ -111,9 +108,7 @@ def knn(
             .agg(F.collect_list("item").alias("seen"))
         )
         left = left.join(known, ["id", "_i"], "left").select("_q", "_i", "id", "vector", "seen")
-    parts = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(
-        _best(k, metric, digits, exclude_self), SCHEMA
-    )
+    parts = cogroup_by(left, right, ["_q", "_i"], nq * ni).applyInPandas(_best(k, metric, digits, exclude_self), SCHEMA)
     if k is None:
         return number_rows(parts, ["query"], [F.col("score").desc(), "item"], "rank")
     return top_k_per(parts, ["query"], [F.col("score").desc(), "item"], k)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,29 +121,29 @@ def stream_sessions(events: DataFrame, timeout: str | None = None) -> DataFrame:
             yield frame([(treatment, start, tracks, time, latency, False)], key[0])
             return
         pdf = pd.concat(list(batches)).sort_values(["timestamp", "message", "track"])  # one user, one micro-batch
+        at, times, latencies = (pdf[c].to_numpy() for c in ("timestamp", "time", "latency"))
         last = (pdf["message"] == "last").to_numpy()
-        sid = last.cumsum() - last
-        parts = pdf.groupby(sid).agg(
-            timestamp=("timestamp", "first"), newest=("timestamp", "last"), tracks=("time", "size"), time=("time", "sum"),
-            latency=("latency", "sum"), treatment=("treatment", "first"),
-        )
-        parts["latency"] *= 1000
+        begin = np.flatnonzero(np.r_[True, last[:-1]])
+        starts, tracks = at[begin], np.diff(np.r_[begin, len(pdf)])
+        sums, waits = np.add.reduceat(times, begin), np.add.reduceat(latencies, begin) * 1000
+        arm = pdf["treatment"].iloc[0]
         if state.exists:
-            start, _, tracks, time, latency, treatment = state.get
-            head = parts.index[0]
-            parts.loc[head, "timestamp"] = start
-            parts.loc[head, "tracks"] += tracks
-            parts.loc[head, "time"] += time
-            parts.loc[head, "latency"] += latency
+            start, _, count, time, latency, arm = state.get
+            starts[0] = start
+            tracks[0] += count
+            sums[0] += time
+            waits[0] += latency
             state.remove()
-        closed = parts if last[-1] else parts.iloc[:-1]
+        done = len(begin)
         if not last[-1]:
-            rest = parts.iloc[-1]
-            state.update((int(rest["timestamp"]), int(rest["newest"]), int(rest["tracks"]), float(rest["time"]), float(rest["latency"]), rest["treatment"]))
+            done -= 1
+            state.update((int(starts[-1]), int(at[-1]), int(tracks[-1]), float(sums[-1]), float(waits[-1]), arm))
             if idle is not None:
-                state.setTimeoutTimestamp(max(int(rest["newest"]) + idle, state.getCurrentWatermarkMs() + 1))
-        rows = [(r.treatment, int(r.timestamp), int(r.tracks), float(r.time), float(r.latency), True) for r in closed.itertuples()]
-        yield frame(rows, key[0])
+                state.setTimeoutTimestamp(max(int(at[-1]) + idle, state.getCurrentWatermarkMs() + 1))
+        if done:
+            yield frame(
+                [(arm, int(starts[n]), int(tracks[n]), float(sums[n]), float(waits[n]), True) for n in range(done)], key[0]
+            )
 
     mode = GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.EventTimeTimeout
     columns = ["user", "treatment", "timestamp", "message", "track", "time", "latency"]
