@@ -14,7 +14,6 @@ from ..functions.hashing import uniform, uniform_index
 from ..functions.scalars import sigmoid, weighted_draw_key
 from ..functions.vectors import dot
 from ..session import materialize
-from ..sources.writers import ranked_lists
 from .interactions import nth_unseen
 from .ordering import number_rows, seen_before, top_k_per
 
@@ -95,17 +94,14 @@ def recommend_i2i(
         ),
     )
     anchors = events.select(key, heard.alias("_seen"), F.explode(weighed).alias("_a")).select(key, "_seen", "_a.track", "_a.w")
-    lists = ranked_lists(i2i, "track", "item", "rank", "_items")
-    fresh = F.get(F.filter("_items", lambda x: ~F.array_contains("_seen", x)), F.lit(0))
-    # one row per anchor; the smallest draw that has a fresh candidate wins, and a minimum combines map-side
+    anchors = anchors.withColumn("_draw", weighted_draw_key(uniform(key, "track", seed=seed), F.col("w")))
+    # best = smallest (draw, anchor, list rank); a minimum combines map-side, whatever the list lengths
     best = (
-        anchors.join(lists, "track")
-        .withColumn("_item", fresh)
-        .where(F.col("_item").isNotNull())
-        .withColumn("_draw", weighted_draw_key(uniform(key, "track", seed=seed), F.col("w")))
+        anchors.join(i2i.select("track", "item", "rank"), "track")
+        .where(~F.array_contains("_seen", F.col("item")))
         .groupBy(key)
-        .agg(F.min(F.struct("_draw", "track", "_item")).alias("_b"))
-        .select(key, F.col("_b._item").alias("_item"), F.col("_b.track").alias("anchor"))
+        .agg(F.min(F.struct("_draw", "track", "rank", "item")).alias("_b"))
+        .select(key, F.col("_b.item").alias("_item"), F.col("_b.track").alias("anchor"))
     )
     joined = events.join(best, key, "left")
     return recommend_random(joined, dense, key, seed, "_any").withColumn(alias, F.coalesce("_item", "_any")).drop("_item", "_any")
