@@ -9,7 +9,7 @@ from ..functions.hashing import as_column, murmur3_32, murmur3_seed
 from ..functions.student import t_quantile_column
 
 METRICS = ("time", "sessions", "mean_request_latency", "mean_tracks_per_session", "mean_time_per_session")
-# The experiments of the reference workload and their number of arms.
+# Experiment names (they seed the assignment hash) and their number of arms.
 EXPERIMENTS = {"STICKY_ARTIST": 2, "AA": 2, "I2I": 3, "HSTU": 2}
 
 

@@ -703,12 +703,12 @@ def f4_reconcile(spark, sf):
 
 @query(
     "f5_describe_item",
-    """SELECT p_partkey AS track, 'This is the description of track ''' || p_name || ''' by ''' || p_brand || ''' with genres '
+    """SELECT p_partkey AS track, 'Track ''' || p_name || ''' by ''' || p_brand || ''', genres: '
   || array_to_string([p_type, p_brand], ', ') AS text FROM part""",
 )
 def f5_describe(spark, sf):
     text = tx.describe_item(
-        "This is the description of track '{title}' by '{artist}' with genres {genres}",
+        "Track '{title}' by '{artist}', genres: {genres}",
         title="title", artist="artist", genres=F.array_join(F.array("genre", "artist"), ", "),
     )
     return catalog(spark, sf).select("track", text.alias("text"))
