@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tastemill.llm import html_text, language, quality
 from tastemill.llm.common import table
+from tastemill.llm.jaccard_join import jaccard_components
 from tastemill.llm.token_files import read_tokens, write_tokens
 from tastemill.llm.vptree import vptree_knn
 
@@ -51,3 +52,8 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
