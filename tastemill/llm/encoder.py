@@ -10,6 +10,8 @@ import numpy as np
 #: White space beyond ASCII: texts that hold any of it are encoded in one piece.
 OTHER_SPACE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 LEADING = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: White space that is more than single spaces and line ends; and 0, which marks pieces below.
+MIXED_SPACE = re.compile(rb"[ \n]\n|  |[\x00\t\x0b-\r]")
 #: Pieces longer than this are encoded, not remembered.
 LONGEST = 64
 
@@ -44,7 +46,22 @@ class Encoder:
             return data.split()
         if not data.isascii() and OTHER_SPACE.search(data.decode()):
             return None
-        return LEADING.findall(data)
+        if MIXED_SPACE.search(data):
+            return [self._key(unit) for unit in LEADING.findall(data)]
+        first, *others = data.replace(b"\n", b" \n").split(b" ")
+        return [b"\0" + first, *others] if first else others
+
+    @staticmethod
+    def _key(unit: bytes) -> bytes:
+        """A piece stands for itself with a space before it; with a 0 in front, for what follows; with a line end, as it is."""
+        if unit[:1] == b" " and unit[1:2] not in (b"", b"\0", b"\n"):
+            return unit[1:]
+        return unit if unit[:1] == b"\n" else b"\0" + unit
+
+    def _spelled(self, key: bytes) -> str:
+        if self.split == "dropped":
+            return key.decode()
+        return (key[1:] if key[:1] == b"\0" else key if key[:1] == b"\n" else b" " + key).decode()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         cut = [self._pieces(data) for data in texts]
@@ -55,7 +72,7 @@ class Encoder:
         if len(self.memory) > self.limit:
             self.memory.clear()
         missing = list(seen.difference(self.memory))
-        self.memory.update(zip(missing, self._ids([p.decode() for p in missing]), strict=True))
+        self.memory.update(zip(missing, self._ids([self._spelled(p) for p in missing]), strict=True))
         out = [
             self._ids([data.decode()])[0] if pieces is None else b"".join(map(self.memory.__getitem__, pieces))
             for data, pieces in zip(texts, cut, strict=True)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import html_text, language, quality
+from tastemill.llm import html_text, language, packing, quality
 from tastemill.llm.common import table
 from tastemill.llm.jaccard_join import jaccard_components
 from tastemill.llm.token_files import read_tokens, write_tokens
@@ -57,3 +57,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cut = packing.pieces(table(spark, sf_dir, "documents"), path, "leading", end_id=2, size=1024)
+    return packing.pack(cut, size=1024).drop("row")
