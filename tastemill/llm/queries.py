@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import html_text, language, packing, quality
+from tastemill.llm import decontaminate, html_text, language, packing, quality
 from tastemill.llm.common import table
 from tastemill.llm.jaccard_join import jaccard_components
 from tastemill.llm.token_files import read_tokens, write_tokens
@@ -64,3 +64,30 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     cut = packing.pieces(table(spark, sf_dir, "documents"), path, "leading", end_id=2, size=1024)
     return packing.pack(cut, size=1024).drop("row")
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("doc_key")
+
+
+SQL["op4_decontaminate"] = r"""
+WITH words AS (
+    SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
+           lambda w: w <> '') AS w FROM documents
+    UNION ALL
+    SELECT 'b', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')
+    FROM benchmark
+), shingles AS (
+    SELECT kind, id, unnest(list_distinct(CASE WHEN len(w) >= 5
+           THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+    FROM words
+), sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'b' GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, CAST(any_value(n) AS INTEGER) AS n_item, CAST(count(*) AS INTEGER) AS n_common,
+       count(*) / any_value(n) AS containment
+FROM shingles d JOIN shingles b ON d.s = b.s AND d.kind = 'd' AND b.kind = 'b' JOIN sizes ON sizes.id = b.id
+GROUP BY d.id, b.id
+HAVING count(*) >= ceil(any_value(n) * 0.8 - 1e-9)
+"""
