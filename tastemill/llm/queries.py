@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import decontaminate, html_text, language, packing, quality
+from tastemill.llm import chat, decontaminate, html_text, language, licenses, packing, quality
 from tastemill.llm.common import table
 from tastemill.llm.jaccard_join import jaccard_components
 from tastemill.llm.token_files import read_tokens, write_tokens
@@ -91,3 +91,16 @@ FROM shingles d JOIN shingles b ON d.s = b.s AND d.kind = 'd' AND b.kind = 'b' J
 GROUP BY d.id, b.id
 HAVING count(*) >= ceil(any_value(n) * 0.8 - 1e-9)
 """
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
+SQL["op6_license_scan"] = licenses.comparison_sql()
+
+
+@query
+def op10_chat_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.reply_ordered(table(spark, sf_dir, "conversations"))
