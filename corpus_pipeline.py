@@ -1,12 +1,79 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Every stage takes (spark, docs, sf_dir) and decides over all rows it is given. All but the last return the columns of
+``documents`` unchanged, extra ones included.
+
+* language: rows without a letter, or whose language scores under one half, go.
+* quality: rows predicted as label 0 go.
+* near_duplicates: of rows whose sets of five-word shingles link at 0.8, and of repeated doc_ids, the smallest stays.
+* decontaminate: rows that hold at least 0.8 of a benchmark item's five-word shingles go.
+* packing: the remaining documents as pieces of at most 1024 tokens in sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tastemill.llm import decontaminate as leaks
+from tastemill.llm import language as languages
+from tastemill.llm import packing as sequences
+from tastemill.llm import quality as qualities
+from tastemill.llm.common import is_held_out, table
+from tastemill.llm.jaccard_join import jaccard_components
 from tastemill.session import materialize
 
-STAGES: list = []
+LEAST_SCORE = 0.5
+SEQUENCE = 1024
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """The whole row beside the columns that a model reads, so that no column of the input can clash with its results."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = languages.train(docs.filter(~is_held_out(F.col("doc_id"))))
+    scored = languages.predict(_rows(docs), model)
+    return scored.filter((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    model = qualities.train(docs, labels.filter(~is_held_out(F.col("doc_id"))))
+    return qualities.predict(_rows(docs), model).filter("predicted = 1").select("_row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard_components(docs.select("doc_id", "text"), words=5, percent=80)
+    others = materialize(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    many = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    many = materialize(many, "repeated")
+    once = kept.join(many, "doc_id", "left_anti").select(docs.columns)
+    row = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
+    one = kept.join(many, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(row).select("row.*")
+    return once.unionByName(one)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return leaks.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cut = sequences.pieces(docs, path, "leading", end_id=2, size=SEQUENCE)
+    return sequences.pack(cut, size=SEQUENCE).drop("row")
+
+
+STAGES = [
+    ("language", language),
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
+]
 
 #: Models and tokenizers take part, which SQL cannot express.
 ORACLE_SQL = None

@@ -59,4 +59,4 @@ def contained(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float
 def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` without the rows that contain an item."""
     found = contained(docs, items, size, threshold).select(F.col("doc_key").alias("_found")).distinct()
-    return docs.join(found, row_key("doc_id", "text") == F.col("_found"), "left_anti")
+    return docs.join(found, row_key("doc_id", "text") == found["_found"], "left_anti")
