@@ -88,10 +88,11 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], size: int, tries: int = 400) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], size: int, tries: int = 400, passes: int = 4) -> list[list[int]]:
     """Empty poorly filled bins by moves and swaps; every step raises the sum of squared fills.
 
-    Only underfull bins take part. ``tries`` bounds how many partners, fullest fit first, a piece is offered to in a step.
+    Only underfull bins take part. ``tries`` bounds how many partners, fullest first, a bin is offered to in a step, and
+    ``passes`` how often the bins are gone through, emptiest first, as long as something changes.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(fill) // size)
@@ -142,17 +143,20 @@ def improve(bins: list[list[int]], lengths: list[int], size: int, tries: int = 4
                 return True
         return False
 
-    stuck = 0
-    while count > least and stuck < len(under):
-        low, k = under[stuck]
-        del under[stuck]
-        while bins[k] and step(k):
-            pass
-        if bins[k]:
-            insort(under, (fill[k], k))
-            stuck += 1
-        else:
-            count -= 1
+    for _ in range(passes):
+        stuck, changed = 0, False
+        while count > least and stuck < len(under):
+            _, k = under[stuck]
+            del under[stuck]
+            while bins[k] and step(k):
+                changed = True
+            if bins[k]:
+                insort(under, (fill[k], k))
+                stuck += 1
+            else:
+                count -= 1
+        if not changed:
+            break
     return [b for b in bins if b]
 
 
