@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,3 +66,9 @@ def center_and_normalize(df: DataFrame, vector: str = "vector") -> DataFrame:
         .drop("_mean")
     )
     return centred.withColumn(vector, F.transform(vector, lambda x: x / norm(vector)))
+
+
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; zero rows stay zero."""
+    length = np.linalg.norm(vectors, axis=-1, keepdims=True)
+    return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)

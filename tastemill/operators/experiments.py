@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import as_column, murmur3_32, murmur3_seed
 from ..functions.student import t_quantile_column
 
+# Names of the user metrics.
 METRICS = ("time", "sessions", "mean_request_latency", "mean_tracks_per_session", "mean_time_per_session")
 # Experiment names (they seed the assignment hash) and their number of arms.
 EXPERIMENTS = {"STICKY_ARTIST": 2, "AA": 2, "I2I": 3, "HSTU": 2}
@@ -80,7 +81,7 @@ def ab_effects(stats: DataFrame, alpha: float = 0.05, control: str = "C", key: s
         percent(F.col("_d") + F.col("_half")).alias("upper"),
         "se",
         "dof",
-        ((F.col("_d") + F.col("_half")) * (F.col("_d") - F.col("_half")) > 0).alias("significant"),
+        (F.abs("_d") > F.col("_half")).alias("significant"),
     )
 
 

@@ -52,13 +52,15 @@ def top_columns(scores: np.ndarray, k: int):
     """(row, column) of the k best columns per row, -inf left out, ties to the first column; rows stay in order."""
     if scores.shape[1] > k:
         cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
-        rows, columns = np.nonzero((scores >= cut) & (scores > -np.inf))
+        above = scores > cut
+        # of the columns equal to the k-th best only as many as are needed, first ones first
+        level = (scores == cut) & (cut > -np.inf)
+        level &= level.cumsum(axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)
+        rows, columns = np.nonzero(above | level)
     else:
         rows, columns = np.nonzero(scores > -np.inf)
     order = np.lexsort((columns, -scores[rows, columns], rows))
-    rows, columns = rows[order], columns[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
-    return rows[place < k], columns[place < k]
+    return rows[order], columns[order]
 
 
 def column_products(entries: DataFrame, products: dict[str, tuple[str, str]], row: str = "user", col: str = "track") -> DataFrame:
@@ -117,7 +119,8 @@ def score_by_columns(
     digits: int = 9,
 ) -> DataFrame:
     """Top k columns per row of (queries x weights): score_ui = sum over j of q_uj * w_ji, minus the row's own value in
-    column ``minus``. Zero scores are no candidates; ties go to the smaller id. ``weights`` has (j, i, w).
+    column ``minus``. Every column of ``queries`` is a candidate, one without any weight with score 0, so each row gets k
+    columns where there are as many; ties go to the smaller id. ``weights`` has (j, i, w).
 
     Groups are (row chunk, column block); a group holds the chunk's entries and the weights into one block of columns.
     """
@@ -131,7 +134,9 @@ def score_by_columns(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_i"),
         F.col(row).alias("r"), F.col(col).alias("c"), F.col(value).alias("q"), own.alias("own"),
     )
-    right = weights.select(
+    # a weight of zero makes every column known to its block
+    every = queries.select(F.col(col).alias("j"), F.col(col).alias("i"), F.lit(0.0).alias("w")).distinct()
+    right = weights.select("j", "i", "w").unionByName(every).select(
         F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_u"),
         F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int").alias("_i"), "j", "i", "w",
     )
@@ -159,12 +164,13 @@ def score_by_columns(
                 at = np.searchsorted(i_ids, c[lo:hi])
                 known = (at < width) & (i_ids[np.minimum(at, width - 1)] == c[lo:hi])
                 scores[r[lo:hi][known] - first, at[known]] -= mine[lo:hi][known]
-                scores = np.round(scores, digits)
-                ranked = np.where(scores == 0, -np.inf, scores)
-                line, best = top_columns(ranked, k)
+                scores = np.round(scores, digits) + 0.0
+                if not np.isfinite(scores).all():
+                    raise ValueError("values and weights must be finite numbers")
+                line, best = top_columns(scores, k)
                 out["r"].append(r_ids[first + line])
                 out["i"].append(i_ids[best])
-                out["score"].append(ranked[line, best])
+                out["score"].append(scores[line, best])
         return pd.DataFrame({n: np.concatenate(v) if v else [] for n, v in out.items()}).astype(
             {"r": "int64", "i": "int64", "score": "float64"}
         )

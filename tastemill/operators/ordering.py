@@ -119,10 +119,11 @@ def leave_last_out(df: DataFrame, n: int = 1, user="user", ts="timestamp", ties:
 
 
 def normalize_by(df: DataFrame, key: str, value: str, how: str = "l2", alias: str | None = None) -> DataFrame:
-    """Divide by the key's Euclidean norm ('l2') or subtract the key's mean ('center')."""
+    """Divide by the key's Euclidean norm ('l2'; a norm of zero gives zeros) or subtract the key's mean ('center')."""
     stat = F.sqrt(F.sum(F.col(value) * F.col(value))) if how == "l2" else F.avg(value)
     stats = df.groupBy(key).agg(stat.alias("_stat"))
-    out = F.try_divide(F.col(value), F.col("_stat")) if how == "l2" else F.col(value) - F.col("_stat")
+    unit = F.when(F.col("_stat") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col(value), F.col("_stat")))
+    out = unit if how == "l2" else F.col(value) - F.col("_stat")
     return df.join(stats, key).withColumn(alias or value, out).drop("_stat")
 
 

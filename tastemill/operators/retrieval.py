@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, scale, sum_vectors, vector_dim
+from ..functions.vectors import cosine, dot, scale, sum_vectors, unit_vectors, vector_dim
 from ..session import materialize
 from .neighbours import cogroup_by, top_columns
 from .ordering import number_rows, sample_weighted, top_k_per
@@ -31,8 +31,7 @@ def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
             same += q[:, place][:, None] == v[:, place][None, :]
         return same / q.shape[1]
     if metric == "cosine":
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        q, v = unit_vectors(q), unit_vectors(v)  # a zero vector has cosine 0 with every other
     products = q @ v.T
     if metric == "l2":
         square = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * products
@@ -59,9 +58,12 @@ def _best(k: int | None, metric: str, digits: int, exclude_self: bool):
             if exclude_self:
                 scores[names[:, None] == ids[None, :]] = -np.inf
             if "seen" in part:
-                for line, seen in enumerate(part["seen"]):
-                    if seen is not None and len(seen):
-                        scores[line, np.searchsorted(ids, np.intersect1d(seen, ids))] = -np.inf
+                lists = [s if s is not None else [] for s in part["seen"]]
+                known = np.concatenate([*map(np.asarray, lists), []]).astype(ids.dtype)
+                line = np.repeat(np.arange(len(part)), [len(s) for s in lists])
+                at_item = np.minimum(np.searchsorted(ids, known), len(ids) - 1)
+                there = ids[at_item] == known
+                scores[line[there], at_item[there]] = -np.inf
             line, best = top_columns(scores, k or len(ids))
             out.append(pd.DataFrame({"query": names[line], "item": ids[best], "score": scores[line, best]}))
         return pd.concat(out) if out else empty
@@ -86,6 +88,8 @@ def knn(
     Both tables have (id, vector). ``seen`` (query, item) pairs are left out before the cut, so every list is full when
     enough items remain. Ties go to the smaller item id. ``k=None`` keeps all scores (for small samples).
     """
+    # written once: their rows are counted, then dealt out
+    queries, items = materialize(queries.select("id", "vector"), "queries"), materialize(items.select("id", "vector"), "items")
     nq = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     ni = max(1, math.ceil(items.count() / ITEM_BLOCK))
     # with few blocks, cut the queries finer so that all cores get work
@@ -143,7 +147,7 @@ def mean_vectors(history: DataFrame, items: DataFrame, user: str = "user", item:
 
 def content_nearest(history: DataFrame, items: DataFrame, k: int, unseen: bool = True, metric: str = "cosine") -> DataFrame:
     """Items nearest to the mean vector of the user's history; no training."""
-    users = materialize(mean_vectors(history, items), "profiles")
+    users = mean_vectors(history, items)
     known = history.select(F.col("user").alias("query"), F.col("track").alias("item")) if unseen else None
     found = knn(users, items, k, metric, seen=known)
     return found.select(F.col("query").alias("user"), F.col("item").alias("track"), "score", "rank")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .ordering import HOUR_MS, join_nullsafe, number_rows
 
+#: Order of a user's events with equal timestamps, in columns that every event log has.
+TIES = ("message", "time", "track")
 IS_LAST = "message = 'last'"
 
 
@@ -40,7 +42,7 @@ def sessionize(
     events: DataFrame,
     keys: tuple = ("user", "treatment"),
     order: str = "timestamp",
-    ties: tuple = ("event_id",),
+    ties: tuple = TIES,
     end: str = IS_LAST,
     stamp: str = "first",
     keep_open: bool = False,
@@ -87,7 +89,7 @@ def mark_sessions(
     events: DataFrame,
     keys: tuple = ("user",),
     order: str = "timestamp",
-    ties: tuple = ("event_id",),
+    ties: tuple = TIES,
     end: str = IS_LAST,
     item: str = "track",
     slice_ms: int = HOUR_MS,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.experiments import experiment_map
@@ -34,9 +34,15 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def per_user(events: DataFrame, alias: str, value: Column) -> DataFrame:
+    """``events`` with a value that depends on the user alone, computed once per user."""
+    users = events.select("user").distinct().withColumn(alias, value)
+    return events.join(users, "user", "left")
+
+
 def ab_log(spark: SparkSession, sf: str) -> DataFrame:
     """The log with the experiment map of every event."""
-    return log(spark, sf).withColumn("experiments", experiment_map("user"))
+    return per_user(log(spark, sf), "experiments", experiment_map("user"))
 
 
 def interactions(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,9 @@ from ..functions.hashing import murmur3_32
 from ..operators import experiments as ex
 from ..operators import ordering as od
 from ..operators import sessions as ss
-from .domain import ab_log, catalog, interactions, log
+from ..session import scratch_path
+from ..sources import readers as rd
+from .domain import ab_log, catalog, interactions, log, per_user
 from .registry import query
 from .sqlparts import (
     CATALOG, INTER, LOG, SESSIONS, TREATED, USERS, arms, ctes, murmur_sql, assign_sql,
@@ -17,7 +19,7 @@ AA = arms("AA", 2)
 
 
 def treated(spark, sf, experiment="I2I", ways=3):
-    return log(spark, sf).withColumn("treatment", ex.assign("user", experiment, ways))
+    return per_user(log(spark, sf), "treatment", ex.assign("user", experiment, ways))
 
 
 def rounded(df, *columns, digits=6):
@@ -88,14 +90,28 @@ STATS_SQL = """stats AS (
     var_samp(mean_time_per_session) FROM users GROUP BY 1)"""
 
 
-def effects_sql(arm: str) -> str:
-    return ctes(LOG, arm, TREATED, SESSIONS, USERS, STATS_SQL) + """, pieces AS (
-  SELECT t.treatment, t.metric, c.mean AS control_mean, t.mean AS treatment_mean, c.n AS n0, t.n AS n1,
-    c.var / c.n AS a, t.var / t.n AS b
-  FROM stats t JOIN stats c ON t.metric = c.metric WHERE c.treatment = 'C' AND t.treatment <> 'C')
+#: 0.975 quantile of Student's t: the normal quantile and five terms of the series in 1 / dof; below, one Newton step with the
+#: density integrated by Simpson's rule makes it exact.
+T975 = "+".join(
+    ["z", "(z**3+z)/(4*dof)", "(5*z**5+16*z**3+3*z)/(96*dof**2)", "(3*z**7+19*z**5+17*z**3-15*z)/(384*dof**3)",
+     "(79*z**9+776*z**7+1482*z**5-1920*z**3-945*z)/(92160*dof**4)",
+     "(27*z**11+339*z**9+930*z**7-1782*z**5-765*z**3+17955*z)/(368640*dof**5)"]
+)
+EFFECTS_SQL = f""", pieces AS (
+  SELECT 1.959963984540054::DOUBLE AS z, t.treatment, t.metric, c.mean AS control_mean, t.mean AS treatment_mean, t.mean - c.mean AS d, sqrt(c.var / c.n + t.var / t.n) AS se,
+    (c.var / c.n + t.var / t.n) ** 2 / ((c.var / c.n) ** 2 / (c.n - 1) + (t.var / t.n) ** 2 / (t.n - 1)) AS dof
+  FROM stats t JOIN stats c ON t.metric = c.metric WHERE c.treatment = 'C' AND t.treatment <> 'C'),
+start_ AS (SELECT *, {T975} AS t, exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(pi() * dof) AS c FROM pieces),
+area AS (SELECT *, c * t / 6000 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1
+  WHEN i % 2 = 1 THEN 4 ELSE 2 END) * (1 + (t * i / 2000) ** 2 / dof) ** (-(dof + 1) / 2))) AS below FROM start_),
+halves AS (SELECT *, (t - (below - 0.475) / (c * (1 + t * t / dof) ** (-(dof + 1) / 2))) * se AS half FROM area)
 SELECT treatment, metric, round(control_mean, 6) AS control_mean, round(treatment_mean, 6) AS treatment_mean,
-  round((treatment_mean - control_mean) / control_mean * 100, 6) AS effect, round(sqrt(a + b), 6) AS se,
-  round((a + b) * (a + b) / (a * a / (n0 - 1) + b * b / (n1 - 1)), 4) AS dof FROM pieces"""
+  round(d / control_mean * 100, 6) AS effect, round((d - half) / control_mean * 100, 3) AS lower,
+  round((d + half) / control_mean * 100, 3) AS upper, round(se, 6) AS se, round(dof, 4) AS dof, abs(d) > half AS significant FROM halves"""
+
+
+def effects_sql(*views: str) -> str:
+    return ctes(*views, STATS_SQL) + EFFECTS_SQL
 
 
 def user_stats(spark, sf, experiment, ways):
@@ -104,17 +120,15 @@ def user_stats(spark, sf, experiment, ways):
 
 def plain_effects(effects):
     cols = rounded(effects, "control_mean", "treatment_mean", "effect", "se")
-    return cols.select(
-        "treatment", "metric", "control_mean", "treatment_mean", "effect", "se", F.round("dof", 4).alias("dof")
-    )
+    return rounded(rounded(cols, "lower", "upper", digits=3), "dof", digits=4)
 
 
-@query("x4_ab_effects", effects_sql(I2I))
+@query("x4_ab_effects", effects_sql(LOG, I2I, TREATED, SESSIONS, USERS))
 def x4_ab_effects(spark, sf):
     return plain_effects(ex.ab_effects(user_stats(spark, sf, "I2I", 3)))
 
 
-@query("x5_aa_effects", effects_sql(AA))
+@query("x5_aa_effects", effects_sql(LOG, AA, TREATED, SESSIONS, USERS))
 def x5_aa(spark, sf):
     return plain_effects(ex.ab_effects(user_stats(spark, sf, "AA", 2)))
 
@@ -158,9 +172,9 @@ def x8_series(spark, sf):
 
 
 STARTS = """marked AS (
-  SELECT *, lag(message) OVER (PARTITION BY "user" ORDER BY "timestamp", event_id) AS before,
+  SELECT *, lag(message) OVER (PARTITION BY "user" ORDER BY "timestamp", message, "time", track) AS before,
     coalesce(sum(CASE WHEN message = 'last' THEN 1 ELSE 0 END) OVER (PARTITION BY "user"
-      ORDER BY "timestamp", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sid FROM log)"""
+      ORDER BY "timestamp", message, "time", track ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sid FROM log)"""
 
 
 @query(
@@ -174,7 +188,7 @@ def x9_starts(spark, sf):
 PAIRS_SQL = """start_pairs AS (
   SELECT "user", start, track, "time" FROM (
     SELECT *, first_value(track) OVER w AS start, row_number() OVER w AS place FROM marked
-    WINDOW w AS (PARTITION BY "user", sid ORDER BY "timestamp", event_id)) WHERE place > 1)"""
+    WINDOW w AS (PARTITION BY "user", sid ORDER BY "timestamp", message, "time", track)) WHERE place > 1)"""
 
 
 @query(
@@ -185,10 +199,14 @@ def x10_pairs(spark, sf):
     return rounded(ss.start_pairs(log(spark, sf)), "time")
 
 
-@query("x11_effects_report")
+@query("x11_effects_report", effects_sql(LOG, I2I, TREATED, SESSIONS, USERS))
 def x11_report(spark, sf):
-    effects = ex.ab_effects(user_stats(spark, sf, "I2I", 3))
-    return ex.effects_report(rounded(effects, "control_mean", "treatment_mean", "effect", "lower", "upper", "se", "dof"))
+    """The whole analysis: JSON log, treatment out of the log's map, sessions, user metrics, effects, ranked report."""
+    path = scratch_path(spark, "ab-log")
+    ab_log(spark, sf).drop("event_id").write.json(path)
+    events = ex.treatment_of(rd.read_events(spark, path), "I2I")
+    users = ss.user_level_metrics(ss.sessionize(events))
+    return ex.effects_report(plain_effects(ex.ab_effects(ex.treatment_stats(users))))
 
 
 @query(

@@ -14,17 +14,18 @@ from .q_metrics import RECS, lists
 from .registry import query
 from .sqlparts import CATALOG, INTER, LOG, PAIRS, VEC, ctes
 
-NORM_L2 = """rows_ AS (SELECT "user", track, t / sqrt(sum(t * t) OVER (PARTITION BY "user")) AS r FROM
+NORM_L2 = """rows_ AS (SELECT "user", track, coalesce(t / nullif(sqrt(sum(t * t) OVER (PARTITION BY "user")), 0), 0) AS r FROM
   (SELECT "user", track, avg("time") AS t FROM inter GROUP BY 1, 2)), q AS (SELECT "user", track, r, r AS q FROM rows_)"""
 NORM_CENTER = """cent AS (SELECT "user", track, "time" - avg("time") OVER (PARTITION BY "user") AS c FROM inter),
 rows_ AS (SELECT "user", track, avg(c) AS r FROM cent GROUP BY 1, 2),
-q AS (SELECT "user", track, r, r / sqrt(sum(r * r) OVER (PARTITION BY "user")) AS q FROM rows_)"""
+q AS (SELECT "user", track, r, coalesce(r / nullif(sqrt(sum(r * r) OVER (PARTITION BY "user")), 0), 0) AS q FROM rows_)"""
 
 
 def user_cf_sql(norm: str) -> str:
     return ctes(INTER, norm) + """, sim AS (SELECT a."user" AS u, b."user" AS v, sum(a.q * b.q) AS w FROM q a JOIN q b ON a.track = b.track AND a."user" <> b."user" GROUP BY 1, 2),
-scores AS (SELECT u AS "user", track, round(sum(w * r), 9) AS score FROM sim JOIN q ON v = "user" GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, track) AS rank FROM scores WHERE score <> 0)
+found AS (SELECT u AS "user", track, round(sum(w * r), 9) AS score FROM sim JOIN q ON v = "user" GROUP BY 1, 2),
+scores AS (SELECT "user", track, coalesce(score, 0) + 0.0 AS score FROM (SELECT DISTINCT "user" FROM q) CROSS JOIN (SELECT DISTINCT track FROM q) LEFT JOIN found USING ("user", track)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, track) AS rank FROM scores)
 SELECT "user", track, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 20"""
 
 
@@ -54,7 +55,7 @@ def c3_neighbours(spark, sf):
     return rounded(nb.neighbour_stats(interactions(spark, sf), "center"), "mean_positive", "mean_negative")
 
 
-COSINE = """x AS (SELECT "user", track, t / sqrt(sum(t * t) OVER (PARTITION BY track)) AS x, t FROM (SELECT "user", track, "time" AS t FROM pairs)),
+COSINE = """x AS (SELECT "user", track, coalesce(t / nullif(sqrt(sum(t * t) OVER (PARTITION BY track)), 0), 0) AS x, t FROM (SELECT "user", track, "time" AS t FROM pairs)),
 w AS (SELECT a.track AS j, b.track AS i, sum(a.x * b.x) AS w FROM x a JOIN x b ON a."user" = b."user" AND a.track <> b.track GROUP BY 1, 2)"""
 
 
@@ -69,8 +70,9 @@ def l8_similar(spark, sf):
 
 @query(
     "l8_item_cf",
-    ctes(INTER, PAIRS, COSINE) + """, s AS (SELECT "user", i AS track, round(sum(w * "time"), 9) AS score FROM pairs JOIN w ON track = j GROUP BY 1, 2)
-SELECT "user", track, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, track) AS rank FROM s WHERE score <> 0) WHERE rank <= 20""",
+    ctes(INTER, PAIRS, COSINE) + """, found AS (SELECT "user", i AS track, round(sum(w * "time"), 9) AS score FROM pairs JOIN w ON track = j GROUP BY 1, 2),
+s AS (SELECT "user", track, coalesce(score, 0) + 0.0 AS score FROM (SELECT DISTINCT "user" FROM pairs) CROSS JOIN (SELECT DISTINCT track FROM pairs) LEFT JOIN found USING ("user", track))
+SELECT "user", track, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, track) AS rank FROM s) WHERE rank <= 20""",
 )
 def l8_item_cf(spark, sf):
     return nb.item_cf(interactions(spark, sf), 20)
@@ -233,26 +235,57 @@ def d2_dpp(spark, sf):
 
 @query(
     "d3_cap_per_artist",
-    ctes(INTER, PAIRS, RECS, CATALOG) + """, c AS (SELECT "user", track, rank, row_number() OVER (PARTITION BY "user", genre ORDER BY rank) AS n FROM recs JOIN catalog USING (track))
+    ctes(INTER, PAIRS, RECS, CATALOG) + """, c AS (SELECT "user", track, rank, row_number() OVER (PARTITION BY "user", coalesce('=' || artist, CAST(track AS VARCHAR)) ORDER BY rank) AS n FROM recs LEFT JOIN catalog USING (track))
 SELECT "user", track, CAST(row_number() OVER (PARTITION BY "user" ORDER BY rank) AS INTEGER) AS rank FROM c WHERE n <= 2""",
 )
 def d3_cap(spark, sf):
     recs, _ = lists(spark, sf)
-    return rr.cap_per_group(recs, catalog(spark, sf), "genre", 2, 50)
+    return rr.cap_per_group(recs, catalog(spark, sf), "artist", 2, 50)
 
 
-@query("l6_mmr_rerank")
+NEAR20 = ctes(INTER, VEC, PROFILES, CATALOG).replace("WITH ", "WITH RECURSIVE ", 1) + """, sc AS (SELECT "user", id AS track, round(list_cosine_similarity(v, vector::DOUBLE[]), 9) AS score, vector::DOUBLE[] AS w FROM prof, vec),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, track) AS rank FROM sc) WHERE rank <= 20)"""
+
+
+def walk_sql(state: str, start: str, value: str, after: str) -> str:
+    """A greedy walk over all lists at once: the best row of each list is done, the others go on with a new ``state``."""
+    return f"""{NEAR20}, walk AS (
+  SELECT "user", track, score, rank, w, genre, {start} AS {state}, 0 AS step, FALSE AS done FROM near LEFT JOIN catalog USING (track)
+  UNION ALL
+  SELECT "user", track, score, rank, w, genre, {after} AS {state}, step + 1, track = best FROM (
+    SELECT *, first_value(track) OVER o AS best, first_value(w) OVER o AS best_w, first_value(genre) OVER o AS best_genre
+    FROM walk WHERE NOT done WINDOW o AS (PARTITION BY "user" ORDER BY round({value}, 9) DESC, rank)))
+SELECT "user", track, step AS rank FROM walk WHERE done"""
+
+
+@query(
+    "l6_mmr_rerank",
+    walk_sql("close", "NULL::DOUBLE", "0.7 * score - 0.3 * coalesce(close, 0)", "greatest(coalesce(close, -2), list_cosine_similarity(w, best_w))"),
+)
 def l6_mmr(spark, sf):
     recs, vec = candidates(spark, sf, 20)
     return rr.mmr_rerank(recs, vec, 0.3)
 
 
-@query("l6_greedy_feature_gain")
+@query(
+    "l6_greedy_feature_gain",
+    walk_sql("gain", "1.0::DOUBLE", "0.5 * score + 0.5 * gain", "CASE WHEN genre = best_genre THEN gain / 2 ELSE gain END"),
+)
 def l6_gain(spark, sf):
     recs, _ = candidates(spark, sf, 20)
     return rr.greedy_feature_gain(recs, catalog(spark, sf), 0.5)
 
 
+@query(
+    "l6_listing_relevance",
+    NEAR20.replace("WITH RECURSIVE ", "WITH ", 1) + """, apart AS (SELECT a."user", a.rank, sum(1 - list_cosine_similarity(a.w, b.w)) AS d FROM near a JOIN near b ON a."user" = b."user" AND b.rank < a.rank GROUP BY 1, 2)
+SELECT "user", round(sum(0.5 * score / log2(rank + 1) + 0.5 * coalesce(d, 0) / rank), 6) AS mlr FROM near LEFT JOIN apart USING ("user", rank) GROUP BY 1""",
+)
+def l6_mlr(spark, sf):
+    recs, vec = candidates(spark, sf, 20)
+    return rounded(rr.mean_listing_relevance(recs, vec, 0.5), "mlr")
+
+
 @query(
     "jn8_score_all",
     ctes(INTER, VEC, PROFILES) + """, s AS (SELECT "user", id AS track, round(list_dot_product(v, vector::DOUBLE[]), 9) AS score FROM prof, vec)

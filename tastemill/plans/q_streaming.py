@@ -9,7 +9,7 @@ from ..sources.writers import ranked_lists
 from ..streaming import streams as st
 from .domain import ab_log, catalog
 from .q_basics import joined, top3
-from .q_events import I2I, SESSION_SQL, rounded
+from .q_events import EFFECTS_SQL, I2I, SESSION_SQL, plain_effects, rounded
 from .q_serving import DENSE, INDEXED, any_sql
 from .registry import query
 from .sqlparts import CATALOG, INTER, LOG, PAIRS, TREATED, SESSIONS, ctes
@@ -18,15 +18,18 @@ PARTS = 4
 
 
 def delivered(spark, sf, copies: int = 1) -> DataFrame:
-    """The log as a stream of four deliveries, each a later part of the time span."""
+    """The log as a stream of four deliveries, each a later part of the time span, written by all tasks."""
     path = scratch_path(spark, "stream")
     events = ab_log(spark, sf)
     low, high = events.agg(F.min("timestamp"), F.max("timestamp")).first()
     part = F.least(F.floor((F.col("timestamp") - low) / (high - low) * PARTS), F.lit(PARTS - 1))
+    events.withColumn("part", part).write.partitionBy("part").parquet(f"{path}/parts")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for number in range(PARTS):
+        rows = spark.read.schema(events.schema).parquet(f"{path}/parts/part={number}").repartition(files)
         for _ in range(copies):
-            events.where(part == number).coalesce(1).write.mode("append").json(path)
-    return st.stream_events(spark, path, schema=f"event_id long, {st.EVENTS}", files_per_batch=copies)
+            rows.write.mode("append").json(f"{path}/log")
+    return st.stream_events(spark, f"{path}/log", schema=f"event_id long, {st.EVENTS}", files_per_batch=files * copies)
 
 
 @query(
@@ -66,28 +69,24 @@ def z3_sessions(spark, sf):
     return rounded(st.to_table(sessions_stream(spark, sf), "sessions").drop("closed"), "time", "latency")
 
 
-SUMS = """sums AS (SELECT treatment, 'tracks' AS metric, count(*) AS n, avg(tracks) AS mean, var_samp(tracks) AS var FROM sessions GROUP BY 1
+SUMS = """stats AS (SELECT treatment, 'tracks' AS metric, count(*) AS n, avg(tracks) AS mean, var_samp(tracks) AS var FROM sessions GROUP BY 1
   UNION ALL SELECT treatment, 'time', count(*), avg("time"), var_samp("time") FROM sessions GROUP BY 1
   UNION ALL SELECT treatment, 'latency', count(*), avg(latency), var_samp(latency) FROM sessions GROUP BY 1)"""
 
 
 @query(
     "z4_stream_ab_stats",
-    ctes(LOG, I2I, TREATED, SESSIONS, SUMS) + "SELECT treatment, metric, n, round(mean, 5) AS mean, round(var, 4) AS var FROM sums",
+    ctes(LOG, I2I, TREATED, SESSIONS, SUMS) + "SELECT treatment, metric, n, round(mean, 5) AS mean, round(var, 4) AS var FROM stats",
 )
 def z4_stats(spark, sf):
     live = st.run_ab_stats(sessions_stream(spark, sf), scratch_path(spark, "ab-stats"))
     return live.stats().select("treatment", "metric", "n", F.round("mean", 5).alias("mean"), F.round("var", 4).alias("var"))
 
 
-@query(
-    "z4_stream_ab_effects",
-    ctes(LOG, I2I, TREATED, SESSIONS, SUMS) + """SELECT t.treatment, t.metric, round((t.mean - c.mean) / c.mean * 100, 5) AS effect,
-  round(sqrt(t.var / t.n + c.var / c.n), 5) AS se FROM sums t JOIN sums c ON t.metric = c.metric WHERE c.treatment = 'C' AND t.treatment <> 'C'""",
-)
+@query("z4_stream_ab_effects", ctes(LOG, I2I, TREATED, SESSIONS, SUMS) + EFFECTS_SQL)
 def z4_effects(spark, sf):
     live = st.run_ab_stats(sessions_stream(spark, sf), scratch_path(spark, "ab-stats"))
-    return rounded(live.effects().select("treatment", "metric", "effect", "se"), "effect", "se", digits=5)
+    return plain_effects(live.effects())
 
 
 @query(

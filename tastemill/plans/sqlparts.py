@@ -88,7 +88,7 @@ TREATED = """tlog AS (SELECT log.*, arms.treatment FROM log JOIN arms USING ("us
 
 SESSIONS = """numbered AS (
   SELECT *, coalesce(sum(CASE WHEN message = 'last' THEN 1 ELSE 0 END) OVER (PARTITION BY "user", treatment
-    ORDER BY "timestamp", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sid FROM tlog),
+    ORDER BY "timestamp", message, "time", track ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sid FROM tlog),
 sessions AS (
   SELECT "user", treatment, sid, min("timestamp") AS "timestamp", max("timestamp") AS last_ts, count(*) AS tracks,
     sum("time") AS "time", sum(latency * 1000) AS latency

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.experiments import ab_effects
+from ..operators.ordering import join_nullsafe
+from ..operators.sessions import TIES
 from ..session import scratch_path
 from ..sources.schemas import EVENTS
 
-HISTORY = "user long, at long, tracks array<long>, times array<double>"
-HISTORY_STATE = "at array<long>, tracks array<long>, times array<double>"
+HISTORY = "user long, version long, at long, tracks array<long>, times array<double>"
+HISTORY_STATE = "version long, at array<long>, tracks array<long>, times array<double>"
 SESSION = "user long, treatment string, timestamp long, tracks long, time double, latency double, closed boolean"
 SESSION_STATE = "timestamp long, last long, tracks long, time double, latency double, treatment string"
 
@@ -71,7 +73,7 @@ def newest(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
 
 
 def stream_history(events: DataFrame, n: int = 10) -> DataFrame:
-    """Newest n listens per user: one row per user and batch with the list after the batch, newest first.
+    """Newest n listens per user: one row per user and batch with the list after the batch, newest first, and its version.
 
     Each Arrow batch first drops what cannot be among its users' newest n, so a busy user sends n rows per batch to the
     state, not all events.
@@ -82,14 +84,17 @@ def stream_history(events: DataFrame, n: int = 10) -> DataFrame:
             yield newest(pdf, n)
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, tracks, times = (list(x) for x in state.get) if state.exists else ([], [], [])
+        version, *lists = state.get if state.exists else (0, [], [], [])
+        at, tracks, times = map(list, lists)
         kept = pd.DataFrame({"user": key[0], "timestamp": at, "track": tracks, "time": times})
         for pdf in batches:
             kept = newest(pd.concat([kept, pdf]) if len(kept) else pdf, n)
         kept = kept.iloc[::-1]
         lists = [kept[c].tolist() for c in ("timestamp", "track", "time")]
-        state.update(tuple(lists))
-        yield pd.DataFrame({"user": [key[0]], "at": [max(lists[0])], "tracks": [lists[1]], "times": [lists[2]]})
+        state.update((version + 1, *lists))
+        yield pd.DataFrame(
+            {"user": [key[0]], "version": [version + 1], "at": [max(lists[0])], "tracks": [lists[1]], "times": [lists[2]]}
+        )
 
     slim = events.select("user", "timestamp", "track", "time")
     trimmed = slim.mapInPandas(trim, "user long, timestamp long, track long, time double")
@@ -98,7 +103,7 @@ def stream_history(events: DataFrame, n: int = 10) -> DataFrame:
 
 def latest_history(updates: DataFrame) -> DataFrame:
     """Current list per user out of the update rows."""
-    return updates.groupBy("user").agg(F.max_by(F.struct("tracks", "times"), F.struct("at", F.size("tracks"), "tracks")).alias("_h")).select("user", "_h.*")
+    return updates.groupBy("user").agg(F.max_by(F.struct("tracks", "times"), "version").alias("_h")).select("user", "_h.*")
 
 
 def stream_sessions(events: DataFrame, timeout: str | None = None) -> DataFrame:
@@ -120,7 +125,7 @@ def stream_sessions(events: DataFrame, timeout: str | None = None) -> DataFrame:
             state.remove()
             yield frame([(treatment, start, tracks, time, latency, False)], key[0])
             return
-        pdf = pd.concat(list(batches)).sort_values(["timestamp", "message", "track"])  # one user, one micro-batch
+        pdf = pd.concat(list(batches)).sort_values(["timestamp", *TIES])  # one user, one micro-batch
         at, times, latencies = (pdf[c].to_numpy() for c in ("timestamp", "time", "latency"))
         last = (pdf["message"] == "last").to_numpy()
         begin = np.flatnonzero(np.r_[True, last[:-1]])
@@ -153,9 +158,10 @@ def stream_sessions(events: DataFrame, timeout: str | None = None) -> DataFrame:
 
 
 class StreamABStats:
-    """Running sums per treatment and metric, for a live effects table.
+    """Running moments per treatment and metric, for a live effects table.
 
-    Every batch adds one small file of sums under its batch number and replaces it when the batch is run again.
+    Every batch adds one small file of counts, means and squared deviations (M2) under its batch number and replaces it
+    when the batch is run again.
     """
 
     METRICS = ("tracks", "time", "latency")
@@ -167,19 +173,25 @@ class StreamABStats:
         values = F.explode(
             F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in self.METRICS])
         )
-        sums = (
+        moments = (
             sessions.select("treatment", values.alias("v"))
             .groupBy("treatment", F.col("v.metric").alias("metric"))
-            .agg(F.count("v.x").alias("n"), F.sum("v.x").alias("s"), F.sum(F.col("v.x") * F.col("v.x")).alias("ss"))
+            .agg(F.count("v.x").alias("n"), F.avg("v.x").alias("mean"), (F.var_pop("v.x") * F.count("v.x")).alias("m2"))
         )
-        sums.write.mode("overwrite").parquet(f"{self.path}/sums/batch={batch_id}")
+        moments.write.mode("overwrite").parquet(f"{self.path}/moments/batch={batch_id}")
 
     def stats(self) -> DataFrame:
-        """(treatment, metric, n, mean, var) over all batches so far."""
-        rows = self.spark.read.parquet(f"{self.path}/sums")
-        total = rows.groupBy("treatment", "metric").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-        var = F.try_divide(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1)
-        return total.select("treatment", "metric", "n", (F.col("s") / F.col("n")).alias("mean"), var.alias("var"))
+        """(treatment, metric, n, mean, var) over all batches so far. Deviations of the batches' means are added to those
+        inside the batches, so that nothing large is subtracted."""
+        key = ["treatment", "metric"]
+        rows = self.spark.read.parquet(f"{self.path}/moments").filter("n > 0")
+        total = rows.groupBy(*key).agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+        apart = F.col("mean") - F.col("_mean")
+        joined = join_nullsafe(rows, total, key, "inner").groupBy(*key)
+        sums = joined.agg(
+            F.first("_n").alias("n"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * apart * apart).alias("_m2")
+        )
+        return sums.select(*key, "n", "mean", F.try_divide(F.col("_m2"), F.col("n") - 1).alias("var"))
 
     def effects(self, alpha: float = 0.05) -> DataFrame:
         return ab_effects(self.stats(), alpha)
@@ -214,6 +226,6 @@ def stream_recommend(events: DataFrame, rule: Callable[[DataFrame], DataFrame])
     return rule(events)
 
 
-def deduplicate(events: DataFrame, delay: str = "10 minutes", keys: tuple = ("user", "timestamp", "track")) -> DataFrame:
+def deduplicate(events: DataFrame, delay: str = "10 minutes", keys: tuple = ("user", "timestamp", "message", "track")) -> DataFrame:
     """Drop events delivered twice within the watermark."""
     return events.withWatermark("at", delay).dropDuplicatesWithinWatermark(list(keys))

@@ -175,20 +175,49 @@ def determinant_order(kernel, window):
 @pytest.mark.parametrize("seed", range(5))
 def test_dpp_equals_determinants(seed):
     rng = np.random.default_rng(seed)
-    scores, vectors = rng.uniform(0.5, 2, 9), rng.standard_normal((9, 4))
-    kernel = rr.dpp_kernel(scores, vectors)
-    assert np.linalg.eigvalsh(kernel).min() > -1e-9
-    assert rr.dpp_order(scores, vectors, 4) == determinant_order(kernel, 4)
+    scores, vectors = rng.uniform(0.5, 2, (3, 9)), rng.standard_normal((3, 9, 4))
+    usable = np.ones((3, 9), bool)
+    kernels = rr.dpp_kernels(scores, vectors)
+    assert np.linalg.eigvalsh(kernels).min() > -1e-9
+    order = rr.dpp_orders(scores, vectors, usable, 4)
+    for kernel, got in zip(kernels, order, strict=True):
+        assert got.tolist() == determinant_order(kernel, 4)
+
+
+def test_mmr_step_by_step():
+    rng = np.random.default_rng(1)
+    scores, vectors = rng.uniform(0, 1, (2, 7)), rng.standard_normal((2, 7, 3))
+    usable = np.ones((2, 7), bool)
+    usable[1, 4] = False
+    order = rr.mmr_orders(scores, vectors, usable, 0.4)
+    assert order[1, -1] == 4
+    for s, v, ok, got in zip(scores, vectors, usable, order, strict=True):
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        chosen = []
+        for at in got[: ok.sum()]:
+            def value(c):
+                return 0.6 * s[c] - (0.4 * max(unit[c] @ unit[j] for j in chosen) if chosen else 0.0)
+
+            free = [c for c in range(7) if ok[c] and c not in chosen]
+            assert value(at) == pytest.approx(max(map(value, free)))
+            chosen.append(at)
 
 
 def test_reranking_keeps_every_item(spark, points):
     _, df = points
-    recs = spark.createDataFrame([(u, t, 1.0 / (1 + t), t + 1) for u in range(3) for t in range(8)], "user long, track long, score double, rank int")
+    recs = spark.createDataFrame(
+        [(u, t, 1.0 / (1 + t), t + 1) for u in range(3) for t in range(8)] + [(7, 10**12, 0.5, 1), (7, 2, 0.4, 2), (8, None, None, 1)],
+        "user long, track long, score double, rank int",
+    )
     for out in (rr.dpp_rerank(recs, df, 3), rr.mmr_rerank(recs, df, 0.5)):
         got = lists_of(out)
-        assert all(sorted(x) == list(range(8)) for x in got.values()) and len(got) == 3
+        assert all(sorted(got[u]) == list(range(8)) for u in range(3))
+        assert got[7] == [2, 10**12] and got[8] == [None]  # what has no vector closes the list
     catalog = spark.createDataFrame([(t, "a" if t < 6 else "b") for t in range(8)], "track long, artist string")
-    assert lists_of(rr.cap_per_group(recs, catalog, "artist", 2, 3))[0] == [0, 1, 6]
+    gain = lists_of(rr.greedy_feature_gain(recs, catalog, 0.5, "artist"))
+    assert sorted(gain[0]) == list(range(8)) and gain[0][:2] == [0, 6] and sorted(gain[7]) == [2, 10**12]
+    capped = lists_of(rr.cap_per_group(recs, catalog, "artist", 2, 3))
+    assert capped[0] == [0, 1, 6] and capped[7] == [10**12, 2]
 
 
 def test_negatives_are_unseen_and_exactly_n(spark, monkeypatch):

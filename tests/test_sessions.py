@@ -23,7 +23,7 @@ def random_log(n=400, hot=0.4, span=2000, seed=1):
 def walk(rows, keep_open=False):
     """The definition, one event at a time."""
     out, by_user = [], {}
-    for r in sorted(rows, key=lambda r: (r[1], r[3], r[0])):
+    for r in sorted(rows, key=lambda r: (r[1], r[3], r[4], r[6], r[5])):
         by_user.setdefault((r[1], r[2]), []).append(r)
     for (user, treatment), events in by_user.items():
         open_ = []

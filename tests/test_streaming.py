@@ -53,3 +53,31 @@ def test_a_rerun_batch_counts_once(spark):
         live.add(sessions, batch)
     got = {(r["treatment"], r["metric"]): (r["n"], r["mean"], r["var"]) for r in live.stats().collect()}
     assert got["C", "tracks"] == (2, 2.0, 0.0) and got["T1", "time"] == (2, 2.0, 0.0)
+
+
+def test_a_late_listen_gives_the_newer_list(spark):
+    def row(e, at, track):
+        return (e, 1, "C", at, "next", track, 0.5, 0.1)
+
+    path = scratch_path(spark, "late")
+    for batch in ([row(0, 1000, 3), row(1, 5000, 9), row(2, 3000, 5)], [row(3, 4000, 4)]):
+        spark.createDataFrame(batch, LOG).coalesce(1).write.mode("append").json(path)
+    events = st.stream_events(spark, path, schema=LOG, files_per_batch=1)
+    got = st.latest_history(st.to_table(st.stream_history(events, 3), "history")).first()
+    assert got["tracks"] == [9, 4, 5]
+
+
+def test_variance_of_large_close_values(spark):
+    live = st.StreamABStats(spark, scratch_path(spark, "live"))
+    values = [1e9 + x / 10 for x in range(10)]
+    for batch, part in enumerate((values[:3], values[3:4], values[4:])):
+        rows = [("C", 1, x, 0.0) for x in part]
+        live.add(spark.createDataFrame(rows, "treatment string, tracks long, time double, latency double"), batch)
+    got = {r["metric"]: r for r in live.stats().collect()}
+    assert abs(got["time"]["var"] - 0.0916667) < 1e-5 and got["time"]["n"] == 10
+
+
+def test_next_and_last_of_one_moment_are_two_events(spark):
+    rows = [(0, 1, "C", 1000, "next", 2, 0.5, 0.1), (1, 1, "C", 1000, "last", 2, 0.5, 0.1), (2, 1, "C", 1000, "last", 2, 0.5, 0.1)]
+    once = st.deduplicate(deliver(spark, rows, 1))
+    assert st.to_table(once.select("user", "message"), "once").count() == 2
