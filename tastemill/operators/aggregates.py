@@ -116,13 +116,11 @@ def count_distinct(df: DataFrame, columns: list[str], approximate: bool = False)
     return out
 
 
-def group_list(df: DataFrame, key: str, item: str, order: list, size: int = 10_000) -> DataFrame:
-    """Ordered item list per key. Lists longer than ``size`` come as several numbered pieces, so that no row grows
-    with the data; a key of usual length has the single piece 0."""
-    numbered = number_rows(df, [key], order, "_rn")
-    piece = F.floor((F.col("_rn") - 1) / size).cast("int")
-    packed = F.array_sort(F.collect_list(F.struct("_rn", F.col(item).alias("item"))))
-    return numbered.groupBy(key, piece.alias("piece")).agg(F.transform(packed, lambda x: x["item"]).alias("items"))
+def group_list(df: DataFrame, key: str, item: str, order: list) -> DataFrame:
+    """Ordered items per key as rows (key, place from 1, item): one shape for keys of any size."""
+    return number_rows(df.select("*", F.col(item).alias("_item")), [key], order, "place").select(
+        key, "place", F.col("_item").alias("item")
+    )
 
 
 def group_last(df: DataFrame, key: str, columns: list[str], order) -> DataFrame:
@@ -134,9 +132,9 @@ def group_max(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.groupBy(key).agg(F.max(column).alias(column))
 
 
-def artist_tracks(catalog: DataFrame, artist: str = "artist", item: str = "track", size: int = 10_000) -> DataFrame:
-    """Sorted track list per artist, in pieces of at most ``size``."""
-    return group_list(catalog.select(artist, item).distinct(), artist, item, [item], size)
+def artist_tracks(catalog: DataFrame, artist: str = "artist", item: str = "track") -> DataFrame:
+    """Sorted distinct tracks per artist as rows (artist, place, item)."""
+    return group_list(catalog.select(artist, item).distinct(), artist, item, [item])
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:

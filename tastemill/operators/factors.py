@@ -2,81 +2,115 @@
 
 from __future__ import annotations
 
+import itertools
+from dataclasses import dataclass
+
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..session import materialize, shared_dir
+from .interactions import dense_index, random_split
 from .joins import left_fill, semi
 from .retrieval import recommend, score_pairs
 
 
-def _als(df: DataFrame, **params) -> ALS:
+#: ALS numbers its users and items with 32-bit integers.
+MOST_IDS = (1 << 31) - 1
+
+
+@dataclass
+class Factors:
+    """A fitted model with the numbers it knows users and items by: tables (id, index)."""
+
+    model: ALSModel
+    users: DataFrame
+    items: DataFrame
+    user: str
+    item: str
+
+    def encode(self, rows: DataFrame) -> DataFrame:
+        """Rows of known users and items, with the numbers ``_u`` and ``_i``."""
+        u = self.users.select(F.col("id").alias(self.user), F.col("index").cast("int").alias("_u"))
+        i = self.items.select(F.col("id").alias(self.item), F.col("index").cast("int").alias("_i"))
+        return rows.join(u, self.user).join(i, self.item)
+
+
+def _numbers(df: DataFrame, column: str) -> DataFrame:
+    """(id, index) of the column's values, whatever their size or type."""
+    index = dense_index(df.where(F.col(column).isNotNull()), column).select(F.col(column).alias("id"), "index")
+    index = materialize(index, "ids")
+    if index.count() > MOST_IDS:
+        raise ValueError(f"{column} has more than {MOST_IDS} values")
+    return index
+
+
+def _fit(df: DataFrame, user: str = "user", item: str = "track", value: str = "time", **params) -> Factors:
     shared_dir(df.sparkSession)  # ALS cuts its lineage through the checkpoint folder
-    defaults = {
-        "userCol": "user", "itemCol": "track", "ratingCol": "time", "coldStartStrategy": "drop", "checkpointInterval": 5,
-        "seed": 31337,
-    }
-    return ALS(**{**defaults, **params})
+    factors = Factors(None, _numbers(df, user), _numbers(df, item), user, item)
+    settings = {"coldStartStrategy": "drop", "checkpointInterval": 5, "seed": 31337, **params}
+    als = ALS(userCol="_u", itemCol="_i", ratingCol=value, **settings)
+    factors.model = als.fit(materialize(factors.encode(df).select("_u", "_i", value), "ratings"))
+    return factors
 
 
-def fit_als(df: DataFrame, rank: int = 50, max_iter: int = 25, reg: float = 0.1, **params) -> ALSModel:
+def fit_als(df: DataFrame, rank: int = 50, max_iter: int = 25, reg: float = 0.1, **params) -> Factors:
     """Explicit ALS on (user, track, time) rows."""
-    return _als(df, rank=rank, maxIter=max_iter, regParam=reg, **params).fit(df)
+    return _fit(df, rank=rank, maxIter=max_iter, regParam=reg, **params)
 
 
-def fit_implicit_mf(df: DataFrame, rank: int = 50, reg: float = 0.1, alpha: float = 1.0, max_iter: int = 10, **params) -> ALSModel:
+def fit_implicit_mf(df: DataFrame, rank: int = 50, reg: float = 0.1, alpha: float = 1.0, max_iter: int = 10, **params) -> Factors:
     """Implicit-feedback ALS: the value is the confidence that the pair is a positive."""
-    return _als(df, rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=True, nonnegative=False, **params).fit(df)
+    return _fit(df, rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=True, nonnegative=False, **params)
+
 
+def _vectors(factors: DataFrame, index: DataFrame) -> DataFrame:
+    named = factors.select(F.col("id").cast("long").alias("index"), F.col("features").alias("vector"))
+    return named.join(index, "index").select("id", "vector")
 
-def user_factors(model: ALSModel) -> DataFrame:
-    return model.userFactors.select(F.col("id").cast("long").alias("id"), F.col("features").alias("vector"))
 
+def user_factors(factors: Factors) -> DataFrame:
+    return _vectors(factors.model.userFactors, factors.users)
 
-def item_factors(model: ALSModel) -> DataFrame:
-    return model.itemFactors.select(F.col("id").cast("long").alias("id"), F.col("features").alias("vector"))
 
+def item_factors(factors: Factors) -> DataFrame:
+    return _vectors(factors.model.itemFactors, factors.items)
 
-def recommend_all(model: ALSModel, k: int = 100, seen: DataFrame | None = None) -> DataFrame:
+
+def recommend_all(factors: Factors, k: int = 100, seen: DataFrame | None = None) -> DataFrame:
     """Top k items of every user, optionally without those already seen."""
-    return recommend(user_factors(model), item_factors(model), k, seen)
+    return recommend(user_factors(factors), item_factors(factors), k, seen)
 
 
-def model_rmse(model: ALSModel, test: DataFrame, label: str = "time") -> float:
-    evaluator = RegressionEvaluator(metricName="rmse", labelCol=label, predictionCol="prediction")
-    return evaluator.evaluate(model.transform(test))
+def predictions(factors: Factors, pairs: DataFrame) -> DataFrame:
+    """``pairs`` of known users and items with ``prediction``."""
+    return factors.model.transform(factors.encode(pairs)).drop("_u", "_i")
 
 
-def predictions(model: ALSModel, pairs: DataFrame) -> DataFrame:
-    return model.transform(pairs)
+def model_rmse(factors: Factors, test: DataFrame, label: str = "time") -> float:
+    evaluator = RegressionEvaluator(metricName="rmse", labelCol=label, predictionCol="prediction")
+    return evaluator.evaluate(predictions(factors, test))
 
 
-def fit_contextual(pairs: DataFrame, rank: int = 100, reg: float = 0.05, max_iter: int = 10) -> ALSModel:
+def fit_contextual(pairs: DataFrame, rank: int = 100, reg: float = 0.05, max_iter: int = 10) -> Factors:
     """Start -> next model: the share played is fit by the product of the start's and the track's vector."""
     mean = pairs.groupBy("start", "track").agg(F.avg("time").alias("time"))
-    return _als(mean, userCol="start", rank=rank, regParam=reg, maxIter=max_iter).fit(mean)
-
-
-def tune(df: DataFrame, grid: dict[str, list], train_ratio: float = 0.8, parallelism: int = 4, **params):
-    """Search ALS settings on a train/validation split. Returns (best model, frame of setting and RMSE)."""
-    als = _als(df, **params)
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(als.getParam(name), values)
-    maps = builder.build()
-    split = TrainValidationSplit(
-        estimator=als, estimatorParamMaps=maps, trainRatio=train_ratio, parallelism=parallelism, seed=42,
-        evaluator=RegressionEvaluator(metricName="rmse", labelCol=als.getRatingCol(), predictionCol="prediction"),
-    ).fit(df)
-    rows = [
-        (", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)), float(score))
-        for m, score in zip(maps, split.validationMetrics)
-    ]
-    return split.bestModel, df.sparkSession.createDataFrame(rows, "setting string, rmse double")
+    return _fit(mean, user="start", rank=rank, regParam=reg, maxIter=max_iter)
+
+
+def tune(df: DataFrame, grid: dict[str, list], train_ratio: float = 0.8, keys: tuple = ("user", "track"), **params):
+    """Search ALS settings on a train/validation split by a hash of the keys, the same however the table is stored.
+    Returns (best setting fitted on all rows, frame of setting and RMSE)."""
+    parts = random_split(df, [train_ratio, 1 - train_ratio], list(keys), seed=42)
+    train, test = (materialize(parts.where(F.col("part") == n).drop("part"), "fold") for n in (0, 1))
+    names = sorted(grid)
+    settings = [dict(zip(names, values, strict=True)) for values in itertools.product(*[grid[n] for n in names])]
+    scores = [model_rmse(_fit(train, **params, **setting), test) for setting in settings]
+    best = settings[min(range(len(settings)), key=scores.__getitem__)]
+    rows = [(", ".join(f"{n}={v}" for n, v in setting.items()), float(x)) for setting, x in zip(settings, scores, strict=True)]
+    return _fit(df, **params, **best), df.sparkSession.createDataFrame(rows, "setting string, rmse double")
 
 
 def augment_bias(factors: DataFrame, side: str) -> DataFrame:
@@ -116,7 +150,7 @@ def score_submission(test: DataFrame, users: DataFrame, items: DataFrame, seed:
     return left_fill(test, scored, ["user", "track"], "score", seed)
 
 
-def biased_factors(df: DataFrame, model: ALSModel, value: str = "time"):
+def biased_factors(df: DataFrame, model: Factors, value: str = "time"):
     """(users, items) as (id, vector, bias): the model's factors with the baseline's biases."""
     _, items, users = bias_baseline(df, value=value)
     u = user_factors(model).join(users.withColumnRenamed("user", "id"), "id", "left")

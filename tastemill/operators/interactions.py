@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_split, uniform, uniform_index
 from ..functions.scalars import mask_array, pad_array
 from .joins import semi
-from .ordering import number_rows, top_k_per
+from .ordering import join_nullsafe, number_rows, top_k_per
 from .selects import replicate, union_all
 
 RANK_SLICE = 64
@@ -85,10 +85,10 @@ def from_index(df: DataFrame, index: DataFrame, column: str, alias: str = "index
 
 
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace each categorical column by its sorted dense code."""
+    """Replace each categorical column by its sorted dense code; an unknown value (NULL) is a category, the first one."""
     for column in columns:
         codes = dense_index(df, column, alias="_code")
-        df = df.join(codes, column).drop(column).withColumnRenamed("_code", column)
+        df = join_nullsafe(df, codes, [column]).drop(column).withColumnRenamed("_code", column)
     return df
 
 

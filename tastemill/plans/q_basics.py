@@ -1,5 +1,6 @@
 """Queries: scans, sinks, projections, joins, aggregates, sorts, set operations, scalar functions."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as h
@@ -206,7 +207,21 @@ def k6_publish(spark, sf):
     lists = wr.ranked_lists(top3(spark, sf), "user", "track", "rank", "tracks")
     for _ in range(2):  # publishing twice leaves one row per key
         wr.publish_serving_table(lists, "user", path)
-    return spark.read.schema(lists.schema).parquet(path).select("user", joined("tracks").alias("tracks"))
+    return wr.read_serving_table(spark, path, lists.schema).select("user", joined("tracks").alias("tracks"))
+
+
+@query(
+    "k6_upsert_serving_table",
+    ctes(INTER, PAIRS, TOP3) + f"""SELECT "user", CASE WHEN "user" % 3 = 0 THEN '0' ELSE tracks END AS tracks FROM ({LISTS})""",
+)
+def k6_upsert(spark, sf):
+    """A third of the users gets a new list."""
+    path = scratch_path(spark, "serving")
+    lists = wr.ranked_lists(top3(spark, sf), "user", "track", "rank", "tracks")
+    wr.publish_serving_table(lists, "user", path)
+    fresh = lists.where(F.col("user") % 3 == 0).withColumn("tracks", F.array(F.lit(0).cast("long")))
+    wr.upsert_serving_table(fresh, "user", path)
+    return wr.read_serving_table(spark, path, lists.schema).select("user", joined("tracks").alias("tracks"))
 
 
 @query(
@@ -221,11 +236,26 @@ def k7_top(spark, sf):
     return spark.read.text(path)
 
 
-@query("k8_write_embeddings", "SELECT label || chr(9) || vec_id AS value FROM embeddings")
+@query(
+    "k8_write_embeddings",
+    "SELECT label || chr(9) || vec_id AS metadata, round(list_sum(embedding::DOUBLE[]), 4) + 0.0 AS total FROM embeddings",
+)
 def k8_embeddings(spark, sf):
+    """Line n of the vectors beside line n of the metadata."""
     path = scratch_path(spark, "projector")
     wr.write_embeddings(vectors(spark, sf), path, ["label", "id"])
-    return spark.read.text(f"{path}/metadata")
+
+    def lines(name, alias):
+        part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).alias("part")
+        rows = spark.read.option("wholetext", False).text(f"{path}/{name}")
+        return rows.select(part, F.monotonically_increasing_id().alias("at"), F.col("value").alias(alias)).withColumn(
+            "line", F.row_number().over(Window.partitionBy("part").orderBy("at"))
+        ).drop("at")
+
+    numbers = F.transform(F.split("vector", "\t"), lambda x: x.cast("float").cast("double"))
+    total = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
+    both = lines("metadata", "metadata").join(lines("vectors", "vector"), ["part", "line"])
+    return both.select("metadata", (F.round(total, 4) + 0.0).alias("total"))
 
 
 @query("k9_anonymize", """SELECT md5('pepper' || user_id) AS "user", count(*) AS n FROM events GROUP BY 1""")
@@ -458,12 +488,10 @@ def a10_dedup(spark, sf):
 
 @query(
     "a11_group_list",
-    ctes(LOG) + """, numbered AS (SELECT "user", track, row_number() OVER (PARTITION BY "user" ORDER BY "timestamp", event_id) AS rn FROM log)
-SELECT "user", CAST((rn - 1) // 50 AS INTEGER) AS piece, array_to_string(list(track ORDER BY rn), ',') AS items FROM numbered GROUP BY 1, 2""",
+    ctes(LOG) + """SELECT "user", row_number() OVER (PARTITION BY "user" ORDER BY "timestamp", event_id) AS place, track AS item FROM log""",
 )
 def a11_list(spark, sf):
-    lists = ag.group_list(log(spark, sf), "user", "track", ["timestamp", "event_id"], size=50)
-    return lists.select("user", "piece", joined("items").alias("items"))
+    return ag.group_list(log(spark, sf), "user", "track", ["timestamp", "event_id"])
 
 
 @query(
@@ -479,10 +507,10 @@ def a11_last(spark, sf):
 
 @query(
     "a12_artist_tracks",
-    ctes(CATALOG) + "SELECT artist, array_to_string(list(track ORDER BY track), ',') AS tracks FROM catalog GROUP BY 1",
+    ctes(CATALOG) + "SELECT artist, row_number() OVER (PARTITION BY artist ORDER BY track) AS place, track AS item FROM catalog",
 )
 def a12_artists(spark, sf):
-    return ag.artist_tracks(catalog(spark, sf)).select("artist", joined("items").alias("tracks"))
+    return ag.artist_tracks(catalog(spark, sf))
 
 
 @query(

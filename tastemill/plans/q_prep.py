@@ -215,10 +215,13 @@ def i15_standardize(spark, sf):
 
 @query(
     "i16_label_encode",
-    ctes(CATALOG) + "SELECT track, dense_rank() OVER (ORDER BY artist) - 1 AS artist, dense_rank() OVER (ORDER BY genre) - 1 AS genre FROM catalog",
+    ctes(CATALOG) + """SELECT track, dense_rank() OVER (ORDER BY CASE WHEN size % 7 <> 0 THEN artist END NULLS FIRST) - 1 AS artist,
+  dense_rank() OVER (ORDER BY genre) - 1 AS genre FROM catalog""",
 )
 def i16_encode(spark, sf):
-    return it.label_encode(catalog(spark, sf).select("track", "artist", "genre"), ["artist", "genre"])
+    """Some artists are unknown."""
+    known = F.when(F.col("size") % 7 != 0, F.col("artist")).alias("artist")
+    return it.label_encode(catalog(spark, sf).select("track", known, "genre"), ["artist", "genre"])
 
 
 @query(

@@ -40,8 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders that this driver has handed out and not yet dropped.
+_STAGES: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tastemill/{name}-{uuid.uuid4().hex}"
+    _STAGES.append(f"{shared_dir(spark).rstrip('/')}/tastemill/{name}-{uuid.uuid4().hex}")
+    return _STAGES[-1]
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far. Call it when the results built on them have been written."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _STAGES:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        where.getFileSystem(conf).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import salted_md5
 from ..operators.ordering import number_rows, top_n
+from ..session import materialize
 
 
 def ranked_lists(df: DataFrame, key: str, item: str, rank: str, alias: str) -> DataFrame:
@@ -39,20 +40,51 @@ def write_catalog(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def publish_serving_table(df: DataFrame, key: str, path: str, parts: int | None = None) -> None:
-    """Keyed lists for lookups: parquet clustered and sorted by key, replaced as a whole, so a rerun is harmless."""
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def serving_versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of a published table, oldest first."""
+    files, where = _folder(spark, path)
+    if not files.exists(where):
+        return []
+    found = [s.getPath() for s in files.listStatus(where) if s.getPath().getName().startswith("version=")]
+    done = [p for p in found if files.exists(_folder(spark, f"{p}/_SUCCESS")[1])]
+    return sorted(int(p.getName().removeprefix("version=")) for p in done)
+
+
+def publish_serving_table(df: DataFrame, key: str, path: str, parts: int | None = None, keep: int = 2) -> int:
+    """Keyed lists for lookups, parquet clustered and sorted by key, as the next version below ``path``.
+
+    Readers take the newest complete version, so they always find a whole table; the ``keep`` newest versions stay.
+    Returns the version written.
+    """
+    spark = df.sparkSession
+    before = serving_versions(spark, path)
+    version = (before[-1] if before else 0) + 1
     spread = df.repartition(parts, key) if parts else df.repartition(key)
-    spread.sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    spread.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/version={version}")
+    for old in before[: len(before) + 1 - keep]:
+        files, where = _folder(spark, f"{path}/version={old}")
+        files.delete(where, True)
+    return version
+
+
+def read_serving_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest complete version of a published table; empty if there is none."""
+    versions = serving_versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/version={versions[-1]}")
 
 
-def upsert_serving_table(spark, updates: DataFrame, key: str, path: str, version: str, current: str | None) -> str:
-    """Next version of a keyed table: updated keys replace the old rows. Returns the folder written."""
-    target = f"{path.rstrip('/')}/{version}"
-    if current:
-        old = spark.read.schema(updates.schema).parquet(current).join(updates.select(key), key, "left_anti")
-        updates = old.unionByName(updates)
-    publish_serving_table(updates, key, target)
-    return target
+def upsert_serving_table(updates: DataFrame, key: str, path: str) -> int:
+    """Publish a version in which the rows of ``updates`` replace or join those of the current one."""
+    old = read_serving_table(updates.sparkSession, path, updates.schema)
+    rest = old.join(updates.select(key), key, "left_anti")
+    return publish_serving_table(rest.unionByName(updates), key, path)
 
 
 def write_top_tracks(popularity: DataFrame, path: str, n: int, item: str = "track", score: str = "popularity") -> None:
@@ -64,13 +96,15 @@ def write_top_tracks(popularity: DataFrame, path: str, n: int, item: str = "trac
 
 
 def write_embeddings(df: DataFrame, path: str, meta: list[str], vector: str = "vector") -> None:
-    """Tab-separated vectors and metadata for a projector."""
-    spark_rows = df.select(
-        F.array_join(F.transform(vector, lambda x: x.cast("string")), "\t").alias("_v"),
-        F.concat_ws("\t", *[F.col(c).cast("string") for c in meta]).alias("_m"),
+    """Tab-separated vectors and metadata for a projector. Line n of a vector file belongs to line n of the metadata
+    file of the same part number: both are written from one stored table, part by part."""
+    text = df.select(
+        F.array_join(F.transform(vector, lambda x: x.cast("string")), "\t").alias("v"),
+        F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in meta]).alias("m"),
     )
-    spark_rows.select(F.col("_v").alias("value")).write.text(f"{path}/vectors")
-    spark_rows.select(F.col("_m").alias("value")).write.text(f"{path}/metadata")
+    rows = materialize(text, "projector")
+    rows.select(F.col("v").alias("value")).write.text(f"{path}/vectors")
+    rows.select(F.col("m").alias("value")).write.text(f"{path}/metadata")
 
 
 def anonymize(df: DataFrame, column: str, salt: str) -> DataFrame:

@@ -9,6 +9,7 @@ from tastemill.operators import graph as gr
 from tastemill.operators import interactions as it
 from tastemill.operators import metrics as me
 from tastemill.operators import neighbours as nb
+from tastemill.operators import factors as fa
 from tastemill.operators import rerank as rr
 from tastemill.operators import retrieval as rt
 from tastemill.operators import serving as sv
@@ -294,3 +295,32 @@ def test_pagerank_of_five_nodes(spark):
     want = 0.4 * np.eye(5)[0] @ np.linalg.inv(np.eye(5) - 0.6 * p)
     got = {r["id"]: r["score"] for r in gr.ppr(edges, seeds, 0.6, 30).collect()}
     assert [got[i] for i in range(5)] == pytest.approx(list(want), abs=1e-6)
+
+
+def test_factor_models_take_ids_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    rows = [(10**12 + u, f"track-{t}", float(1 + (u % 2 == t % 2) * 3)) for u in range(30) for t in range(20) if rng.random() < 0.6]
+    df = spark.createDataFrame(rows, "user long, track string, time double")
+    model = fa.fit_als(df, rank=3, max_iter=5, reg=0.01)
+    assert fa.model_rmse(model, df) < 0.5
+    assert {r["user"] for r in fa.predictions(model, df).collect()} == {r[0] for r in rows}
+    numbers = spark.createDataFrame([(u, hash(t) % 10**12, x) for u, t, x in rows], "user long, track long, time double")
+    lists = lists_of(fa.recommend_all(fa.fit_als(numbers, rank=3, max_iter=3), 5))
+    assert set(lists) == {r[0] for r in rows} and all(len(set(x)) == 5 for x in lists.values())
+
+
+def test_tuning_does_not_depend_on_the_storage(spark):
+    rows = [(u, t, float((u * t) % 5)) for u in range(12) for t in range(10)]
+    df = spark.createDataFrame(rows, "user long, track long, time double")
+    found = [sorted(map(tuple, fa.tune(x, {"rank": [2, 3]}, maxIter=2)[1].collect())) for x in (df.coalesce(1), df.repartition(7))]
+    assert [(a, round(b, 6)) for a, b in found[0]] == [(a, round(b, 6)) for a, b in found[1]]
+
+
+def test_single_plays_and_silent_tracks_harm_nobody(spark, small_blocks):
+    """A user with one play is zero after centring, a track that nobody listened to has no length: both count as zeros."""
+    rows = [(1, 1, 0.5), (1, 2, 0.9), (2, 1, 0.4), (2, 2, 0.1), (2, 3, 0.0), (3, 1, 0.7), (4, 2, 0.0), (5, 3, 0.0)]
+    df = spark.createDataFrame(rows, "user long, track long, time double")
+    for out in (nb.user_cf(df, "center", 3), nb.user_cf(df, "l2", 3), nb.item_cf(df, 3)):
+        got = out.collect()
+        assert all(np.isfinite(r["score"]) for r in got)
+        assert all(sorted(x) == [1, 2, 3] for x in lists_of(out).values()) and len(lists_of(out)) == 5
