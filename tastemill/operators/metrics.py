@@ -226,7 +226,8 @@ def gini(counts: DataFrame, items: DataFrame | None = None, value: str = "n") ->
 
 
 def intra_list_diversity(recs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Per user: mean of 1 - cosine over the unordered pairs of the list, from the sum of the unit vectors (no pairs)."""
+    """Per user: mean of 1 - cosine over the unordered pairs of the list, from the sum of the unit vectors (no pairs), and the
+    number of list items whose vector is known; NULL for fewer than two of these."""
     dim = vector_dim(vectors)
     unit = vectors.select(F.col("id").alias("track"), _unit("vector").alias("vector"))
     sums = recs.select("user", "track").join(unit, "track").groupBy("user").agg(
@@ -234,7 +235,9 @@ def intra_list_diversity(recs: DataFrame, vectors: DataFrame) -> DataFrame:
     )
     square = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x * x)
     mean = (square - F.col("_n")) / (F.col("_n") * (F.col("_n") - 1))
-    return sums.select("user", F.when(F.col("_n") > 1, 1 - mean).alias("diversity"))
+    known = sums.select("user", F.when(F.col("_n") > 1, 1 - mean).alias("diversity"), F.col("_n").alias("known"))
+    users = recs.select("user").distinct().join(known, "user", "left")
+    return users.withColumn("known", F.coalesce("known", F.lit(0)))
 
 
 def _unit(vector: str) -> Column:

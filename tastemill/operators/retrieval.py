@@ -175,16 +175,13 @@ def similarity_profile(items: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def nearest_distance(recs: DataFrame, history: DataFrame, items: DataFrame) -> DataFrame:
-    """Per recommended row: smallest cosine distance to an item of the user's history. Lists are of fixed length, so
-    the join grows with the history, not with its square."""
+    """Per recommended row: smallest cosine distance to an item of the user's history, NULL where no two vectors are known.
+    Lists are of fixed length, so the join grows with the history, not with its square."""
     vec = items.select(F.col("id").alias("track"), "vector")
     shown = recs.select("user", "track").join(vec, "track").select("user", "track", F.col("vector").alias("_a"))
     own = history.select("user", "track").distinct().join(vec, "track").select("user", F.col("track").alias("_h"), F.col("vector").alias("_b"))
-    return (
-        shown.join(own, "user")
-        .groupBy("user", "track")
-        .agg(F.min(1 - cosine("_a", "_b")).alias("distance"))
-    )
+    near = shown.join(own, "user").groupBy("user", "track").agg(F.min(1 - cosine("_a", "_b")).alias("distance"))
+    return recs.select("user", "track").distinct().join(near, ["user", "track"], "left")
 
 
 def _bucketed(queries: DataFrame, items: DataFrame, k: int, metric: str, digits: int, exclude_self: bool) -> DataFrame:

@@ -164,14 +164,16 @@ def expected_time(
     order: tuple = ("rank",),
 ) -> DataFrame:
     """Expected played share per list row: logistic response to the user-item score, times gamma per earlier track of
-    the same artist, 0 on a repeated track, rounded to two digits.
+    the same artist, 0 on a repeated track, rounded to two digits; NULL where the user's or the track's vector is unknown.
+    Tracks of unknown artist are of an artist of their own.
 
     ``users`` has (user, vector, consume_bias, consume_sharpness); ``items`` (id, vector).
     """
     listed = (
-        recs.join(users.withColumnRenamed("vector", "_u"), "user")
-        .join(items.select(F.col("id").alias("track"), F.col("vector").alias("_v")), "track")
-        .join(catalog.select("track", "artist"), "track")
+        recs.join(users.withColumnRenamed("vector", "_u"), "user", "left")
+        .join(items.select(F.col("id").alias("track"), F.col("vector").alias("_v")), "track", "left")
+        .join(catalog.select("track", "artist"), "track", "left")
+        .withColumn("artist", F.coalesce(F.concat(F.lit("="), "artist"), F.col("track").cast("string")))
         .withColumn("_raw", sigmoid((dot("_u", "_v") - F.col("consume_bias")) * F.col("consume_sharpness")))
         .select("user", "track", *order, "artist", "_raw")
     )

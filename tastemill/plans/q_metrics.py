@@ -262,7 +262,7 @@ def l2_gini(spark, sf):
 @query(
     "l3_intra_list_diversity",
     ctes(INTER, PAIRS, RECS, VEC) + """, l AS (SELECT "user", track, vector::DOUBLE[] AS v FROM recs JOIN vec ON vec.id = track)
-SELECT u."user", round(x, 6) AS diversity FROM (SELECT DISTINCT "user" FROM l) u LEFT JOIN (SELECT a."user", avg(1 - list_cosine_similarity(a.v, b.v)) AS x
+SELECT u."user", round(x, 6) AS diversity, coalesce(known, 0) AS known FROM (SELECT DISTINCT "user" FROM recs) u LEFT JOIN (SELECT "user", count(*) AS known FROM l GROUP BY 1) USING ("user") LEFT JOIN (SELECT a."user", avg(1 - list_cosine_similarity(a.v, b.v)) AS x
   FROM l a JOIN l b ON a."user" = b."user" AND a.track < b.track GROUP BY 1) q USING ("user")""",
 )
 def l3_ild(spark, sf):

@@ -175,8 +175,9 @@ def l24_content(spark, sf):
 
 @query(
     "l4_history_distance",
-    ctes(INTER, PAIRS, RECS, VEC) + """SELECT r."user", r.track, round(min(1 - list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[])), 6) + 0.0 AS distance
-FROM recs r JOIN vec a ON a.id = r.track JOIN pairs p ON p."user" = r."user" JOIN vec b ON b.id = p.track GROUP BY 1, 2""",
+    ctes(INTER, PAIRS, RECS, VEC) + """, near AS (SELECT r."user", r.track, round(min(1 - list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[])), 6) + 0.0 AS distance
+FROM recs r JOIN vec a ON a.id = r.track JOIN pairs p ON p."user" = r."user" JOIN vec b ON b.id = p.track GROUP BY 1, 2)
+SELECT "user", track, distance FROM recs LEFT JOIN near USING ("user", track)""",
 )
 def l4_distance(spark, sf):
     recs, _ = lists(spark, sf)

@@ -149,7 +149,7 @@ def c1_draw(spark, sf):
 @query(
     "v1_expected_time",
     ctes(INTER, PAIRS, RECS, CATALOG, VEC) + """, u AS (SELECT "user", list(v ORDER BY i) AS v FROM (SELECT "user", i, avg(vector[i]::DOUBLE) AS v FROM (SELECT DISTINCT "user", track FROM pairs) JOIN vec ON id = track, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1),
-l AS (SELECT r."user", r.track, r.rank, artist, 1 / (1 + exp(-(list_dot_product(u.v, vector::DOUBLE[]) - 0.1) * 5)) AS raw FROM recs r JOIN u ON u."user" = r."user" JOIN vec ON id = r.track JOIN catalog c ON c.track = r.track)
+l AS (SELECT r."user", r.track, r.rank, artist, 1 / (1 + exp(-(list_dot_product(u.v, vector::DOUBLE[]) - 0.1) * 5)) AS raw FROM recs r LEFT JOIN u ON u."user" = r."user" LEFT JOIN vec ON id = r.track JOIN catalog c ON c.track = r.track)
 SELECT "user", track, rank, round(raw * power(0.8, row_number() OVER (PARTITION BY "user", artist ORDER BY rank) - 1), 2) AS "time" FROM l""",
 )
 def v1_expected(spark, sf):
