@@ -11,6 +11,8 @@ from .joins import semi
 from .ordering import join_nullsafe, number_rows, top_k_per
 from .selects import replicate, union_all
 
+#: Catalog positions that one task numbers together.
+SEEN_SLICE = 100_000
 RANK_SLICE = 64
 
 
@@ -144,7 +146,9 @@ def nth_unseen(ranks: DataFrame, known: DataFrame, user: str = "user") -> DataFr
     The j-th seen position s_j pushes every rank >= s_j - j up by one; runs of seen positions share one such value.
     ``known`` has distinct (user, _at) rows.
     """
-    numbered = known.withColumn("_j", F.row_number().over(Window.partitionBy(user).orderBy("_at")) - 1)
+    # numbered in slices of positions, so that a user who has seen most of the catalog is several tasks
+    numbered = number_rows(known, [user], ["_at"], "_j", slice_by=F.floor(F.col("_at") / SEEN_SLICE))
+    numbered = numbered.withColumn("_j", F.col("_j") - 1)
     marks = (
         numbered.groupBy(user, (F.col("_at") - F.col("_j")).alias("_t"))
         .agg(F.count(F.lit(1)).alias("_c"))

@@ -484,14 +484,33 @@ def l16_ppr(spark, sf):
     return rounded(gr.ppr(edges, start, 0.85, 8), "score")
 
 
-@query("l16_user_pagerank")
+def user_ppr_sql(rounds: int, seeds: int, k: int) -> str:
+    parts = [
+        INTER, """pairs_ AS (SELECT DISTINCT 'u' || "user" AS a, 'i' || track AS b FROM inter)""",
+        "e AS (SELECT a AS src, b AS dst FROM pairs_ UNION ALL SELECT b, a FROM pairs_)",
+        "st AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM e)",
+        f"""s0 AS (SELECT 'u' || "user" AS seed, 'u' || "user" AS id, 1.0::DOUBLE AS p FROM
+  (SELECT "user", count(*) AS n FROM inter GROUP BY 1 ORDER BY n DESC, "user" LIMIT {seeds}))""",
+    ]
+    for n in range(1, rounds + 1):
+        parts.append(
+            f"s{n} AS (SELECT seed, id, sum(p) AS p FROM (SELECT seed, dst AS id, p * w * 0.85 AS p FROM s{n - 1} JOIN st ON st.src = s{n - 1}.id "
+            f"UNION ALL SELECT seed, seed, 0.15 FROM (SELECT DISTINCT seed FROM s0)) GROUP BY 1, 2)"
+        )
+    return ctes(*parts) + f"""SELECT seed, id, round(p, 6) AS score, CAST(rank AS INTEGER) AS rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(p, 9) DESC, id) AS rank FROM s{rounds}) WHERE rank <= {k}"""
+
+
+@query("l16_user_pagerank", user_ppr_sql(4, 5, 100))
 def l16_users(spark, sf):
-    """PageRank over the user-item graph from the heaviest player."""
+    """PageRank over the user-item graph from each of the five heaviest players: their hundred best nodes."""
     plays = interactions(spark, sf)
     edges = gr.bipartite_edges(plays)
-    top = od.top_n(value_counts(plays, "user"), [F.col("n").desc(), "user"], 1)
+    top = od.top_n(value_counts(plays, "user"), [F.col("n").desc(), "user"], 5)
     start = top.select(F.concat(F.lit("u"), "user").alias("seed"), F.concat(F.lit("u"), "user").alias("id"), F.lit(1.0).alias("weight"))
-    return rounded(gr.ppr(edges, start, 0.85, 4), "score")
+    ranks = gr.ppr(edges, start, 0.85, 4).withColumn("_p", F.round("score", 9))
+    best = od.top_k_per(ranks, ["seed"], [F.col("_p").desc(), "id"], 100)
+    return rounded(best.select("seed", "id", "score", "rank"), "score")
 
 
 # ---------------------------------------------------------------- text
