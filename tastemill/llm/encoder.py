@@ -14,6 +14,8 @@ LEADING = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 MIXED_SPACE = re.compile(rb"[ \n]\n|  |[\x00\t\x0b-\r]")
 #: Pieces longer than this are encoded, not remembered.
 LONGEST = 64
+#: Pieces encoded in one call.
+TOGETHER = 20_000
 
 
 class Encoder:
@@ -39,6 +41,18 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of short pieces; byte-level vocabularies take them as one list of words, which spares an object per piece."""
+        if self.split != "leading":
+            return self._ids(pieces)
+        out: list[bytes] = []
+        for a in range(0, len(pieces), TOGETHER):
+            part = pieces[a : a + TOGETHER]
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids, ends = np.array(got.ids, "<u4"), np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))
+            out += [ids[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        return out
+
     def _pieces(self, data: bytes) -> list[bytes] | None:
         if self.split is None or (self.special and self.special in data):
             return None
@@ -72,7 +86,7 @@ class Encoder:
         if len(self.memory) > self.limit:
             self.memory.clear()
         missing = list(seen.difference(self.memory))
-        self.memory.update(zip(missing, self._ids([self._spelled(p) for p in missing]), strict=True))
+        self.memory.update(zip(missing, self._ids_of_pieces([self._spelled(p) for p in missing]), strict=True))
         out = [
             self._ids([data.decode()])[0] if pieces is None else b"".join(map(self.memory.__getitem__, pieces))
             for data, pieces in zip(texts, cut, strict=True)
