@@ -41,3 +41,14 @@ def slices(sizes, most: int):
         held += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete intermediate tables that ``materialize`` wrote, once everything built on them has been written itself."""
+    for table_ in tables:
+        files = table_.inputFiles() if table_ is not None else []
+        folder = files[0].rsplit("/", 1)[0] if files else ""
+        if "/tastemill/" in folder:
+            spark = table_.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
