@@ -78,7 +78,8 @@ def digest(text: Column) -> Column:
     """md5 of the canonical form, NULL where no word is left."""
     words = plain_words(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, ""))
     table = F.create_map(*[F.lit(x) for pair in EQUIVALENT.items() for x in pair])
-    same = F.transform(words, lambda w: F.coalesce(F.element_at(table, w), w))
+    # the membership test is a hash lookup; a map is searched from end to end, so only for the words that are in it
+    same = F.transform(words, lambda w: F.when(w.isin(list(EQUIVALENT)), F.element_at(table, w)).otherwise(w))
     form = F.array_join(same, " ")
     return F.when(form != "", F.md5(form.cast("binary")))
 
