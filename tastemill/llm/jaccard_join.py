@@ -5,7 +5,8 @@ hashes begin with the longest, and so mostly rarest, shingles. Two sets link whe
 n shingles can miss at most m = n - ceil(percent n / 100) of a partner's. All sets are ordered alike, and a link shows in
 the first tokens of both:
 
-1. Equal sets are one class, known by its smallest doc_id; only classes go on.
+1. Equal sets are one class, known by a 64-bit hash of the set (``doc`` below); only classes go on, each as one row, however
+   often a row is repeated and however many texts share a doc_id.
 2. Every class stores a prefix of its sorted hashes, half as long again as the m + 1 it needs. Tokens that more than ``rare``
    classes have among their first m + 1 are frequent; those classes are given signatures anew, and tokens that more than
    ``rare`` of them would then sign with become frequent, too, a few times over. Any choice of frequent tokens is exact: it
@@ -24,8 +25,8 @@ the first tokens of both:
    a task takes two blocks and counts all common tokens by matrix products, so that no candidate pair is ever a row.
 
 Defined results: a text with fewer words than a shingle has the whole sequence as its one shingle; NULL, empty and blank
-texts have the empty set, which links with nothing; rows that repeat a doc_id with other texts are joined like any others and
-share that id; a row without doc_id gets no component and links nothing; repeated rows are kept. Other columns are ignored.
+texts have the empty set, which links with nothing; rows that repeat a doc_id with other texts are joined like any others, and
+that id links them; a row without doc_id gets no component and links nothing; repeated rows are kept. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -152,10 +153,14 @@ def _longs(lists: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([x is None for x in lists]))
 
 
+def _classes(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), 2) for s in sets], np.uint64).view(np.int64))
+
+
 def _signed(rows: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
     """(doc, n, singles, pairs) of rows (doc, n, tokens); both NULL where the tokens given are not enough."""
     tokens = rows.select("doc", F.explode("tokens").alias("sig"))
-    # at most all tokens of one document
+    # at most all tokens of one set: ``doc`` is a class, of which there is one row
     among = tokens.join(frequent, "sig", "left_semi").groupBy("doc").agg(F.collect_list("sig").alias("frequent"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +179,7 @@ def _signed(rows: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
     return known.mapInArrow(run, "doc long, n long, singles array<long>, pairs array<long>")
 
 
-def _signatures(docs: DataFrame, heads: DataFrame, words: int, percent: int, rare: int, rounds: int = 3) -> DataFrame:
+def _signatures(heads: DataFrame, whole_sets, percent: int, rare: int, rounds: int = 3) -> DataFrame:
     """(sig, doc, n): the signatures of all classes."""
     needed = F.slice("prefix", F.lit(1), (_misses(F.col("n"), percent) + 1).cast("int"))
     plain = heads.select("doc", "n", F.explode(needed).alias("sig"))
@@ -188,12 +193,7 @@ def _signatures(docs: DataFrame, heads: DataFrame, words: int, percent: int, rar
         short = first.filter(F.col("singles").isNull()).select("doc")
         for known in whole:
             short = short.join(known.select("doc"), "doc", "left_anti")
-        more = _sets(
-            _texts_of(docs, materialize(short, "short")), words,
-            lambda ids, sets: [ids, pa.array([len(s) for s in sets], pa.int64()), _longs(sets)],
-            "doc long, n long, tokens array<long>",
-        )
-        whole.append(materialize(more, "whole"))
+        whole.append(materialize(whole_sets(materialize(short, "short")), "whole"))
         second = materialize(_signed(reduce(DataFrame.unionByName, whole), frequent, percent), "signed_whole")
         signed = first.filter(F.col("singles").isNotNull()).unionByName(second)
         if turn + 1 == rounds:
@@ -216,15 +216,29 @@ def _signatures(docs: DataFrame, heads: DataFrame, words: int, percent: int, rar
 def _base(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def make(ids, sets):
         n = [len(s) for s in sets]
-        digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         prefix = [s[: prefix_length(len(s), percent)] for s in sets]
-        return [ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _longs(prefix)]
+        return [ids, pa.array(n, pa.int64()), _classes(sets), _longs(prefix)]
+
+    return _sets(docs, words, make, "doc_id long, n long, doc long, prefix array<long>")
 
-    return _sets(docs, words, make, "doc_id long, n long, digest binary, prefix array<long>")
 
+def _whole(docs: DataFrame, ids: DataFrame, several: DataFrame | None, words: int) -> DataFrame:
+    """(doc, n, tokens): the whole sets of the classes ``ids(doc, doc_id)``, each once. ``several`` holds the doc_ids of more than
+    one row, whose rows may repeat or have other sets."""
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    def read(wanted: DataFrame, repeated: bool) -> DataFrame:
+        texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+        return _sets(
+            texts.distinct() if repeated else texts, words,
+            lambda _, sets: [_classes(sets), pa.array([len(s) for s in sets], pa.int64()), _longs(sets)],
+            "doc long, n long, tokens array<long>",
+        )
+
+    if several is None:
+        return read(ids, False)
+    shared = ids.join(several, "doc_id", "left_semi")
+    once = read(shared, True).join(shared.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
+    return read(ids.join(several, "doc_id", "left_anti"), False).unionByName(once)
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -235,7 +249,7 @@ def _misses(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100 - 1e-9)
 
 
-def _verify(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, heads: DataFrame, whole_sets, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets link: by their prefixes, then by their whole sets."""
     one = heads.select(F.col("doc").alias("a"), F.col("prefix").alias("x"), F.col("n").alias("n"))
     other = heads.select(F.col("doc").alias("b"), F.col("prefix").alias("y"), F.col("n").alias("m"))
@@ -244,10 +258,7 @@ def _verify(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, per
     near = materialize(near.select("a", "b").distinct(), "near")
 
     ids = materialize(near.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "near_docs")
-    whole = _sets(
-        _texts_of(docs, ids), words, lambda ids, sets: [ids, _longs(sets)], "doc long, tokens array<long>"
-    )
-    sets = materialize(whole, "near_sets")
+    sets = materialize(whole_sets(ids).select("doc", "tokens"), "near_sets")
     left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y"))
     joined = near.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("x", "y")))
@@ -304,13 +315,12 @@ def linked_pairs(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> tu
     return a[one], b[one]
 
 
-def _block_links(lists: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _block_links(lists: DataFrame, whole_sets, percent: int) -> DataFrame:
     """(a, b): links between members (sig, doc, label) of long lists, at least one for each two labels that link."""
     stars = lists.groupBy("sig").agg(F.min("doc").alias("a")).join(lists.select("sig", F.col("doc").alias("b")), "sig")
     roots = materialize(components(stars.select("a", "b").distinct()).withColumnRenamed("node", "doc"), "long_lists")
     blocks = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    sets = _sets(_texts_of(docs, roots), words, lambda ids, sets: [ids, _longs(sets)], "doc long, tokens array<long>")
-    sets = materialize(sets, "long_sets")
+    sets = materialize(whole_sets(roots.select("doc")).select("doc", "tokens"), "long_sets")
     rows = sets.join(lists.select("doc", "label").distinct(), "doc").join(roots, "doc").join(blocks, "root")
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -331,30 +341,45 @@ def _block_links(lists: DataFrame, docs: DataFrame, words: int, percent: int) ->
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, rare: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) of every row of ``docs(doc_id, text)``."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = materialize(_base(docs, words, percent), "sets")
-    some = base.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"))
-    copies = some.select("doc_id", "digest").distinct().join(classes.filter("doc < last").drop("last"), "digest")
-    copies = materialize(copies.filter(F.col("doc") != F.col("doc_id")), "copies")
+    named = base.filter(F.col("doc_id").isNotNull())
+    some = named.filter(F.col("n") > 0)
+    classes = some.groupBy("doc").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    classes = materialize(classes, "classes")
+    copies = some.select("doc_id", "doc").distinct().join(classes.filter("first < last").drop("last"), "doc")
+    copies = materialize(copies.filter(F.col("first") != F.col("doc_id")).select("doc_id", "doc"), "copies")
+    of_id = F.when(F.col("n") > 0, F.col("doc"))
+    several = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(of_id).alias("a"), F.max(of_id).alias("z"))
+    several = materialize(several.filter("rows > 1").drop("rows"), "several")
+    repeated = several if several.limit(1).count() else None
 
     # a set this small links with equal sets only
     large = some.filter(F.col("n") * 100 >= (F.col("n") + 1) * percent)
-    heads = large.join(copies.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
-    heads = materialize(heads.select(F.col("doc_id").alias("doc"), "n", "prefix"), "heads")
-    rows = materialize(base.select("doc_id", F.col("n").alias("n_shingles"), "digest"), "rows")
+    heads = large.join(copies, ["doc_id", "doc"], "left_anti").select("doc", "doc_id", "n", "prefix")
+    if repeated is not None:
+        once = heads.join(repeated, "doc_id", "left_semi").select(heads.columns).dropDuplicates(["doc"])
+        heads = heads.join(repeated, "doc_id", "left_anti").select(heads.columns).unionByName(once)
+    heads = materialize(heads, "heads")
+    rows = materialize(base.select("doc_id", F.col("n").alias("n_shingles"), "doc"), "rows")
     discard(base)
-    sigs = _signatures(docs, heads, words, percent, rare)
+    id_of = classes.select("doc", F.col("first").alias("doc_id"))
+
+    def whole_sets(ids: DataFrame) -> DataFrame:
+        return _whole(docs, id_of.join(ids, "doc", "left_semi"), repeated, words)
+
+    sigs = _signatures(heads, whole_sets, percent, rare)
 
     lists = sigs.groupBy("sig").agg(F.min("doc").alias("a"), F.min_by("n", "doc").alias("m"), F.max("doc").alias("last"))
     members = sigs.join(lists.filter("a < last").select("sig", "a", "m"), "sig")
     members = materialize(members, "members")
     discard(sigs)
     labels = materialize(members.select("doc").distinct().withColumn("label", F.col("doc")), "labels")
-    near = materialize(heads.join(labels.select("doc"), "doc", "left_semi"), "near_heads")
+    near = materialize(heads.join(labels.select("doc"), "doc", "left_semi").drop("doc_id"), "near_heads")
     discard(heads)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return _verify(_ordered(pairs, percent), near, docs, words, percent)
+        return _verify(_ordered(pairs, percent), near, whole_sets, percent)
 
     # 4a: the first member of each list
     labels = _relabel(labels, linked(members.withColumnRenamed("doc", "b")))
@@ -371,15 +396,23 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, rare:
     # 4c: all members of different labels
     mixed = _mixed(mixed.select("sig", "doc", "n"), labels)
     long = materialize(mixed.groupBy("sig").count().filter(F.col("count") > LONG_LIST).select("sig"), "long")
-    links = _block_links(mixed.join(long, "sig", "left_semi"), docs, words, percent)
+    links = _block_links(mixed.join(long, "sig", "left_semi"), whole_sets, percent)
     short = mixed.join(long, "sig", "left_anti")
     one = short.select("sig", F.col("label").alias("la"), F.col("doc").alias("a"), "n")
     other = short.select("sig", F.col("label").alias("lb"), F.col("doc").alias("b"), F.col("n").alias("m"))
     pairs = one.join(other, "sig").filter(F.col("la") < F.col("lb"))
     labels = _relabel(labels, links.unionByName(linked(pairs)))
 
-    rows = rows.join(copies, ["doc_id", "digest"], "left")
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("doc", "doc_id").alias("doc"))
-    rows = rows.withColumn("doc", F.when(F.col("n_shingles") > 0, F.col("doc")))
-    component = F.coalesce("label", "doc", "doc_id")
-    return rows.join(labels, "doc", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    if repeated is not None:  # a doc_id links the classes of its texts
+        ids = rows.filter(F.col("n_shingles") > 0).select("doc_id", "doc").distinct()
+        ids = ids.join(repeated.filter("a < z"), "doc_id").filter(F.col("a") != F.col("doc"))
+        roots = components(labels.select(F.col("doc").alias("a"), F.col("label").alias("b")).union(ids.select("a", "doc")))
+        alone = labels.join(roots, F.col("doc") == F.col("node"), "left_anti")
+        labels = materialize(roots.select(F.col("node").alias("doc"), F.col("root").alias("label")).unionByName(alone), "labels")
+    marked = labels.join(classes, "doc")
+    least = marked.groupBy("label").agg(F.min("first").alias("component"))
+    known = marked.join(least, "label").select("doc", "component")
+    equal = classes.filter("first < last").join(labels, "doc", "left_anti").select("doc", F.col("first").alias("component"))
+    found = rows.join(known.unionByName(equal), "doc", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"))

@@ -43,6 +43,34 @@ def test_group_edges(spark):
     assert jaccard_components(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_one_class(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 3)
+    sizes, signed = [], jaccard_join._signatures
+
+    def watched(*args):
+        for rows in args:  # the classes, by whichever name
+            if hasattr(rows, "columns") and "prefix" in rows.columns:
+                sizes.append(rows.count())
+        return signed(*args)
+
+    monkeypatch.setattr(jaccard_join, "_signatures", watched)
+    words = [f"w{i}" for i in range(60)]
+    text, others = " ".join(words), [" ".join([*words[:i], "x", *words[i + 1 :]]) for i in range(0, 60, 4)]
+    rows = [(7, text)] * 3000 + [(7, text.upper())] * 20 + [(8 + i, t) for i, t in enumerate(others)]
+    rows += [(50, " ".join(f"y{j}" for j in range(i, i + 40))) for i in range(0, 400, 40)] * 2
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sizes == [1 + len(others) + 10]
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(d, linked_groups(rows[2999:], 3, 90)[d][1]) for d, _ in rows}
+
+
+def test_a_shared_id_links_its_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, b), (7, b + " z"), (9, b + " z"), (10, c), (11, c), (12, "p q"), (12, c + " z"), (13, "p q"), (14, "")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(d, g) for d, (_, g) in linked_groups(rows, 3, 90).items()}
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(3)
     for _ in range(300):
