@@ -31,6 +31,22 @@ def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.filter(spread < int(1_000_000 * rows / total))
 
 
+def stratified_sample(df: DataFrame, rows: int, least: int, by: str, *keys: str) -> DataFrame:
+    """About ``rows`` rows, and of every value of ``by`` at least about ``least`` (all, if it has no more), chosen by a hash of
+    ``keys``, the same in every run. Rows that repeat ``by`` and ``keys`` count as one."""
+    bits = 53
+    spread = F.xxhash64(F.lit("sample"), *[F.col(k) for k in keys]).bitwiseAND(F.lit((1 << bits) - 1)) / F.lit(float(1 << bits))
+    marked = df.withColumn("_spread", spread)
+    sizes = marked.select(by, "_spread").distinct().groupBy(by).count().collect()
+    total = sum(r["count"] for r in sizes)
+    shares = [(r[by], max(rows / total, least / r["count"])) for r in sizes]
+    schema = df.select(by, F.lit(1.0).alias("_share")).schema
+    # one row per value of ``by``
+    share = F.broadcast(df.sparkSession.createDataFrame(shares, schema))
+    kept = marked.join(share, by).filter(F.col("_spread") < F.col("_share"))
+    return kept.dropDuplicates([by, "_spread"]).select(df.columns)
+
+
 def slices(sizes, most: int):
     """Cut positions 0..len(sizes) into runs whose sizes add up to ``most`` or are one item."""
     start, held = 0, 0

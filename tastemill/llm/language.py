@@ -1,14 +1,15 @@
 """Language of whole texts: known words by their log frequency per language, unseen words by shorter and shorter n-grams.
 
-Training counts words and character n-grams per language with Spark over a bounded sample of labelled rows and keeps the
-most frequent ones, so that the model has a fixed largest size. A text's words are scored against every language: a word of
+Training counts words and character n-grams per language with Spark over a bounded sample of labelled rows, which holds rows of
+every language, and keeps the most frequent ones, so that the model has a fixed largest size per language. What a language
+has not shown scores the same in all languages, however much of each was read. A text's words are scored against every language: a word of
 the list by its log frequency; another one by the mean log frequency of its character n-grams, starting with the longest
 and backing off to shorter ones until some n-gram is known; a word without any known n-gram says nothing. The sums give the
 language and, as a softmax, its score.
 
 Defined results: a NULL text and one without a letter are ``und`` with score 0; without any labelled row every text is;
-ties go to the language that sorts first; rows without doc_id count as held out; repeated rows are scored each. Other
-columns pass through.
+ties go to the language that sorts first; rows without doc_id count as held out; repeated rows teach once and are scored
+each. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.llm.common import bounded_sample, is_held_out
+from tastemill.llm.common import is_held_out, stratified_sample
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -88,10 +89,12 @@ class Backoff(dict):
 
 
 def train(docs: DataFrame, sample_rows: int = 4_000, top_words: int = 20_000, top_grams: int = 15_000,
-          longest: int = 5) -> Backoff:
+          longest: int = 5, least_rows: int = 200) -> Backoff:
     """Model of ``docs(doc_id, text, lang)``. Bounds of its size, as parameters: about ``sample_rows`` labelled rows are
-    read, and ``top_words`` words and ``top_grams`` n-grams of each length are kept per language."""
-    rows = bounded_sample(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()), sample_rows, "doc_id")
+    read, but at least about ``least_rows`` of every language (all, if it has no more), and ``top_words`` words and
+    ``top_grams`` n-grams of each length are kept per language."""
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    rows = stratified_sample(labelled, sample_rows, least_rows, "lang", "doc_id", "text")
     split = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
     words = rows.select("lang", split.alias("item")).filter(F.length("item") > 0).groupBy("lang", "item").count()
     words = words.cache()
@@ -118,8 +121,9 @@ def train(docs: DataFrame, sample_rows: int = 4_000, top_words: int = 20_000, to
     tables: list[dict[str, np.ndarray]] = []
     for n in range(longest + 1):
         masses = total[total["n"] == n].set_index("lang")["mass"]
-        # half a count for what a language has not shown
-        unseen = np.array([math.log(0.5 / (masses.get(lang, 0) + 1)) for lang in langs])
+        # half a count of the largest language for what a language has not shown: a floor of its own mass would be the higher
+        # the less of a language was read
+        unseen = np.full(len(langs), math.log(0.5 / (masses.max() + 1)) if len(masses) else 0.0)
         held: dict[str, np.ndarray] = {}
         for lang, item, count in got[got["n"] == n][["lang", "item", "count"]].itertuples(index=False):
             row = held.setdefault(item, unseen.copy())

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 
 from tastemill.llm import language, quality
@@ -39,6 +40,29 @@ def test_language_edges(spark):
     assert language.identify(nothing.limit(0)).count() == 0
 
 
+def test_rare_languages(spark):
+    rng = np.random.default_rng(4)
+
+    def vocabulary(letters, n):
+        return ["".join(rng.choice(list(letters), rng.integers(3, 9))) for _ in range(n)]
+
+    vocabularies = {"big": vocabulary("abcdefghijklm", 4000), "mid": vocabulary("hijklmnopqrs", 4000), "few": vocabulary("mnopqrstuvwx", 150)}
+    weights = {lang: 1 / np.arange(10, 10 + len(words)) for lang, words in vocabularies.items()}
+
+    def text(lang):
+        return " ".join(rng.choice(vocabularies[lang], 100, p=weights[lang] / weights[lang].sum()))
+
+    rows = [(i, text("big"), "big") for i in range(3000)] + [(i, text("mid"), "mid") for i in range(3000, 4000)]
+    rows += [(4000 + i, text("few"), "few") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    asked = [(lang, text(lang)) for lang in vocabularies for _ in range(30)]
+    for bound in (300, 10_000):  # few rows of a sample, and a sample with all rows
+        model = language.train(docs, sample_rows=bound)
+        assert model.langs == ["big", "few", "mid"]
+        names, _ = model.predict([t for _, t in asked])
+        assert sum(a == b for a, (b, _) in zip(names, asked, strict=True)) >= 87
+
+
 @needs_tables
 def test_quality_held_out_accuracy(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
