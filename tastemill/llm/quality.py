@@ -3,7 +3,8 @@
 The terms of a text are its word shapes (``Abc,`` and ``Xyzt,`` are both ``Aa,``: runs of lower-case letters, capitals,
 digits or one sign become one character) and a few terms for repeated words, repeated lines, vocabulary and length. Counts
 are weighted by log frequency and inverse document frequency, and projected on the leading singular vectors of the labelled
-sample. Every document is compared, block by block, with all labelled vectors by exact cosine; the nearest ones vote.
+sample. Every document is compared, block by block, with all labelled vectors by exact cosine; the nearest ones vote. Labelled
+rows that repeat doc_id, text and label are one vector, weighted by their number.
 
 Defined results: a text without any term of the model (NULL or empty texts, too) gets the share of label 1 in the sample,
 and 0.5 where there are no labelled rows; labels that are NULL teach nothing; a doc_id labelled or stored twice teaches
@@ -23,7 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.llm.common import bounded_sample, is_held_out
+from tastemill.llm.common import is_held_out
+from tastemill.session import materialize
 
 SHAPE_LENGTH = 12
 BLOCK = 512
@@ -62,7 +64,7 @@ def terms(text: str | None) -> Counter:
 
 @dataclass
 class Voters:
-    """Terms with their weights, the projection, and the labelled vectors."""
+    """Terms with their weights, the projection, and the labelled vectors with the number of rows each stands for."""
 
     columns: dict[bytes, int]
     idf: np.ndarray
@@ -71,6 +73,7 @@ class Voters:
     labels: np.ndarray
     neighbours: int
     sharpness: float
+    times: np.ndarray
 
     def weighted(self, counts: list[Counter]) -> np.ndarray:
         x = np.zeros((len(counts), len(self.columns)), np.float32)
@@ -86,7 +89,7 @@ class Voters:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, counts: list[Counter]) -> np.ndarray:
-        prior = float(self.labels.mean()) if len(self.labels) else 0.5
+        prior = float(np.average(self.labels, weights=self.times)) if len(self.labels) else 0.5
         out = np.full(len(counts), prior)
         if not len(self.labels):
             return out
@@ -94,8 +97,12 @@ class Voters:
             z = self.project(self.weighted(counts[a : a + BLOCK]))
             near = np.maximum(z @ self.vectors.T, 0)
             k = min(self.neighbours, near.shape[1])
-            least = np.partition(near, near.shape[1] - k, 1)[:, [near.shape[1] - k]]
-            weight = np.where(near >= least, near, 0.0) ** self.sharpness
+            top = np.argpartition(near, near.shape[1] - k, 1)[:, near.shape[1] - k :]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), 1), 1)
+            before = np.cumsum(self.times[top], 1) - self.times[top]
+            last = (before < self.neighbours).sum(1, keepdims=True) - 1
+            least = np.take_along_axis(near, np.take_along_axis(top, last, 1), 1)
+            weight = np.where(near >= least, near, 0.0) ** self.sharpness * self.times
             total = weight.sum(1)
             vote = (weight @ self.labels) / np.maximum(total, 1e-30)
             out[a : a + BLOCK] = np.where(total > 1e-12, vote, prior)
@@ -104,34 +111,50 @@ class Voters:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4_000, top_terms: int = 2_048, dimensions: int = 64,
           neighbours: int = 15, sharpness: float = 4.0) -> Voters:
-    """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, quality)``. The model's size is bounded by its parameters: about
-    ``sample_rows`` labelled rows, ``top_terms`` terms and ``dimensions``."""
+    """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, quality)``. The model's size is bounded by its parameters: at most
+    ``sample_rows`` distinct labelled rows, drawn by a hash of the row, ``top_terms`` terms and ``dimensions``."""
     known = labels.filter(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("label"))
-    chosen = bounded_sample(known, sample_rows, "doc_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by sample_rows, a parameter
+    known = known.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("labelled"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    stored = texts.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("stored"))
+    joined = stored.join(known, "doc_id").withColumn("times", F.col("stored") * F.col("labelled"))
+    draw = F.xxhash64(F.lit("sample"), "doc_id", "hash", "label")
+    chosen = joined.select("doc_id", "hash", "label", "times").orderBy(draw, "doc_id", "hash", "label").limit(sample_rows)
+    chosen = F.broadcast(materialize(chosen, "chosen"))  # at most sample_rows rows, a parameter
+    rows = texts.join(chosen, ["doc_id", "hash"]).select("doc_id", "hash", "label", "times", "text").distinct()
+    rows = materialize(rows, "taught")
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for text, times in zip(frame["text"], frame["times"], strict=True):
+                found = list(terms(text))
+                yield pd.DataFrame({"term": found, "times": [times] * len(found)})
+
+    every = rows.mapInPandas(listed, "term binary, times long").groupBy("term").agg(F.sum("times").alias("seen"))
+    seen = {bytes(r["term"]): r["seen"] for r in every.orderBy(F.desc("seen"), "term").limit(top_terms).collect()}
+    top = sorted(seen, key=lambda t: (-seen[t], t))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = [terms(t).most_common(256) for t in frame["text"]]
-            yield pd.DataFrame({
-                "label": frame["label"], "doc_id": frame["doc_id"],
-                "terms": [[t for t, _ in g] for g in got], "counts": [[n for _, n in g] for g in got],
-            })
-
-    got = rows.mapInPandas(count, "label double, doc_id long, terms array<binary>, counts array<long>").toPandas()
-    got = got.sort_values(["doc_id", "label"])
+            got = [terms(t) for t in frame["text"]]
+            held = [[(t, n) for t, n in g.items() if t in seen] for g in got]
+            yield frame[["doc_id", "hash", "label", "times"]].assign(
+                any=[bool(g) for g in got], terms=[[t for t, _ in h] for h in held], counts=[[n for _, n in h] for h in held]
+            )
+
+    got = rows.mapInPandas(
+        count, "doc_id long, hash long, label double, times long, any boolean, terms array<binary>, counts array<long>"
+    ).toPandas()
+    got = got[got["any"]].sort_values(["doc_id", "hash", "label"])
     counts = [Counter(dict(zip(map(bytes, t), map(int, n), strict=True))) for t, n in zip(got["terms"], got["counts"], strict=True)]
-    used = [i for i, c in enumerate(counts) if c]
-    counts, label = [counts[i] for i in used], got["label"].to_numpy()[used]
-    seen: Counter = Counter()
-    for c in counts:
-        seen.update(c.keys())
-    top = sorted(seen, key=lambda t: (-seen[t], t))[:top_terms]
-    idf = np.log((1 + len(counts)) / (1 + np.array([seen[t] for t in top], float))) + 1
-    model = Voters({t: i for i, t in enumerate(top)}, idf, np.zeros((len(top), 0)), np.zeros((0, 0)), label, neighbours, sharpness)
+    label, times = got["label"].to_numpy(float), got["times"].to_numpy(float)
+    idf = np.log((1 + times.sum()) / (1 + np.array([seen[t] for t in top], float))) + 1
+    model = Voters(
+        {t: i for i, t in enumerate(top)}, idf, np.zeros((len(top), 0)), np.zeros((0, 0)), label, neighbours, sharpness, times
+    )
     if counts:
         x = model.weighted(counts).astype(float)
-        values, vectors = np.linalg.eigh(x.T @ x)
+        values, vectors = np.linalg.eigh(x.T @ (x * times[:, None]))
         model.basis = vectors[:, np.argsort(-values)[:dimensions]].astype(np.float32)
         model.vectors = model.project(x.astype(np.float32))
     return model

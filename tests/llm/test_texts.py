@@ -85,6 +85,31 @@ def test_quality_edges(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_quality_sample_is_bounded(spark):
+    rows = [(7, "Repeated text, in order.")] * 5000 + [(i, "A plain text, all in order. " + "Ab9! " * (i % 7)) for i in range(8, 40)]
+    long = " ".join(f"{'a9' * (i % 5)}{'B-' * (i % 7)}{'x' * (i % 2)}{',;.:!?'[i % 6] * 2}{'(['[i // 6 % 2]}{'9A'[i // 12 % 2]}" for i in range(2000))
+    docs = spark.createDataFrame([*rows, (50, long)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7, 40)] + [(50, 1)], "doc_id long, quality int")
+    model = quality.train(docs, labels, sample_rows=20)
+    assert len(model.labels) == 20
+    model = quality.train(docs, labels)
+    assert len(model.labels) == 34 and model.times.sum() == 5033
+    assert set(quality.terms(long)) <= set(model.columns) and len(quality.terms(long)) > 256
+
+
+def test_weighted_votes_equal_repeated_rows():
+    rng = np.random.default_rng(2)
+    basis, vectors, labels = np.eye(4), rng.random((9, 4)), np.array([0, 1, 1, 0, 1, 0, 0, 1, 1.0])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    times = np.array([1, 4, 1, 2, 1, 1, 30, 1, 1])
+    columns = {b"%d" % i: i for i in range(4)}
+    few = quality.Voters(columns, np.ones(4), basis, vectors, labels, 5, 4.0, times)
+    at = np.repeat(np.arange(9), times)
+    all_ = quality.Voters(columns, np.ones(4), basis, vectors[at], labels[at], 5, 4.0, np.ones(len(at)))
+    asked = [quality.Counter({b"%d" % i: int(n) for i, n in enumerate(rng.integers(1, 9, 4))}) for _ in range(50)]
+    assert np.allclose(few.score(asked), all_.score(asked))
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=1>Home</a><li><a href=2>More</a></ul></nav>
 <div class="cookie-notice"><p>We use cookies, which this long sentence explains at some length to everyone.</p></div>
