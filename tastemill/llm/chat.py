@@ -7,7 +7,8 @@ the message that matches most characters at its lowest matched level (ties: the
 it. Conversations are listed depth first: a message, then the replies to it, earlier ones first. Quoted lines, and a line such as
 "Ann wrote:" right above them, are taken out of the text.
 
-Only DataFrame functions; a conversation may be of any length. Defined results: messages of one turn, and repeated rows, are
+Only DataFrame functions; a conversation may be of any length and branch anywhere: places come from sums of subtree sizes, in
+rows of fixed width. Defined results: messages of one turn, and repeated rows, are
 ordered by role and text and kept; a NULL turn comes first; messages without conv_id form one conversation; a NULL or
 blank text is an empty message; a NULL role is written as ``unknown``; an empty table gives no rows. Other columns are ignored.
 """
@@ -17,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.operators.ordering import number_rows
+from tastemill.llm.common import discard
+from tastemill.operators.ordering import number_rows, sum_before
 from tastemill.session import materialize
 
 MARKS = r"^((?:[ \t]*>)+)"
@@ -105,19 +107,48 @@ def reply_links(messages: DataFrame) -> DataFrame:
     return chosen.select("conv", "at", (-F.col("best")["col3"]).alias("parent"))
 
 
-def thread_paths(starts: DataFrame) -> DataFrame:
-    """(conv, branch, path): where each branch stands in its conversation, by doubling over (conv, branch, up, path)."""
-    now = materialize(starts, "branches")
+def with_below(branches: DataFrame) -> DataFrame:
+    """(conv, branch, below): sums of ``size`` over each branch and all that hang below it, by doubling over (conv, branch,
+    up, size): after k rounds ``size`` holds what is less than 2^k steps below, and ``up`` is 2^k steps above."""
+    now = materialize(branches.select("conv", "branch", "up", "size"), "branches")
     while now.filter(F.col("up").isNotNull()).limit(1).count():
-        above = now.select("conv", F.col("branch").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"))
-        now = materialize(
-            now.join(above, ["conv", "up"], "left").select(
-                "conv", "branch", F.col("next").alias("up"),
-                F.concat(F.coalesce("before", F.array().cast("array<bigint>")), "path").alias("path"),
-            ),
-            "branches",
-        )
-    return now.select("conv", "branch", "path")
+        hung = now.filter(F.col("up").isNotNull())
+        more = hung.groupBy("conv", F.col("up").alias("branch")).agg(F.sum("size").alias("more"))
+        above = now.select("conv", F.col("branch").alias("up"), F.col("up").alias("next"))
+        joined = now.join(above, ["conv", "up"], "left").join(more, ["conv", "branch"], "left")
+        size = F.col("size") + F.coalesce("more", F.lit(0))
+        after = materialize(joined.select("conv", "branch", F.col("next").alias("up"), size.alias("size")), "branches")
+        discard(now)
+        now = after
+    return now.select("conv", "branch", F.col("size").alias("below"))
+
+
+def with_above(branches: DataFrame) -> DataFrame:
+    """(conv, branch, offset): sums of ``step`` over each branch and all branches above it, by doubling over (conv, branch, up,
+    step)."""
+    now = materialize(branches.select("conv", "branch", "up", "step"), "branches")
+    while now.filter(F.col("up").isNotNull()).limit(1).count():
+        above = now.select("conv", F.col("branch").alias("up"), F.col("up").alias("next"), F.col("step").alias("before"))
+        step = F.col("step") + F.coalesce("before", F.lit(0))
+        joined = now.join(above, ["conv", "up"], "left")
+        after = materialize(joined.select("conv", "branch", F.col("next").alias("up"), step.alias("step")), "branches")
+        discard(now)
+        now = after
+    return now.select("conv", "branch", F.col("step").alias("offset"))
+
+
+def thread_offsets(branches: DataFrame) -> DataFrame:
+    """(conv, branch, offset): messages of the conversation listed before each branch of (conv, branch, parent, up, size)."""
+    sized = branches.join(with_below(branches), ["conv", "branch"])
+    # a branch's own messages come first; then the branches that leave it, those of later messages before
+    hung = materialize(sized.filter(F.col("up").isNotNull()), "hung")
+    passed = materialize(sum_before(hung, ["conv", "up", F.desc("parent"), "branch"], "below", "passed"), "passed")
+    firsts = passed.groupBy("conv", "up").agg(F.min("passed").alias("first"))
+    own = branches.select("conv", F.col("branch").alias("up"), F.col("size").alias("own"))
+    placed = passed.join(firsts, ["conv", "up"]).join(own, ["conv", "up"])
+    steps = placed.select("conv", "branch", "up", (F.col("own") + F.col("passed") - F.col("first")).alias("step"))
+    roots = branches.filter(F.col("up").isNull()).select("conv", "branch", "up", F.lit(0).cast("long").alias("step"))
+    return with_above(steps.unionByName(roots))
 
 
 def reply_ordered(conversations: DataFrame) -> DataFrame:
@@ -140,15 +171,12 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
 
     opening = tied.filter(F.col("branch") == F.col("at")).select("conv", "branch", "parent")
     above = tied.select("conv", F.col("at").alias("parent"), F.col("branch").alias("up"))
-    rooted = opening.filter(F.col("parent").isNull()).select(
-        "conv", "branch", F.lit(None).cast("bigint").alias("up"), F.array().cast("array<bigint>").alias("path")
-    )
-    # a branch's own messages come first; then the branches that leave it, those of later messages before
-    hung = opening.join(above, ["conv", "parent"]).select(
-        "conv", "branch", "up", F.array(-F.col("parent"), F.col("branch")).alias("path")
-    )
-    paths = thread_paths(rooted.unionByName(hung))
-    ordered = number_rows(tied.join(paths, ["conv", "branch"]), ["conv"], ["path", "at"], "position")
+    sizes = tied.groupBy("conv", "branch").agg(F.count(F.lit(1)).alias("size"))
+    tree = opening.join(above, ["conv", "parent"], "left").join(sizes, ["conv", "branch"])
+    offsets = thread_offsets(materialize(tree.select("conv", "branch", "parent", "up", "size"), "tree"))
+    # the messages of a branch follow each other in their conversation
+    position = (F.col("offset") + F.col("at") - F.col("branch") + 1).cast("long")
+    ordered = tied.join(offsets, ["conv", "branch"]).withColumn("position", position)
 
     turns = tied.select("conv", F.col("at").alias("parent"), F.col("turn").alias("parent_turn"))
     role = F.coalesce("role", F.lit("unknown"))

@@ -36,6 +36,16 @@ def test_threads(spark, monkeypatch):
     assert ordered(got(spark.createDataFrame(rows, SCHEMA))) == ordered(replies(rows))
 
 
+def test_interleaved_threads(spark, monkeypatch):
+    written, kept = [], chat.materialize
+    monkeypatch.setattr(chat, "materialize", lambda df, name: written.append((name, df.dtypes)) or kept(df, name))
+    rows = [(1, i, "user", (f"> line {i - 2}\n" if i > 1 else "") + f"line {i}") for i in range(300)]  # a branch per message
+    rows += [(2, i, "user", ("> first\n" if i else "first\n") + f"line {i}") for i in range(200)]  # all under one message
+    assert ordered(got(spark.createDataFrame(rows, SCHEMA))) == ordered(replies(rows))
+    wide = {name for name, types in written for column, kind in types if kind.startswith("array") and column not in ("lines", "own")}
+    assert not wide, "rows that grow with the depth of a thread"
+
+
 def test_quotes_are_linked_and_removed(spark):
     rows = [(1, 1, "user", "Which colour?\nAnd which size?"), (1, 2, "user", "Hello"), (1, 3, "assistant", "Ann wrote:\n> which  COLOUR?\nRed."),
             (1, 4, "user", "Bob wrote:\n> Red.\n>> Which colour?\nThanks")]
