@@ -7,11 +7,13 @@ text outside links counting as a child. Elements inside a line (``b``, ``span``,
 threshold is the least density on the path from the element of the greatest sum up to the body; from the body down, every
 element whose density reaches the threshold marks the element of the greatest sum below it (itself included) as main text.
 
-Page furniture is taken out first: elements that never hold the article (``nav``, ``footer``, ``form``, ``script``, ...) and
-those whose class, id or role says so (``FURNITURE``); a ``header`` only where it is not inside the article.
+Page furniture is taken out first: elements that rarely hold the article (``nav``, ``footer``, ``form``, ``script``, ...) and
+those with a class, id or role that is, or ends in, a word of ``FURNITURE`` (``cookie-notice``, but not ``comments-open`` or
+``has-sidebar``); a ``header`` only where it is not inside the article. Where no ``article`` or ``main`` with text is left then, what
+holds one stays after all, and so do forms and elements taken by name that hold most of the text outside links; density decides.
 
 Defined results: NULL, empty and text-free pages give "" ; a page without any tag is one block of text; unclosed, crossed
-and cut-off tags are closed where their parents close; a page of furniture alone gives "". Other columns are ignored; repeated rows are kept.
+and cut-off tags are closed where their parents close; a page of ``nav``, ``footer``, ``aside`` and the like alone gives "". Other columns are ignored; repeated rows are kept.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ SKIPPED = frozenset(
     "nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu head title"
     .split()
 )
+#: Of these, what no reader sees as text, and what is never the article by its length alone.
+HIDDEN = frozenset("script style noscript template iframe object svg canvas button select textarea head title".split())
+ASIDES = frozenset("nav footer aside dialog menu header".split())
+MAIN = ("article", "main")
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li "
     "main ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -49,6 +55,8 @@ FURNITURE = frozenset(
     "footer masthead menu nav navbar navigation newsletter notice notices popup promo promoted related share sharing sidebar "
     "signup social sponsor sponsored subscribe toolbar widget contentinfo complementary search".split()
 )
+#: Before a furniture word, these speak of a page that has it or not.
+SPEAKS_OF = frozenset("has have no not non with without show hide".split())
 WORD = re.compile(r"[A-Za-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -56,7 +64,7 @@ SPACE = re.compile(r"\s+")
 class Node:
     __slots__ = (
         "tag", "parent", "items", "skip", "block", "chars", "tags", "link_chars", "link_tags", "own", "own_tags", "density",
-        "total", "best",
+        "total", "best", "plain", "holds",
     )
 
     def __init__(self, tag: str, parent: Node | None, skip: bool):
@@ -65,6 +73,7 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = self.own = self.own_tags = 0
         self.density = self.total = 0.0
         self.best: Node | None = None
+        self.plain, self.holds = 0, False
 
 
 class Builder(HTMLParser):
@@ -82,7 +91,8 @@ class Builder(HTMLParser):
         if tag in ("html", "body", "article", "main"):
             return False
         named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower()
-        return bool(named) and not FURNITURE.isdisjoint(WORD.findall(named))
+        parts = (WORD.findall(name) for name in named.split())
+        return any(p and p[-1] in FURNITURE and SPEAKS_OF.isdisjoint(p) for p in parts)
 
     def _inside(self, tag: str) -> bool:
         node = self.at
@@ -139,6 +149,36 @@ def _preorder(root: Node) -> list[Node]:
     return out
 
 
+def _restore(root: Node) -> None:
+    """Take furniture back that holds the article of the page: its ``article`` or ``main``, or most of its text."""
+    around: list[tuple[Node, bool]] = [(root, False)]
+    while around:
+        node, inside = around.pop()
+        inside = inside or node.tag in MAIN
+        if inside and any(isinstance(x, str) and not x.isspace() for x in node.items):
+            return
+        around.extend((x, inside) for x in node.items if isinstance(x, Node) and not x.skip)
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo.extend(x for x in node.items if isinstance(x, Node) and x.tag not in HIDDEN)
+    for node in reversed(nodes):
+        for item in node.items:
+            if isinstance(item, str):
+                node.plain += len(item.strip())
+            else:
+                node.holds = node.holds or item.holds
+                if not (item.skip and item.tag in ASIDES):
+                    node.plain += item.plain
+        if node.tag == "a":
+            node.plain = 0
+        node.holds = node.holds or (node.tag in MAIN and node.plain > 0)
+    for node in nodes:
+        if node.skip and (node.holds if root.holds else node.tag not in ASIDES and 2 * node.plain > root.plain):
+            node.skip = False
+
+
 def _density(node: Node, body: Node) -> float:
     c, t = node.chars, max(node.tags, 1)
     if not c:
@@ -224,6 +264,7 @@ def main_text(html: str | None) -> str:
     page = Builder()
     page.feed(html)
     page.close()
+    _restore(page.root)
     cut = (SPACE.sub(" ", block).strip() for block in _blocks(page.root, _main_nodes(page.root)))
     return " ".join(block for block in cut if block)
 

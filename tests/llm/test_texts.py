@@ -148,6 +148,31 @@ def test_sections_are_kept_together():
     assert text.count("Head") == 3 and "one" not in text
 
 
+ARTICLE = "<h2>Title</h2><p>{0}</p><p>{0}</p>".format("A sentence of the article, as long as such sentences are. " * 4)
+SIDE = "<div class='sidebar'><p>A remark beside the text, which is not part of it at all.</p></div>"
+
+
+@pytest.mark.parametrize(
+    "opening,closing",
+    [
+        ("<div class='layout has-sidebar'><article>", "</article></div>"), ("<div class='no-sidebar'>", "</div>"),
+        ("<div class='content comments-open'>", "</div>"), ("<div class='share-enabled'><main>", "</main></div>"),
+        ("<section id='related-work'>", "</section>"), ("<form method=post action=x><div>", "</div></form>"),
+        ("<form><div class='social'><article>", "</article></div></form>"), ("<div id='widget'><div>", "</div></div>"),
+        ("<aside><main>", "</main></aside>"), ("<div class='content--with-sidebar'><article class='search'>", "</article></div>"),
+    ],
+)
+def test_wrappers_named_like_furniture(opening, closing):
+    text = main_text(f"<body><nav><a href=1>Home</a></nav>{opening}{ARTICLE}{SIDE}{closing}<footer>By the owners of the site</footer>")
+    assert text.startswith("Title A sentence") and text.count("A sentence") == 8
+    assert "beside the text" not in text and "Home" not in text and "owners" not in text
+
+
+def test_long_comments_stay_out():
+    comments = "<div id='comments'>{}</div>".format("<article class='comment'><p>A comment of a reader, and rather long.</p></article>" * 40)
+    assert main_text(f"<body><article><p>The text itself.</p></article>{comments}") == "The text itself."
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (2, None, None, None), (None, "v", "", "")]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
