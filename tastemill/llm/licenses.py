@@ -11,6 +11,9 @@ equal canonical form are both reported. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +33,18 @@ EQUIVALENT = {
     "whilst": "while", "wilful": "willful", "https": "http",
 }
 
-#: A line that states a copyright.
-COPYRIGHT_LINE = r"(?im)^[ \t/*#;-]*(copyright|\(c\)|©)[^\n]*$"
+#: A line that states a copyright: the word with the sign, a year or a place for one; a wrapped line of a licence that begins with
+#: "copyright notice" or "(c) You must" does not.
+COPYRIGHT_LINE = (
+    r"(?im)^[ \t/*#;-]*(©|\(c\)[ \t]*(copyright|[0-9])|copyright[ \t:,]*(\(c\)|©|[<\[{](yyyy|year))|copyright[^\n]*\b(19|20)[0-9]{2}\b)"
+    r"[^\n]*$"
+)
+
+#: Full texts with the titles they are known under; a licence file has one title or none.
+TEXTS = Path(__file__).with_name("license_texts.json")
+RESERVED = "All rights reserved."
 
-# Notices and short licences, as their authors publish them.
+# Notice lines, among them those of the test tables, and two short licences.
 KNOWN = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -70,8 +81,15 @@ KNOWN = [
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """The built-in table (license_id, text); pass a longer one of the same columns to ``scan`` where there is one."""
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    """The built-in table (license_id, text): ``KNOWN``, and the full texts with and without title and ``RESERVED`` line; pass a
+    longer one of the same columns to ``scan`` where there is one."""
+    full = [
+        (entry["license_id"], "\n".join([*title, *reserved, entry["text"]]))
+        for entry in json.loads(TEXTS.read_text("utf-8"))
+        for title in [[], *([t] for t in entry["titles"])]
+        for reserved in ([], [RESERVED])
+    ]
+    return spark.createDataFrame(full + KNOWN, "license_id string, text string")
 
 
 def digest(text: Column) -> Column:
@@ -96,7 +114,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def comparison_sql() -> str:
-    """The built-in scan over ``documents`` in SQL."""
+    """The scan for ``KNOWN`` over ``documents`` in SQL; the full texts of ``TEXTS`` are not in it."""
 
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"

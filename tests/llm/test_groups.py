@@ -1,13 +1,15 @@
 """Jaccard join, decontamination and licences."""
 
+import json
 import os
 import random
+import textwrap
 
 import numpy as np
 import pytest
 from check import compare, connect
 
-from tastemill.llm import jaccard_join
+from tastemill.llm import jaccard_join, licenses
 from tastemill.llm.decontaminate import contained, remove_contaminated
 from tastemill.llm.graph import components
 from tastemill.llm.jaccard_join import jaccard_components, pair_signatures, signatures
@@ -147,6 +149,48 @@ def test_licences(spark):
     assert scan(df.limit(0), known_licenses(spark)).count() == 0
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above
+copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_licence_files(spark):
+    texts = {}
+    for entry in json.loads(licenses.TEXTS.read_text("utf-8")):
+        texts.setdefault(entry["license_id"], entry["text"])
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only",
+            "LGPL-3.0-only", "Unlicense", "CC0-1.0"} <= set(texts)
+    names = list(texts)
+    rows = [(1, MIT_FILE), (2, MIT_FILE.removeprefix("MIT License")), (3, MIT_FILE.replace("notice shall", "shall")),
+            (4, "BSD 3-Clause License\n\nCopyright 2019, A\nAll rights reserved.\n\n" + textwrap.fill(texts["BSD-3-Clause"], 50)),
+            (5, texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 The Authors"))]
+    rows += [(10 + i, textwrap.fill(texts[name], 61 + i)) for i, name in enumerate(names) if not name.startswith(("GPL", "LGPL", "MPL-1"))]
+    got = {(r["doc_id"], r["license_id"]) for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), known_licenses(spark)).collect() if r["scope"] == "text"}
+    want = {(1, "MIT"), (2, "MIT"), (4, "BSD-3-Clause"), (5, "Apache-2.0")}
+    assert got >= want | {(10 + i, name) for i, name in enumerate(names) if (10 + i) in dict(rows)} - {(10 + names.index("Apache-2.0"), "Apache-2.0")}
+    assert not {k for k, _ in got} & {3}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
