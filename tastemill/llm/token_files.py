@@ -15,6 +15,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +40,15 @@ def _where(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
-def _write(folder: str, name: str, chunks: list[bytes]) -> None:
-    """Under its final name only when complete, so that a lost or repeated task leaves no half file."""
+@contextmanager
+def _writing(folder: str, name: str):
+    """A stream to a file that gets its name only when complete, so that a lost or repeated task leaves no half file."""
     store, path = _where(folder)
     store.create_dir(path, recursive=True)
     task = TaskContext.get()
     own = f"{path}/.{name}-{task.taskAttemptId() if task else 0}"
     with store.open_output_stream(own) as out:
-        for chunk in chunks:
-            out.write(chunk)
+        yield out
     store.move(own, f"{path}/{name}")
 
 
@@ -63,35 +65,36 @@ def write_tokens(docs: DataFrame, path: str, split: str | None, end_id: int, fol
                  parts: int | None = None) -> DataFrame:
     """Write the ids of ``docs(doc_id, text)`` in ascending doc_id order; returns the manifest with ``base``.
 
-    One range shuffle of the texts; each task encodes and writes its own range. ``path`` is a vocabulary file that every
+    One range shuffle of the texts; each task encodes its own range and writes ids as they come. There are as many ranges as
+    shuffle partitions or, for a larger table, pieces of input. ``path`` is a vocabulary file that every
     executor can read, ``folder`` (default: below the cluster's checkpoint folder) one that all of them share.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path, split)
         kind = "<u2" if code.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        ids: list[bytes] = []
-        lengths: list[int] = []
-        keys: list[np.ndarray] = []
-        for batch in batches:
-            keys.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for a, b in slices([len(t) for t in texts], TEXT_BATCH):
-                for got in code.encode(texts[a:b]):
-                    one = np.append(np.frombuffer(got, "<u4"), end_id).astype(kind)
-                    ids.append(one.tobytes())
-                    lengths.append(len(one))
-        if not lengths:
-            return
         part = TaskContext.get().partitionId()
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
-        _write(folder, f"part-{part}.ids", ids)
-        _write(folder, f"part-{part}.off", [offsets.tobytes()])
-        _write(folder, f"part-{part}.doc", [k.tobytes() for k in keys])
-        rows = [[part], [len(lengths)], [int(offsets[-1])], [int(kind[-1])], [folder]]
+        first = next(batches, None)
+        if first is None:
+            return
+        lengths: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
+        with _writing(folder, f"part-{part}.ids") as out:
+            for batch in chain([first], batches):
+                keys.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
+                texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                for a, b in slices([len(t) for t in texts], TEXT_BATCH):
+                    got, bounds = code.encode_flat(texts[a:b])
+                    out.write(np.insert(got, bounds[1:], end_id).astype(kind).tobytes())
+                    lengths.append(np.diff(bounds) + 1)
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *lengths]))]).astype("<u8")
+        for name, data in (("off", offsets), ("doc", np.concatenate(keys))):
+            with _writing(folder, f"part-{part}.{name}") as out:
+                out.write(data.tobytes())
+        rows = [[part], [len(offsets) - 1], [int(offsets[-1])], [int(kind[-1])], [folder]]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(v, t) for v, t in zip(rows, types, strict=True)], ["part", "n_docs", "n_tokens", "width", "folder"]
