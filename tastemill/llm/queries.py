@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import chat, decontaminate, html_text, language, licenses, packing, quality
+from tastemill.llm import chat, crosstoken, decontaminate, html_text, language, licenses, merkle, packing, quality, toxicity
 from tastemill.llm.common import table
 from tastemill.llm.jaccard_join import jaccard_components
 from tastemill.llm.token_files import read_tokens, write_tokens
@@ -105,3 +105,23 @@ SQL["op6_license_scan"] = licenses.comparison_sql()
 @query
 def op10_chat_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_test(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_merkle_manifest"] = merkle.comparison_sql()
+
+
+@query
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return crosstoken.cross_align(table(spark, sf_dir, "documents"), *paths)[0]
+
+
+@query
+def op12_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
