@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import serving as sv
 from ..session import scratch_path
+from ..sources.rotating import stream_rotating
 from ..sources.writers import ranked_lists
 from ..streaming import streams as st
 from .domain import ab_log, catalog
@@ -22,11 +23,12 @@ def delivered(spark, sf, copies: int = 1) -> DataFrame:
     path = scratch_path(spark, "stream")
     events = ab_log(spark, sf)
     low, high = events.agg(F.min("timestamp"), F.max("timestamp")).first()
-    part = F.least(F.floor((F.col("timestamp") - low) / (high - low) * PARTS), F.lit(PARTS - 1))
-    events.withColumn("part", part).write.partitionBy("part").parquet(f"{path}/parts")
+    # a log of one instant is one part
+    part = F.floor(F.try_divide(F.col("timestamp") - low, F.lit(high) - low) * PARTS)
+    events.withColumn("part", F.coalesce(F.least(part, F.lit(PARTS - 1)), F.lit(0))).write.partitionBy("part").parquet(f"{path}/parts")
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for number in range(PARTS):
-        rows = spark.read.schema(events.schema).parquet(f"{path}/parts/part={number}").repartition(files)
+        rows = spark.read.schema(events.schema).parquet(f"{path}/parts").filter(F.col("part") == number).drop("part").repartition(files)
         for _ in range(copies):
             rows.write.mode("append").json(f"{path}/log")
     return st.stream_events(spark, f"{path}/log", schema=f"event_id long, {st.EVENTS}", files_per_batch=files * copies)
@@ -40,6 +42,58 @@ def s8_stream(spark, sf):
     return st.to_table(delivered(spark, sf).select("event_id", "user", "track", "timestamp", "message"), "events")
 
 
+def grown(spark, sf, select) -> DataFrame:
+    """The log as one folder of growing host files: each part of the time span becomes new files after the older ones
+    were renamed, and one query reads on from its checkpoint after each of them."""
+    path = scratch_path(spark, "rotated")
+    events = ab_log(spark, sf)
+    low, high = events.agg(F.min("timestamp"), F.max("timestamp")).first()
+    part = F.floor(F.try_divide(F.col("timestamp") - low, F.lit(high) - low) * PARTS)
+    events.withColumn("part", F.coalesce(F.least(part, F.lit(PARTS - 1)), F.lit(0))).write.partitionBy("part").parquet(f"{path}/parts")
+    files = FolderOf(spark, f"{path}/log")
+    for number in range(PARTS):
+        rows = spark.read.schema(events.schema).parquet(f"{path}/parts").filter(F.col("part") == number).drop("part")
+        rows.write.json(f"{path}/next-{number}")
+        files.rotate(f"{path}/next-{number}")
+        stream = select(stream_rotating(spark, f"{path}/log", "host", f"event_id long, {st.EVENTS}", 1 << 20))
+        st.run_available(stream, f"{path}/data", f"{path}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{path}/data")
+
+
+class FolderOf:
+    """Renames in a log folder, as loggers do them."""
+
+    def __init__(self, spark, folder: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.folder = folder
+        self.store = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.store.mkdirs(self.path(folder))
+
+    def names(self, folder: str) -> list[str]:
+        return sorted(f.getPath().getName() for f in self.store.listStatus(self.path(folder)))
+
+    def rotate(self, new: str) -> None:
+        """``host-n.json`` becomes ``host-n.json.1`` and so on; the files of ``new`` become ``host-n.json``."""
+        numbered = [(int(name.partition(".json")[2][1:] or 0), name) for name in self.names(self.folder)]
+        for number, name in sorted(numbered, reverse=True):
+            later = f"{name.partition('.json')[0]}.json.{number + 1}"
+            if not self.store.rename(self.path(f"{self.folder}/{name}"), self.path(f"{self.folder}/{later}")):
+                raise OSError(f"could not rename {name}")
+        for n, name in enumerate(x for x in self.names(new) if x.startswith("part-")):
+            self.store.rename(self.path(f"{new}/{name}"), self.path(f"{self.folder}/host-{n}.json"))
+
+
+@query("s8_rotating_log", ctes(LOG) + """SELECT event_id, "user", track, "timestamp", message FROM log""")
+def s8_rotating(spark, sf):
+    return grown(spark, sf, lambda e: e.select("event_id", "user", "track", "timestamp", "message"))
+
+
+@query("z1_rotating_log", ctes(LOG) + "SELECT message, count(*) AS n, CAST(sum(track) AS BIGINT) AS tracks FROM log GROUP BY 1")
+def z1_rotating(spark, sf):
+    rows = grown(spark, sf, lambda e: e.select("message", "track"))
+    return rows.groupBy("message").agg(F.count(F.lit(1)).alias("n"), F.sum("track").alias("tracks"))
+
+
 @query("z1_stream_source", ctes(LOG) + "SELECT message, count(*) AS n FROM log GROUP BY 1")
 def z1_source(spark, sf):
     return st.to_table(delivered(spark, sf).select("message"), "events").groupBy("message").agg(F.count(F.lit(1)).alias("n"))
