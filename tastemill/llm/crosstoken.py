@@ -1,7 +1,8 @@
 """Two tokenizers side by side: where their tokens of a text meet, and how often each pair of token ids overlaps in the corpus.
 
 A text is cut before white space that follows other characters, where neither vocabulary can have a token across the cut, so
-that the tokens of both end there; each distinct piece is tokenized and aligned once. A pair of ids is linked as often as a
+that the tokens of both end there; each distinct piece is tokenized and aligned once. Texts with white space that a longer token
+of B holds (a carriage return) are one piece. A pair of ids is linked as often as a
 token of the one and a token of the other overlap by bytes.
 
 The counts come from an inverted index. Documents are numbered within chunks of 65,536. Per pair and chunk the index holds a
@@ -100,9 +101,11 @@ class Aligner:
             self.len_a[i] = len(name)  # one character a byte
         self.str_a = list(map(str, range(len(self.len_a))))
         self.str_b = list(map(str, range(size)))
-        # cuts are exact where no token of B goes on with white space
-        if any(SPACE in n.lstrip(SPACE) or re.search(r"[ \t-\r]", n) for n in names):
+        # cuts are exact where no token of B goes on with white space; texts with white space that B has in longer tokens
+        # are aligned whole
+        if any(SPACE in n.lstrip(SPACE) for n in names):
             self.code.split = None
+        self.inside = {c.encode() for n in names for c in re.findall(r"[ \t-\r]", n)}
         self.lead = len(self.pieces.encode("a"))
         self.limit = limit
         self.forget()
@@ -160,6 +163,7 @@ class Aligner:
     def read(self, texts: list[bytes]) -> tuple[Units, np.ndarray, np.ndarray]:
         """(aligned pieces, number of each text's pieces in a row, bounds) of texts that begin with a space."""
         pieces, firsts, counts = self.code.keys(texts)
+        counts[[i for i, t in enumerate(texts) if any(c in t for c in self.inside)]] = -1
         whole = np.flatnonzero(counts < 0)
         firsts[whole], counts[whole] = len(pieces) + np.arange(len(whole)), 1
         alone = pa.array(["\0" + texts[i].decode() for i in whole], pa.large_string())
