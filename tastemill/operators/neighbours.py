@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .ordering import normalize_by, top_k_per
+from .tiles import best_columns as top_columns
+from .tiles import column_products as column_products_of
+from .tiles import SLAB, expand, tile, top_products
 
 BLOCK = 2048  # columns per block
 CHUNK = 1_500_000  # interactions per row chunk, on average
 SCORE_CHUNK = 4_000_000  # interactions per chunk of scored rows: every chunk gets a copy of the weights
 MAX_TASKS = 20_000
-SLAB = 2_000_000  # products expanded at a time inside a task
 
 
 def cogroup_by(left: DataFrame, right: DataFrame, keys: list[str], groups: int):
@@ -33,36 +35,6 @@ def cogroup_by(left: DataFrame, right: DataFrame, keys: list[str], groups: int):
     return left.repartition(parts, *keys).groupBy(*keys).cogroup(right.repartition(parts, *keys).groupBy(*keys))
 
 
-def _expand(left_rows, right_rows):
-    """All (a, b) with left_rows[a] == right_rows[b], slab by slab, as (slice of a, how often each a occurs, b).
-    ``right_rows`` is sorted."""
-    start = np.searchsorted(right_rows, left_rows, "left")
-    size = np.searchsorted(right_rows, left_rows, "right") - start
-    upto = np.concatenate([[0], np.cumsum(size)])
-    at, n = 0, len(left_rows)
-    while at < n:
-        end = max(at + 1, int(np.searchsorted(upto, upto[at] + SLAB, "right")) - 1)
-        total = upto[end] - upto[at]
-        b = np.arange(total) + np.repeat(start[at:end] - (upto[at:end] - upto[at]), size[at:end])
-        yield slice(at, end), size[at:end], b
-        at = end
-
-
-def top_columns(scores: np.ndarray, k: int):
-    """(row, column) of the k best columns per row, -inf left out, ties to the first column; rows stay in order."""
-    if scores.shape[1] > k:
-        cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
-        above = scores > cut
-        # of the columns equal to the k-th best only as many as are needed, first ones first
-        level = (scores == cut) & (cut > -np.inf)
-        level &= level.cumsum(axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)
-        rows, columns = np.nonzero(above | level)
-    else:
-        rows, columns = np.nonzero(scores > -np.inf)
-    order = np.lexsort((columns, -scores[rows, columns], rows))
-    return rows[order], columns[order]
-
-
 def column_products(entries: DataFrame, products: dict[str, tuple[str, str]], row: str = "user", col: str = "track") -> DataFrame:
     """(j, i, name...) for every pair of columns that share a row: name = sum over rows of left_j * right_i.
 
@@ -93,7 +65,7 @@ def column_products(entries: DataFrame, products: dict[str, tuple[str, str]], ro
         met = np.zeros(cells, dtype=bool)
         lv = {c: lp[f"_l_{c}"].to_numpy(dtype=float) for c in lefts}
         rv = {c: rp[f"_r_{c}"].to_numpy(dtype=float) for c in rights}
-        for a, times, b in _expand(lp["_r"].to_numpy(), rp["_r"].to_numpy()):
+        for a, times, b in expand(lp["_r"].to_numpy(), rp["_r"].to_numpy()):
             cell, where = np.unique(np.repeat(j[a] * width, times) + i[b], return_inverse=True)
             met[cell] = True
             for n, (x, y) in products.items():
@@ -157,7 +129,7 @@ def score_by_columns(
                 size = min(step, len(r_ids) - first)
                 scores = np.zeros(size * width)
                 base = (r[lo:hi] - first) * width
-                for a, times, b in _expand(c[lo:hi], j):
+                for a, times, b in expand(c[lo:hi], j):
                     cells = np.repeat(base[a], times) + i[b]
                     scores += np.bincount(cells, weights=np.repeat(q[lo:hi][a], times) * w[b], minlength=size * width)
                 scores = scores.reshape(size, width)
@@ -194,15 +166,23 @@ def user_rows(df: DataFrame, norm: str = "l2", user: str = "user", item: str = "
     return normalize_by(rows.select(F.col(user).alias("user"), F.col(item).alias("track"), "r"), "user", "r", "l2", "q")
 
 
-def user_cf(df: DataFrame, norm: str = "l2", k: int = 100, **names) -> DataFrame:
+def rated(df: DataFrame, user: str = "user", item: str = "track", value: str = "time") -> DataFrame:
+    """The rows that say something: with a user, an item and a value that is a number."""
+    known = F.col(user).isNotNull() & F.col(item).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    return df.filter(known)
+
+
+def user_cf(df: DataFrame, norm: str = "l2", k: int = 100, user: str = "user", item: str = "track", value: str = "time") -> DataFrame:
     """User-based top k with all users as neighbours: score_ui = sum over v != u of cos(u, v) * r_vi.
 
     With q the unit rows, sum_v (q_u . q_v) r_vi = q_u . (Q^T R)_i, so the user x user matrix is never formed; the
-    user's own term, r_ui, is subtracted. Items already played are not removed.
+    user's own term, r_ui, is subtracted. Items already played are not removed. Rows without user, item or value teach
+    nothing; every item of ``df`` is a candidate.
     """
-    rows = materialize(user_rows(df, norm, **names), "user-rows")
-    weights = column_products(rows, {"w": ("q", "r")})
-    return score_by_columns(rows, materialize(weights, "item-products"), k, minus="r")
+    rows = user_rows(rated(df, user, item, value), norm, user, item, value)
+    parts = tile(materialize(rows, "user-rows"), "user", "track", ["q", "r"], columns=df.select(item))
+    top = top_products(parts, "q", column_products_of(parts, "q", "r"), k, minus="r")
+    return top.select(F.col("row").alias("user"), F.col("col").alias("track"), "score", "rank")
 
 
 def neighbour_stats(df: DataFrame, norm: str = "l2", **names) -> DataFrame:
@@ -224,7 +204,7 @@ def neighbour_stats(df: DataFrame, norm: str = "l2", **names) -> DataFrame:
         v_ids, v = np.unique(rp["u"].to_numpy(), return_inverse=True)
         t, x, y = lp["t"].to_numpy(), lp["q"].to_numpy(), rp["q"].to_numpy()
         sums = np.zeros(len(u_ids) * len(v_ids))
-        for a, times, b in _expand(t, rp["t"].to_numpy()):
+        for a, times, b in expand(t, rp["t"].to_numpy()):
             cell, where = np.unique(np.repeat(u[a] * len(v_ids), times) + v[b], return_inverse=True)
             sums[cell] += np.bincount(where, weights=np.repeat(x[a], times) * y[b], minlength=len(cell))
         sims = np.round(sums.reshape(len(u_ids), len(v_ids)), 12)
@@ -262,11 +242,17 @@ def similar_items(weights: DataFrame, k: int, digits: int = 9) -> DataFrame:
     return top_k_per(weights.withColumn("w", F.round("w", digits)), ["j"], [F.col("w").desc(), "i"], k)
 
 
-def item_cf(df: DataFrame, k: int = 100, how: str = "cosine", **names) -> DataFrame:
-    """Item-based top k: score_ui = sum over the user's items j != i of sim(j, i) * r_uj."""
-    user, item, value = names.get("user", "user"), names.get("item", "track"), names.get("value", "time")
-    rows = df.groupBy(user, item).agg(F.avg(value).alias("q")).select(F.col(user).alias("user"), F.col(item).alias("track"), "q")
-    return score_by_columns(rows, materialize(item_weights(df, how, **names), "item-weights"), k)
+def item_cf(df: DataFrame, k: int = 100, how: str = "cosine", user: str = "user", item: str = "track", value: str = "time") -> DataFrame:
+    """Item-based top k: score_ui = sum over the user's items j != i of sim(j, i) * r_uj. Rows without user, item or value
+    teach nothing; every item of ``df`` is a candidate."""
+    known = rated(df, user, item, value)
+    pairs = known.groupBy(user, item).agg(F.avg(value).alias("q")).select(F.col(user).alias("user"), F.col(item).alias("track"), "q")
+    if how != "cosine":
+        return score_by_columns(pairs, materialize(item_weights(known, how, user, item, value), "item-weights"), k)
+    rows = materialize(normalize_by(pairs, "track", "q", "l2", "x"), "item-columns")
+    parts = tile(rows, "user", "track", ["q", "x"], columns=df.select(item))
+    top = top_products(parts, "q", column_products_of(parts, "x", "x", diagonal=False), k)
+    return top.select(F.col("row").alias("user"), F.col("col").alias("track"), "score", "rank")
 
 
 def npmi(df: DataFrame, user: str = "user", item: str = "track") -> DataFrame:
@@ -284,8 +270,9 @@ def npmi(df: DataFrame, user: str = "user", item: str = "track") -> DataFrame:
 
 
 def item_linear(df: DataFrame, neighbours: int = 50, ridge: float = 10.0, user: str = "user", item: str = "track", value: str = "time") -> DataFrame:
-    """Linear item-item weights (j, i, w): each target item i is fit by ridge regression on the items that co-occur with
-    it most. A target needs only the Gram entries among its own neighbours, a table of at most neighbours squared."""
+    """Linear item-item weights (j, i, w), each target item i fit by ridge regression on the items that co-occur with it
+    most. A target needs only the Gram entries among its own neighbours, a table of at most neighbours squared. The fit on
+    all items is ``linear.item_linear``."""
     pairs = df.groupBy(user, item).agg(F.avg(value).alias("r")).select(F.col(user).alias("user"), F.col(item).alias("track"), "r")
     rows = materialize(pairs, "ratings")
     gram = materialize(column_products(rows, {"w": ("r", "r")}), "gram")

@@ -74,6 +74,13 @@ def _best(k: int | None, metric: str, digits: int, exclude_self: bool):
 SCHEMA = "query long, item long, score double"
 
 
+def usable(vectors: DataFrame) -> DataFrame:
+    """Rows of (id, vector, ..) that take part in a search: with an id and a vector of finite numbers. The others, with a
+    NULL vector or component, or one that is not finite, neither ask nor are found."""
+    finite = F.forall("vector", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    return vectors.filter(F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)))
+
+
 def knn(
     queries: DataFrame,
     items: DataFrame,
@@ -86,8 +93,10 @@ def knn(
     """(query, item, score, rank): the k best items per query by inner product 'ip', 'cosine' or 'l2' (negated distance).
 
     Both tables have (id, vector). ``seen`` (query, item) pairs are left out before the cut, so every list is full when
-    enough items remain. Ties go to the smaller item id. ``k=None`` keeps all scores (for small samples).
+    enough items remain. Ties go to the smaller item id. ``k=None`` keeps all scores (for small samples). Rows that are not
+    ``usable`` take no part.
     """
+    queries, items = usable(queries), usable(items)
     # written once: their rows are counted, then dealt out
     queries, items = materialize(queries.select("id", "vector"), "queries"), materialize(items.select("id", "vector"), "items")
     nq = max(1, math.ceil(queries.count() / QUERY_BLOCK))
@@ -220,16 +229,24 @@ def lsh_knn(items: DataFrame, k: int, metric: str = "cosine", tables: int = 6, b
     return _bucketed(placed, placed, k, metric, 9, True)
 
 
+def band_shape(hashes: int, threshold: float) -> tuple[int, int]:
+    """(bands, rows per band) out of ``hashes`` whose S-curve rises nearest to ``threshold``: two sets of that similarity share
+    a band with a chance of about a half or more, less similar ones seldom."""
+    shapes = [(hashes // rows, rows) for rows in range(1, hashes + 1)]
+    return min(shapes, key=lambda s: (abs((1 / s[0]) ** (1 / s[1]) - threshold), s[1]))
+
+
 def minhash_neighbours(
-    df: DataFrame, k: int, hashes: int = 16, bands: int = 8, user: str = "user", item: str = "track", seed: int = 0
+    df: DataFrame, k: int, hashes: int = 16, bands: int = 8, user: str = "user", item: str = "track", seed: int = 0,
+    threshold: float | None = None,
 ) -> DataFrame:
     """Approximate similar users by MinHash: users sharing a band of the signature, scored by the share of equal places
-    (an estimate of the Jaccard similarity)."""
+    (an estimate of the Jaccard similarity). With ``threshold`` the bands are chosen for this similarity."""
     pairs = df.select(F.col(user).alias("id"), F.col(item).alias("_t")).distinct()
     signed = pairs.groupBy("id").agg(
         F.array(*[F.min(F.xxhash64("_t", F.lit(seed * 1000 + n))) for n in range(hashes)]).alias("vector")
     )
-    rows = hashes // bands
+    bands, rows = (bands, hashes // bands) if threshold is None else band_shape(hashes, threshold)
     keys = [
         F.concat(F.lit(f"{b}:"), F.md5(F.concat_ws(",", F.slice("vector", b * rows + 1, rows).cast("array<string>"))))
         for b in range(bands)

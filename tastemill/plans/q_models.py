@@ -1,8 +1,10 @@
 """Queries: neighbours, retrieval, re-ranking."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as ag
+from ..operators import linear as li
 from ..operators import metrics as me
 from ..operators import neighbours as nb
 from ..operators import ordering as od
@@ -115,7 +117,30 @@ def l5_unexpected(spark, sf):
 
 @query("l12_item_linear")
 def l12_linear(spark, sf):
-    return rounded(nb.item_linear(interactions(spark, sf), 20), "w")
+    """The 20 largest weights of every item, each from a fit on all other items."""
+    parts, weights, _ = li.item_linear(interactions(spark, sf))
+    return rounded(li.weight_rows(parts, weights, 20), "w")
+
+
+@query(
+    "l12_normal_equations",
+    ctes(INTER, PAIRS) + """, n AS (SELECT count(DISTINCT track) AS n FROM pairs) SELECT DISTINCT track AS i, n - 1 AS n_weights, TRUE AS solved FROM pairs, n""",
+)
+def l12_equations(spark, sf):
+    """Whether an item's weights solve the normal equations of its ridge fit on all other items."""
+    found = li.normal_residuals(*li.item_linear(interactions(spark, sf), 10.0), 10.0)
+    return found.select("i", "n_weights", (F.col("residual") < 1e-6).alias("solved"))
+
+
+@query(
+    "l12_linear_recommend",
+    ctes(INTER, PAIRS) + """SELECT DISTINCT "user", 20::BIGINT AS items, TRUE AS falling FROM pairs""",
+)
+def l12_recommend(spark, sf):
+    """Lists of the item linear model: every user gets 20 items in falling order of predicted rating."""
+    top = li.linear_recommend(interactions(spark, sf), 20)
+    falls = F.col("score") <= F.coalesce(F.lag("score").over(Window.partitionBy("user").orderBy("rank")), F.col("score"))
+    return top.withColumn("falls", falls).groupBy("user").agg(F.count_distinct("track").alias("items"), F.every("falls").alias("falling"))
 
 
 def knn_sql(score: str, k: int, extra: str = "") -> str:

@@ -13,6 +13,7 @@ from tastemill.operators import factors as fa
 from tastemill.operators import rerank as rr
 from tastemill.operators import retrieval as rt
 from tastemill.operators import serving as sv
+from tastemill.operators import tiles as ti
 from tastemill.operators.ordering import recent_history
 
 
@@ -36,6 +37,9 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(nb, "CHUNK", 60)
     monkeypatch.setattr(nb, "SCORE_CHUNK", 90)
     monkeypatch.setattr(nb, "SLAB", 50)
+    monkeypatch.setattr(ti, "LINES", 7)
+    monkeypatch.setattr(ti, "SIDE", 8)
+    monkeypatch.setattr(ti, "RUN", 60)
     monkeypatch.setattr(rt, "QUERY_BLOCK", 7)
     monkeypatch.setattr(rt, "ITEM_BLOCK", 5)
 
