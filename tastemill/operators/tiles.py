@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,8 @@ LINES = 8192
 SIDE = 1024
 #: Entries of the row blocks that one run adds up.
 RUN = 4_000_000
-MAX_TASKS = 4_000
-#: Products expanded at a time inside a task.
-SLAB = 2_000_000
+#: Products expanded at a time inside a task: few enough to stay in a core's cache.
+SLAB = 100_000
 
 CELLS = "jb int, ib int, j binary, i binary, w binary"
 
@@ -104,15 +104,15 @@ def expand(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[slice, np.ndar
         at = end
 
 
-def _u2(value) -> np.ndarray:
+def u2(value) -> np.ndarray:
     return np.frombuffer(value, "<u2").astype(np.int64)
 
 
-def _f8(value) -> np.ndarray:
+def f8(value) -> np.ndarray:
     return np.frombuffer(value, "<f8")
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of the batches, one at a time."""
     for batch in batches:
         columns = batch.columns
@@ -131,9 +131,13 @@ def cells_of(jb: int, ib: int, block: np.ndarray, diagonal: bool = True) -> pa.R
     return pa.RecordBatch.from_arrays(arrays, [p.split()[0] for p in CELLS.split(", ")])
 
 
-def _dealt(df: DataFrame, groups: int, keys: list[str], order: list[str]) -> DataFrame:
-    """About one group of ``keys`` per task, sorted."""
-    return df.repartition(min(max(groups, 1), MAX_TASKS), *keys).sortWithinPartitions(*keys, *order)
+def dealt(df: DataFrame, groups: int, width: int, keys: list[str], order: list[str]) -> DataFrame:
+    """``groups`` groups of ``keys``, all but the first numbers below ``width``, dealt out in turn to at most four times as many
+    tasks as the session's shuffles have, and sorted."""
+    number = reduce(lambda a, k: a * width + F.col(k), keys[1:], F.col(keys[0]).cast("long"))
+    most = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(groups, most))
+    return df.repartitionById(parts, F.pmod(number, F.lit(parts)).cast("int")).sortWithinPartitions(*keys, *order)
 
 
 def column_products(tiles: Tiles, left: str, right: str, diagonal: bool = True) -> DataFrame:
@@ -148,39 +152,41 @@ def column_products(tiles: Tiles, left: str, right: str, diagonal: bool = True)
     rights = tiles.table.select(run, every.alias("jb"), own.alias("ib"), "rb", F.lit(1).alias("second"), "r", "c", F.col(f"v_{right}").alias("v"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block, held = None, None, None
-        for run_, jb, ib, rb, right_side, r, c, v in _walk(batches):
+        now, block, held = None, np.zeros(side * side), None
+        for run_, jb, ib, rb, right_side, r, c, v in walk(batches):
             if (run_, jb, ib) != now:
                 if now is not None:
                     yield cells_of(now[1], now[2], block.reshape(side, side), diagonal)
-                now, block, held = (run_, jb, ib), np.zeros(side * side), None
+                now, held = (run_, jb, ib), None
+                block.fill(0.0)
             if not right_side:
-                held = (rb, _u2(r), _u2(c), _f8(v))
+                held = (rb, u2(r), u2(c), f8(v))
             elif held is not None and held[0] == rb:
-                other, values = _u2(c), _f8(v)
-                for a, times, b in expand(held[1], _u2(r)):
+                other, values = u2(c), f8(v)
+                for a, times, b in expand(held[1], u2(r)):
                     cells = np.repeat(held[2][a] * side, times) + other[b]
-                    block += np.bincount(cells, weights=np.repeat(held[3][a], times) * values[b], minlength=side * side)
+                    np.add.at(block, cells, np.repeat(held[3][a], times) * values[b])
         if now is not None:
             yield cells_of(now[1], now[2], block.reshape(side, side), diagonal)
 
-    pairs = _dealt(lefts.union(rights), blocks * blocks * runs, ["run", "jb", "ib"], ["rb", "second"])
+    pairs = dealt(lefts.union(rights), blocks * blocks * runs, max(blocks, 1), ["run", "jb", "ib"], ["rb", "second"])
     parts = materialize(pairs.mapInArrow(multiply, CELLS), "products")
     if runs == 1:
         return parts
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block = None, None
-        for jb, ib, j, i, w in _walk(batches):
+        now, block = None, np.zeros(side * side)
+        for jb, ib, j, i, w in walk(batches):
             if (jb, ib) != now:
                 if now is not None:
                     yield cells_of(*now, block.reshape(side, side), diagonal)
-                now, block = (jb, ib), np.zeros(side * side)
-            block[_u2(j) * side + _u2(i)] += _f8(w)
+                now = (jb, ib)
+                block.fill(0.0)
+            block[u2(j) * side + u2(i)] += f8(w)
         if now is not None:
             yield cells_of(*now, block.reshape(side, side), diagonal)
 
-    return materialize(_dealt(parts, blocks * blocks, ["jb", "ib"], []).mapInArrow(add, CELLS), "products")
+    return materialize(dealt(parts, blocks * blocks, max(blocks, 1), ["jb", "ib"], []).mapInArrow(add, CELLS), "products")
 
 
 def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,30 +229,26 @@ def top_products(tiles: Tiles, value: str, weights: DataFrame, k: int, minus: st
         return pa.RecordBatch.from_arrays(arrays, ["r", "c", "score"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block, held = None, None, None
-        for rb, ib, jb, right_side, r, c, v, mine in _walk(batches):
+        now, block, held = None, np.zeros(lines * side), None
+        for rb, ib, jb, right_side, r, c, v, mine in walk(batches):
             if (rb, ib) != now:
                 if now is not None:
                     yield finish(*now, block)
-                now, block, held = (rb, ib), np.zeros(lines * side), None
+                now, held = (rb, ib), None
+                block.fill(0.0)
             if not right_side:
-                held = (jb, _u2(r), _u2(c), _f8(v))
+                held = (jb, u2(r), u2(c), f8(v))
                 if mine is not None and jb == ib:
-                    block[held[1] * side + held[2]] -= _f8(mine)
+                    block[held[1] * side + held[2]] -= f8(mine)
             elif held is not None and held[0] == jb:
-                other, values = _u2(c), _f8(v)
-                for a, times, b in expand(held[2], _u2(r)):
-                    if not len(b):
-                        continue
-                    # the rows of a tile ascend, so that a slab touches one stretch of the block
-                    first, last = int(held[1][a][0]), int(held[1][a][-1]) + 1
-                    cells = np.repeat((held[1][a] - first) * side, times) + other[b]
-                    products = np.repeat(held[3][a], times) * values[b]
-                    block[first * side : last * side] += np.bincount(cells, weights=products, minlength=(last - first) * side)
+                other, values = u2(c), f8(v)
+                for a, times, b in expand(held[2], u2(r)):
+                    cells = np.repeat(held[1][a] * side, times) + other[b]
+                    np.add.at(block, cells, np.repeat(held[3][a], times) * values[b])
         if now is not None:
             yield finish(*now, block)
 
-    pairs = _dealt(lefts.union(rights), tiles.row_blocks * blocks, ["rb", "ib"], ["jb", "second"])
+    pairs = dealt(lefts.union(rights), tiles.row_blocks * blocks, max(blocks, 1), ["rb", "ib"], ["jb", "second"])
     ranked = top_k_per(pairs.mapInArrow(score, "r long, c long, score double"), ["r"], [F.col("score").desc(), "c"], k)
     rows, columns = tiles.rows.withColumnRenamed("number", "r"), tiles.columns.withColumnRenamed("number", "c")
     return ranked.join(rows, "r").join(columns, "c").select("row", "col", "score", "rank")
