@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import number_rows, sum_before, top_n
@@ -66,26 +67,100 @@ def _quantiles_of_counts(values: DataFrame, probabilities: list[float]) -> DataF
     )
 
 
+#: One part in this many: how far from its place a bracket's end may lie.
+ACCURACY = 2_000
+#: Distinct values of a bracket that are put in order by one task.
+ORDERED = 2_000_000
+
+
+def quantiles_by_refinement(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
+    """(column, p, value): exact quantiles of several columns with linear interpolation, without sorting any of them.
+
+    A sketch of all columns brackets every quantile; one pass then counts the rows below each bracket and the distinct values in
+    it, a few thousandths of the rows, in which the quantile's place is looked up. A bracket with more than ``ORDERED``
+    distinct values is bracketed again inside, and one that the sketch missed by more than it promises is widened, so that
+    the result never depends on the sketch. NULLs are left out; NaN is larger than all numbers, as in Spark's order.
+    """
+    wide = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    sizes = wide.agg(*[F.count(f"_{i}").alias(f"_{i}") for i in range(len(columns))]).first()
+    goals = {(i, p): p * (sizes[i] - 1) for i in range(len(columns)) for p in probabilities if sizes[i]}
+    if not goals:
+        return wide.sparkSession.createDataFrame([], "column string, p double, value double")
+    brackets: dict[tuple, tuple] = dict.fromkeys(goals, (None, None))  # None: open
+    spread = {key: 2.0 / ACCURACY for key in goals}
+
+    def inside(key: tuple) -> Column:
+        low, high = brackets[key]
+        value = F.col(f"_{key[0]}")
+        within = value.isNotNull()
+        within = within if low is None else within & (value >= low)
+        return within if high is None else within & (value <= high)
+
+    pending = list(goals)
+    first = True
+    while pending:
+        # ends of the brackets, from a sketch of what is in them
+        asked = []
+        for key in pending:
+            value = F.when(inside(key) & ~F.isnan(f"_{key[0]}"), F.col(f"_{key[0]}"))
+            share = key[1] if first else spread[key, "at"]
+            ends = [max(0.0, share - spread[key]), min(1.0, share + spread[key])]
+            asked.append(F.percentile_approx(value, ends, ACCURACY))
+        for key, ends, share in zip(pending, wide.agg(*asked).first(), [key[1] for key in pending], strict=True):
+            low, high = ends or (None, None)
+            edge = spread[key]
+            old = brackets[key]
+            brackets[key] = (old[0] if first and share - edge <= 0 else low, old[1] if first and share + edge >= 1 else high)
+        below = [F.sum((F.col(f"_{k[0]}") < brackets[k][0]).cast("long")) if brackets[k][0] is not None else F.lit(0) for k in pending]
+        within = [F.sum(inside(k).cast("long")) for k in pending]
+        some = [F.approx_count_distinct(F.when(inside(k), F.col(f"_{k[0]}"))) for k in pending]
+        got = list(wide.agg(*below, *within, *some).first())
+        n = len(pending)
+        later = []
+        for at, key in enumerate(pending):
+            before, held, distinct = got[at] or 0, got[n + at] or 0, got[2 * n + at] or 0
+            spread[key, "before"] = before
+            low, high = int(np.floor(goals[key])), int(np.ceil(goals[key]))
+            if not before <= low or not high < before + held:  # missed: the whole column, in order
+                brackets[key], spread[key, "before"] = (None, None), 0
+            elif distinct > ORDERED and held > 1:
+                spread[key, "at"] = (goals[key] - before) / (held - 1)
+                later.append(key)
+        pending, first = later, False
+
+    places = [
+        F.when(inside(k), F.struct(F.lit(columns[k[0]]).alias("column"), F.lit(float(k[1])).alias("p"), F.col(f"_{k[0]}").alias("value"),
+                                   F.lit(float(goals[k])).alias("goal"), F.lit(int(spread[k, "before"])).alias("before")))
+        for k in goals
+    ]
+    found = wide.select(F.explode(F.filter(F.array(*places), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    counts = found.groupBy("column", "p", "goal", "before", "value").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("column", "p").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("before") + F.sum("n").over(order)
+    low, high = F.floor("goal"), F.ceil("goal")
+    marked = counts.withColumn("upto", upto).filter((F.col("upto") > low) & (F.col("upto") - F.col("n") <= high))
+    ends = marked.groupBy("column", "p", "goal").agg(
+        F.max(F.when((F.col("upto") - F.col("n") <= low) & (low < F.col("upto")), F.col("value"))).alias("a"),
+        F.max(F.when((F.col("upto") - F.col("n") <= high) & (high < F.col("upto")), F.col("value"))).alias("b"),
+    )
+    part = F.col("goal") - low
+    return ends.select("column", "p", F.when(part == 0, F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * part).alias("value"))
+
+
 def summarize(df: DataFrame, columns: list[str]) -> DataFrame:
-    """describe(): one row per column with count, mean, std, min, exact quartiles and max."""
-    out = None
-    for column in columns:
-        basic = df.agg(
-            F.count(column).alias("count"),
-            F.avg(column).alias("mean"),
-            F.stddev_samp(column).alias("std"),
-            F.min(column).cast("double").alias("min"),
-            F.max(column).cast("double").alias("max"),
-        ).withColumn("column", F.lit(column))
-        quart = (
-            exact_quantiles(df, column, [0.25, 0.5, 0.75])
-            .withColumn("column", F.lit(column))
-            .groupBy("column")
-            .agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    """describe(): one row per column with count, mean, std, min, exact quartiles and max. All columns share the passes."""
+    numbers = [
+        F.struct(
+            F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+            F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
         )
-        row = basic.join(quart, "column").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
-        out = row if out is None else out.unionByName(row)
-    return out
+        for c in columns
+    ]
+    basic = df.agg(F.array(*numbers).alias("rows")).select(F.explode("rows").alias("row")).select("row.*")
+    quart = quantiles_by_refinement(df, columns, [0.25, 0.5, 0.75]).groupBy("column").agg(
+        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
+    )
+    return basic.join(quart, "column", "left").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def mean_sem(df: DataFrame, key: str, value: str) -> DataFrame:

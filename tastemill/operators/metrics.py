@@ -221,20 +221,23 @@ def gini(counts: DataFrame, items: DataFrame | None = None, value: str = "n") ->
     n, total = totals.select("n").scalar(), totals.select("t").scalar()
     before = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     runs = levels.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("_n", n).withColumn("_t", total)
-    part = F.col("_c") * (2 * F.col("_b") + F.col("_c") - F.col("_n")) * (F.col("_v") / F.col("_t"))
-    return runs.agg((F.sum(part) / (F.max("_n") - 1)).alias("gini"))
+    share = F.coalesce(F.try_divide(F.col("_v"), F.col("_t")), F.lit(0.0))
+    part = F.col("_c") * (2 * F.col("_b") + F.col("_c") - F.col("_n")) * share
+    # one item, or no exposure at all, is spread evenly
+    return runs.agg(F.when(F.max("_n") == 1, F.lit(0.0)).otherwise(F.try_divide(F.sum(part), F.max("_n") - 1)).alias("gini"))
 
 
 def intra_list_diversity(recs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Per user: mean of 1 - cosine over the unordered pairs of the list, from the sum of the unit vectors (no pairs), and the
-    number of list items whose vector is known; NULL for fewer than two of these."""
+    number of list items whose vector is known; NULL for fewer than two of these. A zero vector has cosine 0 with every other."""
     dim = vector_dim(vectors)
     unit = vectors.select(F.col("id").alias("track"), _unit("vector").alias("vector"))
+    long = F.exists("vector", lambda x: x != 0)
     sums = recs.select("user", "track").join(unit, "track").groupBy("user").agg(
-        F.count(F.lit(1)).alias("_n"), sum_vectors("vector", dim).alias("_s")
+        F.count(F.lit(1)).alias("_n"), F.count(F.when(long, 1)).alias("_long"), sum_vectors("vector", dim).alias("_s")
     )
     square = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x * x)
-    mean = (square - F.col("_n")) / (F.col("_n") * (F.col("_n") - 1))
+    mean = F.try_divide(square - F.col("_long"), F.col("_n") * (F.col("_n") - 1))
     known = sums.select("user", F.when(F.col("_n") > 1, 1 - mean).alias("diversity"), F.col("_n").alias("known"))
     users = recs.select("user").distinct().join(known, "user", "left")
     return users.withColumn("known", F.coalesce("known", F.lit(0)))
@@ -242,16 +245,16 @@ def intra_list_diversity(recs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def _unit(vector: str) -> Column:
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: x.cast("double") / length)
+    return F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))
 
 
 def popularity_novelty(recs: DataFrame, train: DataFrame) -> DataFrame:
-    """Per recommended row: 1 - share of the users who know the item."""
+    """Per recommended row: 1 - share of the users who know the item; 1 where there are no users."""
     users = train.select("user").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     known = train.select("user", "track").distinct().groupBy("track").agg(F.count(F.lit(1)).alias("_u"))
     return (
         recs.join(known, "track", "left")
-        .withColumn("novelty", 1 - F.coalesce("_u", F.lit(0)) / users)
+        .withColumn("novelty", 1 - F.coalesce(F.try_divide(F.coalesce("_u", F.lit(0)), users), F.lit(0.0)))
         .drop("_u")
     )
 

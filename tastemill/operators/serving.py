@@ -26,8 +26,8 @@ def dense_catalog(catalog: DataFrame) -> DataFrame:
 
 def recommend_random(events: DataFrame, dense: DataFrame, key: str = "event_id", seed: int = 0, alias: str = "next") -> DataFrame:
     """Any track of the catalog."""
-    # a stream takes the catalog size as of its start
-    size = F.lit(dense.count()) if events.isStreaming else dense.agg(F.count(F.lit(1)).alias("n")).scalar()
+    # the catalog as it is when the rule is set up, for tables and streams alike
+    size = F.lit(dense.count())
     drawn = events.withColumn("_n", size).withColumn("at", uniform_index(F.col("_n"), key, seed=seed)).drop("_n")
     return drawn.join(dense.withColumnRenamed("track", alias), "at", "left").drop("at")
 

@@ -106,6 +106,9 @@ def profile_score(texts: DataFrame, profile: DataFrame, prior: DataFrame, key: s
 
 
 def class_log_prior(labelled: DataFrame, label: str) -> DataFrame:
+    """Log odds of label 1. While one class has no rows, one row is added to each."""
     pos = F.sum((F.col(label) == 1).cast("long"))
     neg = F.sum((F.col(label) == 0).cast("long"))
-    return labelled.agg(F.log(pos / neg).alias("log_prior"))
+    none = F.when((pos > 0) & (neg > 0), F.lit(0)).otherwise(F.lit(1))
+    counts = labelled.agg(F.coalesce(pos, F.lit(0)).alias("p"), F.coalesce(neg, F.lit(0)).alias("q"), none.alias("more"))
+    return counts.select(F.log((F.col("p") + F.col("more")) / (F.col("q") + F.col("more"))).alias("log_prior"))

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as ag
+from ..operators import inverted as iv
 from ..operators import linear as li
 from ..operators import metrics as me
 from ..operators import neighbours as nb
@@ -210,6 +211,36 @@ def l4_distance(spark, sf):
     return out.select("user", "track", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
+@query("r4_inverted_file_exact", knn_sql(IP, 10, "WHERE a.id <> b.id"))
+def r4_inverted_exact(spark, sf):
+    """Through the inverted file: a few cells first, then only those that could still hold a better neighbour."""
+    vec = vectors(spark, sf)
+    return iv.ivf_knn(iv.build(vec), vec, 10, probes=8, exact=True, exclude_self=True)
+
+
+@query("r2_inverted_file_l2", knn_sql("-list_distance(a.vector::DOUBLE[], b.vector::DOUBLE[])", 20, "WHERE a.id <> b.id"))
+def r2_inverted_exact(spark, sf):
+    vec = vectors(spark, sf)
+    return iv.ivf_knn(iv.build(vec, metric="l2"), vec, 20, probes=8, exact=True, exclude_self=True)
+
+
+RECALL = """near AS (SELECT query, item FROM (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank
+  FROM (SELECT a.id AS query, b.id AS item, round(""" + IP + """, 9) AS score FROM vec a, vec b WHERE a.id <> b.id)) WHERE rank <= 10)
+SELECT 10 AS wanted, count(DISTINCT query) AS queries, count(*) AS neighbours, TRUE AS enough FROM near"""
+
+
+@query("l9_inverted_file_recall", ctes(VEC, RECALL))
+def l9_inverted_recall(spark, sf):
+    """The approximate search with as many probes as a sample needs for a recall of 0.92, held against exact search of all:
+    whether 0.9 of all true neighbours were found."""
+    vec = vectors(spark, sf)
+    index = iv.build(vec)
+    probes = iv.probes_for(index, vec, 10, 0.92, exclude_self=True)
+    found = iv.recall(iv.ivf_knn(index, vec, 10, probes, exclude_self=True), rt.item_to_item(vec, 10))
+    return found.agg(F.max("wanted").cast("int").alias("wanted"), F.count(F.lit(1)).alias("queries"), F.sum("wanted").alias("neighbours"),
+                     (F.sum("hits") >= F.sum("wanted") * 0.9).alias("enough"))
+
+
 @query("l9_lsh_vectors")
 def l9_lsh(spark, sf):
     return rt.lsh_knn(vectors(spark, sf), 10)
@@ -217,7 +248,8 @@ def l9_lsh(spark, sf):
 
 @query("l9_minhash_users")
 def l9_minhash(spark, sf):
-    return rt.minhash_neighbours(interactions(spark, sf), 10, hashes=8, bands=8)
+    """Bands of two hashes: the shape for a similarity of 0.15."""
+    return rt.minhash_neighbours(interactions(spark, sf), 10, hashes=96, threshold=0.15)
 
 
 @query(

@@ -386,7 +386,7 @@ def arm_table(spark, sf):
 
 @query(
     "l15_ucb",
-    ctes(ARMS) + """SELECT arm, pulls, round(mean, 6) AS mean, round(mean + sqrt(2.0 * ln((SELECT sum(pulls) FROM st)::DOUBLE) / pulls), 6) AS ucb FROM st""",
+    ctes(ARMS) + """SELECT arm, pulls, round(mean, 6) AS mean, round(mean + 2.0 * sqrt(ln((SELECT sum(pulls) FROM st)::DOUBLE) / pulls), 6) AS ucb FROM st""",
 )
 def l15_ucb(spark, sf):
     return rounded(bi.ucb_choice(arm_table(spark, sf), "arm").select("arm", "pulls", "mean", "ucb"), "mean", "ucb")
@@ -394,24 +394,38 @@ def l15_ucb(spark, sf):
 
 @query(
     "l15_epsilon_greedy",
-    ctes(ARMS) + """, e AS (SELECT least(1.0, 1 / sqrt((SELECT sum(pulls) FROM st))) AS e)
+    ctes(ARMS) + """, e AS (SELECT 1 / (1 + (SELECT sum(pulls) FROM st) * 0.001::DOUBLE) AS e)
 SELECT arm, round(0.1 / (SELECT count(*) FROM st) + CASE WHEN mean = (SELECT max(mean) FROM st) THEN 0.9 ELSE 0 END, 6)::DOUBLE AS fixed,
   round(e / (SELECT count(*) FROM st) + CASE WHEN mean = (SELECT max(mean) FROM st) THEN 1 - e ELSE 0 END, 6) AS decayed FROM st, e""",
 )
 def l15_epsilon(spark, sf):
     stats = arm_table(spark, sf)
     fixed = bi.epsilon_greedy(stats, "arm", 0.1).select("arm", F.col("chance").alias("fixed"))
-    shrinking = bi.epsilon_greedy(stats, "arm", bi.decayed()).select("arm", F.col("chance").alias("decayed"))
+    shrinking = bi.epsilon_greedy(stats, "arm", bi.decayed(0.001)).select("arm", F.col("chance").alias("decayed"))
     return rounded(fixed.join(shrinking, "arm"), "fixed", "decayed")
 
 
 @query(
     "l15_gradient",
-    ctes(ARMS) + """, p AS (SELECT arm, 0.01 * pulls * (mean - (SELECT sum(total) / sum(pulls) FROM st)) AS p FROM st), e AS (SELECT arm, exp(p - (SELECT max(p) FROM p)) AS e FROM p)
-SELECT arm, round(e / (SELECT sum(e) FROM e), 6) AS chance FROM e""",
+    """WITH RECURSIVE arms AS (SELECT list(DISTINCT event_type ORDER BY event_type) AS arms FROM events),
+ev AS (SELECT user_id AS "user", list_position(arms, event_type) AS a, value / (value + 50) AS r, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events, arms),
+walk("user", t, h, mean) AS (
+  SELECT DISTINCT "user", 0::BIGINT, list_transform(arms, lambda x: 0.0::DOUBLE), 0.0::DOUBLE FROM ev, arms
+  UNION ALL
+  SELECT "user", e.t, list_transform(range(1, len(h) + 1), lambda i: CASE WHEN i = a
+      THEN h[i] + 0.1 * (r - mean) * (1 - exp(h[i]) / list_sum(list_transform(h, lambda x: exp(x))))
+      ELSE h[i] - 0.1 * (r - mean) * exp(h[i]) / list_sum(list_transform(h, lambda x: exp(x))) END), mean + (r - mean) / e.t
+  FROM walk w JOIN ev e USING ("user") WHERE e.t = w.t + 1),
+ends AS (SELECT "user", max(t) AS steps, arg_max(h, t) AS h FROM walk GROUP BY 1)
+SELECT "user", arms[i] AS arm, steps, round(h[i], 6) + 0.0 AS preference, round(exp(h[i]) / list_sum(list_transform(h, lambda x: exp(x))), 6) AS chance
+FROM ends, arms, range(1, 1000) s(i) WHERE i <= len(h)""",
 )
 def l15_gradient(spark, sf):
-    return rounded(bi.gradient_chances(arm_table(spark, sf), "arm", 0.01).select("arm", "chance"), "chance")
+    """One gradient bandit per user, walked through the user's log."""
+    reward = F.col("value") / (F.col("value") + 50)
+    events = table(spark, sf, "events").select(F.col("user_id").alias("user"), "event_type", "ts", "event_id", reward.alias("reward"))
+    out = bi.gradient_bandit(events, "event_type", "reward", ["ts", "event_id"], ["user"])
+    return out.select("user", "arm", "steps", (F.round("preference", 6) + 0.0).alias("preference"), F.round("chance", 6).alias("chance"))
 
 
 @query(
@@ -429,12 +443,6 @@ ed AS (SELECT a AS src, b AS dst FROM pr UNION ALL SELECT b, a FROM pr),
 dg AS (SELECT src, count(*) AS d FROM ed GROUP BY 1)"""
 
 
-def start_vectors(edges, dim=4):
-    """A small repeatable vector per node, from hashes of its name."""
-    nodes = edges.select(F.col("src").alias("id")).distinct()
-    return nodes.select("id", F.array(*[uniform("id", seed=s) - 0.5 for s in range(dim)]).alias("vector"))
-
-
 @query(
     "c8_propagate",
     ctes(INTER, EDGES) + ", l0 AS (SELECT src AS id, s, "
@@ -448,8 +456,16 @@ t AS (SELECT id, s, sum(v) / 3 AS v FROM (SELECT * FROM l0 UNION ALL SELECT * FR
 SELECT id, round(max(v) FILTER (s = 0), 6) + 0.0 AS v0, round(max(v) FILTER (s = 3), 6) + 0.0 AS v3 FROM t GROUP BY 1""",
 )
 def c8_propagate(spark, sf):
-    edges = gr.bipartite_edges(interactions(spark, sf))
-    out = gr.propagate(edges, start_vectors(edges), 2)
+    plays = interactions(spark, sf)
+
+    def start(column: str, letter: str):
+        """A small repeatable vector per node, from hashes of its name."""
+        ids = plays.select(F.col(column).alias("id")).dropna().distinct().withColumn("name", F.concat(F.lit(letter), "id"))
+        return ids.select("id", F.array(*[uniform("name", seed=s) - 0.5 for s in range(4)]).alias("vector"))
+
+    users, items = gr.propagate_pairs(plays, start("user", "u"), start("track", "i"), 2)
+    named = [v.select(F.concat(F.lit(n), "id").alias("id"), "vector") for v, n in ((users, "u"), (items, "i"))]
+    out = named[0].unionByName(named[1])
     return out.select("id", (F.round(F.col("vector")[0], 6) + 0.0).alias("v0"), (F.round(F.col("vector")[3], 6) + 0.0).alias("v3"))
 
 

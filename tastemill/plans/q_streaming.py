@@ -123,6 +123,22 @@ def z3_sessions(spark, sf):
     return rounded(st.to_table(sessions_stream(spark, sf), "sessions").drop("closed"), "time", "latency")
 
 
+@query(
+    "z3_stream_timeouts",
+    ctes(LOG, I2I, TREATED) + """, g AS (SELECT *, lag(message) OVER w = 'last' OR "timestamp" - lag("timestamp") OVER w > 1800000 AS opens FROM tlog
+  WINDOW w AS (PARTITION BY "user", treatment ORDER BY "timestamp", message, "time", track)),
+n AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY "user", treatment ORDER BY "timestamp", message, "time", track ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+s AS (SELECT "user", treatment, sid, min("timestamp") AS "timestamp", max("timestamp") AS last_at, count(*) AS tracks, sum("time") AS "time", sum(latency * 1000) AS latency,
+  max(CASE WHEN message = 'last' THEN 1 ELSE 0 END) = 1 AS closed, sid = max(sid) OVER (PARTITION BY "user", treatment) AS newest FROM n GROUP BY 1, 2, 3)
+SELECT "user", treatment, "timestamp", tracks, round("time", 6) AS "time", round(latency, 6) AS latency, closed FROM s
+WHERE closed OR NOT newest OR last_at + 1800000 < (SELECT max("timestamp") FROM log) - 600000""",
+)
+def z3_timeouts(spark, sf):
+    """Sessions ended by the marker or by a pause of half an hour; those that may still go on are not emitted."""
+    events = delivered(spark, sf).withColumn("treatment", F.col("experiments")["I2I"]).withWatermark("at", "10 minutes")
+    return rounded(st.to_table(st.stream_sessions(events, "30 minutes"), "timeouts"), "time", "latency")
+
+
 SUMS = """stats AS (SELECT treatment, 'tracks' AS metric, count(*) AS n, avg(tracks) AS mean, var_samp(tracks) AS var FROM sessions GROUP BY 1
   UNION ALL SELECT treatment, 'time', count(*), avg("time"), var_samp("time") FROM sessions GROUP BY 1
   UNION ALL SELECT treatment, 'latency', count(*), avg(latency), var_samp(latency) FROM sessions GROUP BY 1)"""

@@ -23,7 +23,7 @@ from ..sources.schemas import EVENTS
 HISTORY = "user long, version long, at long, tracks array<long>, times array<double>"
 HISTORY_STATE = "version long, at array<long>, tracks array<long>, times array<double>"
 SESSION = "user long, treatment string, timestamp long, tracks long, time double, latency double, closed boolean"
-SESSION_STATE = "timestamp long, last long, tracks long, time double, latency double, treatment string"
+SESSION_STATE = "timestamp long, last long, tracks long, time double, latency double"
 
 
 def stream_events(spark: SparkSession, path: str, schema: str = EVENTS, files_per_batch: int | None = None) -> DataFrame:
@@ -107,54 +107,65 @@ def latest_history(updates: DataFrame) -> DataFrame:
 
 
 def stream_sessions(events: DataFrame, timeout: str | None = None) -> DataFrame:
-    """Sessions closed by the 'last' marker, emitted as soon as they close.
+    """Sessions of each user and treatment, closed by the 'last' marker and emitted as soon as they close.
 
     ``events`` has user, treatment, timestamp, message, time, latency and, for a timeout, the watermarked ``at``. Events
     of a user must not arrive later than a batch that holds newer ones; inside a batch they are put in time order. With
-    ``timeout`` (such as '30 minutes') a session without new events for that long of event time is emitted as not closed.
+    ``timeout`` (such as '30 minutes') a pause longer than that of event time ends a session as not closed: when the next
+    event shows it, or when the watermark has passed it, whatever batches the events came in.
+
+    Of a key's rows in a micro-batch four numbers each are held while they are sorted; ``files_per_batch`` bounds them.
     """
     idle = None if timeout is None else int(pd.Timedelta(timeout).total_seconds() * 1000)
 
-    def frame(rows: list[tuple], user: int) -> pd.DataFrame:
-        names = ["treatment", "timestamp", "tracks", "time", "latency", "closed"]
-        return pd.DataFrame(rows, columns=names).assign(user=user)[["user", *names]]
+    def frame(rows: list[tuple], key: tuple) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["timestamp", "tracks", "time", "latency", "closed"])
+        out.insert(0, "user", key[0])
+        out.insert(1, "treatment", pd.Series([key[1]] * len(out), dtype=object))
+        return out
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            start, _, tracks, time, latency, treatment = state.get
+            start, _, tracks, time, latency = state.get
             state.remove()
-            yield frame([(treatment, start, tracks, time, latency, False)], key[0])
+            yield frame([(start, tracks, time, latency, False)], key)
             return
-        pdf = pd.concat(list(batches)).sort_values(["timestamp", *TIES])  # one user, one micro-batch
-        at, times, latencies = (pdf[c].to_numpy() for c in ("timestamp", "time", "latency"))
-        last = (pdf["message"] == "last").to_numpy()
-        begin = np.flatnonzero(np.r_[True, last[:-1]])
-        starts, tracks = at[begin], np.diff(np.r_[begin, len(pdf)])
+        parts = [[pdf[c].to_numpy() for c in ("timestamp", "time", "latency")]
+                 + [pdf["message"].to_numpy() == "last", *(pdf[t].to_numpy() for t in TIES)] for pdf in batches]
+        at, times, latencies, last, *ties = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort([*(pd.factorize(t, sort=True)[0] for t in reversed(ties)), at])
+        at, times, latencies, last = at[order], times[order], latencies[order], last[order]
+        pause = np.zeros(len(at), bool) if idle is None else np.r_[False, np.diff(at) > idle]
+        begin = np.flatnonzero(np.r_[True, last[:-1]] | pause)
+        starts, tracks = at[begin], np.diff(np.r_[begin, len(at)])
         sums, waits = np.add.reduceat(times, begin), np.add.reduceat(latencies, begin) * 1000
-        arm = pdf["treatment"].iloc[0]
+        ends = np.r_[begin[1:], len(at)] - 1
+        rows = []
         if state.exists:
-            start, _, count, time, latency, arm = state.get
-            starts[0] = start
-            tracks[0] += count
-            sums[0] += time
-            waits[0] += latency
+            start, latest, count, time, latency = state.get
             state.remove()
+            if idle is not None and at[0] - latest > idle:
+                rows.append((start, count, time, latency, False))
+            else:
+                starts[0] = start
+                tracks[0] += count
+                sums[0] += time
+                waits[0] += latency
         done = len(begin)
         if not last[-1]:
             done -= 1
-            state.update((int(starts[-1]), int(at[-1]), int(tracks[-1]), float(sums[-1]), float(waits[-1]), arm))
+            state.update((int(starts[-1]), int(at[-1]), int(tracks[-1]), float(sums[-1]), float(waits[-1])))
             if idle is not None:
                 state.setTimeoutTimestamp(max(int(at[-1]) + idle, state.getCurrentWatermarkMs() + 1))
-        if done:
-            yield frame(
-                [(arm, int(starts[n]), int(tracks[n]), float(sums[n]), float(waits[n]), True) for n in range(done)], key[0]
-            )
+        rows += [(int(starts[n]), int(tracks[n]), float(sums[n]), float(waits[n]), bool(last[ends[n]])) for n in range(done)]
+        if rows:
+            yield frame(rows, key)
 
     mode = GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.EventTimeTimeout
     columns = ["user", "treatment", "timestamp", "message", "track", "time", "latency"]
     if timeout is not None:
         columns.append("at")
-    return events.select(*columns).groupBy("user").applyInPandasWithState(update, SESSION, SESSION_STATE, "append", mode)
+    return events.select(*columns).groupBy("user", "treatment").applyInPandasWithState(update, SESSION, SESSION_STATE, "append", mode)
 
 
 class StreamABStats:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tastemill.operators import bias as bi
 from tastemill.operators import graph as gr
 from tastemill.operators import interactions as it
 from tastemill.operators import metrics as me
@@ -15,6 +16,7 @@ from tastemill.operators import retrieval as rt
 from tastemill.operators import serving as sv
 from tastemill.operators import tiles as ti
 from tastemill.operators.ordering import recent_history
+from tastemill.operators.text import class_log_prior
 
 
 def ratings(seed=1, users=30, items=25):
@@ -328,3 +330,81 @@ def test_single_plays_and_silent_tracks_harm_nobody(spark, small_blocks):
         got = out.collect()
         assert all(np.isfinite(r["score"]) for r in got)
         assert all(sorted(x) == [1, 2, 3] for x in lists_of(out).values()) and len(lists_of(out)) == 5
+
+
+def test_metrics_of_degenerate_inputs(spark):
+    one = spark.createDataFrame([(1, 5)], "track long, n long")
+    assert me.gini(one).first()["gini"] == 0.0
+    none = spark.createDataFrame([(1, 0), (2, 0)], "track long, n long")
+    assert me.gini(none).first()["gini"] == 0.0
+    recs = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1)], "user long, track long")
+    vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0])], "id long, vector array<double>")
+    got = {r["user"]: r["diversity"] for r in me.intra_list_diversity(recs, vec).collect()}
+    assert got[1] == pytest.approx(1 - 1 / 3) and got[2] is None
+    empty = spark.createDataFrame([], "user long, track long")
+    assert {r["novelty"] for r in me.popularity_novelty(recs, empty).collect()} == {1.0}
+    for labels, want in (([1, 1], np.log(3)), ([0], -np.log(2)), ([], 0.0), ([1, 1, 0], np.log(2))):
+        df = spark.createDataFrame([(y,) for y in labels], "y int")
+        assert class_log_prior(df, "y").first()["log_prior"] == pytest.approx(want)
+
+
+def test_draws_from_no_counts(spark):
+    rows = spark.createDataFrame([(1, 0.3)], "k long, u double")
+    assert bi.draw_by_count(rows, spark.createDataFrame([], "track long, n long"), "track", "u").count() == 0
+
+
+def test_gradient_bandit_is_the_lecture_step_by_step(spark):
+    rng = random.Random(3)
+    log = [(u, t, rng.choice("abc"), rng.random()) for u in range(4) for t in range(rng.randrange(1, 40))]
+    log += [(0, 99, None, 0.5), (1, 99, "a", None), (None, 1, "a", 0.5)]
+    df = spark.createDataFrame(log, "user long, t long, arm string, r double").repartition(3)
+    got = {(r["user"], r["arm"]): r for r in bi.gradient_bandit(df, "arm", "r", ["t"], ["user"], 0.3).collect()}
+    assert len(got) == 12
+    for u in range(4):
+        h, mean, n = dict.fromkeys("abc", 0.0), 0.0, 0
+        for _, _, a, r in sorted(x for x in log if x[0] == u and x[2] and x[3] is not None):
+            total = sum(np.exp(x) for x in h.values())
+            pi = {k: np.exp(x) / total for k, x in h.items()}
+            h = {k: x + 0.3 * (r - mean) * ((1 - pi[k]) if k == a else -pi[k]) for k, x in h.items()}
+            n += 1
+            mean += (r - mean) / n
+        total = sum(np.exp(x) for x in h.values())
+        for k in "abc":
+            assert got[u, k]["preference"] == pytest.approx(h[k]) and got[u, k]["chance"] == pytest.approx(np.exp(h[k]) / total)
+            assert got[u, k]["steps"] == n
+    with pytest.raises(ValueError):
+        bi.gradient_bandit(df, "arm", "r", ["t"], ["user"], most_arms=2)
+
+
+def test_bandit_rates(spark):
+    stats = spark.createDataFrame([("a", 60, 0.5, 30.0, 0.1), ("b", 40, 0.7, 28.0, 0.1)], "arm string, pulls long, mean double, total double, std double")
+    ucb = {r["arm"]: r["ucb"] for r in bi.ucb_choice(stats, "arm", 1.5).collect()}
+    assert ucb["b"] == pytest.approx(0.7 + 1.5 * np.sqrt(np.log(100) / 40))
+    chance = {r["arm"]: r["chance"] for r in bi.epsilon_greedy(stats, "arm", bi.decayed(0.01)).collect()}
+    assert chance == {"a": pytest.approx(0.25), "b": pytest.approx(0.75)}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"lines": 7, "side": 5}])
+def test_propagation_in_tiles_equals_the_edge_join(spark, sizes):
+    rng = random.Random(5)
+    pairs = [(u, i) for u in range(30) for i in range(20) if u == 0 or i == 0 or rng.random() < 0.2]
+    rng2 = np.random.default_rng(1)
+    users = [(u, [float(x) for x in rng2.standard_normal(3)]) for u in range(32)]  # 30 and 31 play nothing
+    items = [(i, [float(x) for x in rng2.standard_normal(3)]) for i in range(20)]
+    plays = spark.createDataFrame([*pairs, pairs[0], (None, 3), (4, None)], "user long, track long")
+    uv, iv = (spark.createDataFrame(v, "id long, vector array<double>") for v in (users, items))
+    edges = gr.bipartite_edges(spark.createDataFrame(pairs, "user long, track long"))
+    named = uv.select(F.concat(F.lit("u"), "id").alias("id"), "vector").unionByName(iv.select(F.concat(F.lit("i"), "id").alias("id"), "vector"))
+    want = {r["id"]: r["vector"] for r in gr.propagate(edges, named, 3).collect()}
+    got_u, got_i = gr.propagate_pairs(plays, uv, iv, 3, **sizes)
+    got = {f"u{r['id']}": r["vector"] for r in got_u.collect()} | {f"i{r['id']}": r["vector"] for r in got_i.collect()}
+    assert set(got) == set(want)
+    assert all(got[n] == pytest.approx(want[n]) for n in want)
+
+
+def test_many_dimensions(spark):
+    vec = [(n, [float(n % 7)] * 128) for n in range(12)]
+    plays = spark.createDataFrame([(u, i) for u in range(12) for i in range(12) if (u + i) % 3], "user long, track long")
+    df = spark.createDataFrame(vec, "id long, vector array<double>")
+    users, _ = gr.propagate_pairs(plays, df, df, 4, lines=5, side=5)
+    assert {len(r["vector"]) for r in users.collect()} == {128}

@@ -81,3 +81,33 @@ def test_next_and_last_of_one_moment_are_two_events(spark):
     rows = [(0, 1, "C", 1000, "next", 2, 0.5, 0.1), (1, 1, "C", 1000, "last", 2, 0.5, 0.1), (2, 1, "C", 1000, "last", 2, 0.5, 0.1)]
     once = st.deduplicate(deliver(spark, rows, 1))
     assert st.to_table(once.select("user", "message"), "once").count() == 2
+
+
+def test_treatments_of_one_user_are_kept_apart(spark):
+    rows = [(0, 1, "C", 10_000, "next", 1, 0.5, 0.1), (1, 1, "T1", 11_000, "next", 2, 0.25, 0.1), (2, 1, None, 11_500, "next", 2, 1.0, 0.1),
+            (3, 1, "C", 12_000, "last", 1, 0.5, 0.1), (4, 1, "T1", 90_000, "last", 3, 0.25, 0.1), (5, 1, None, 95_000, "last", 3, 1.0, 0.1)]
+    got = st.to_table(st.stream_sessions(deliver(spark, rows, 2)), "sessions").collect()
+    assert sorted((r["treatment"] or "", r["timestamp"], r["tracks"], r["time"], r["closed"]) for r in got) == [
+        ("", 11_500, 2, 2.0, True), ("C", 10_000, 2, 1.0, True), ("T1", 11_000, 2, 0.5, True)]
+
+
+def test_a_pause_ends_a_session_whatever_the_batches(spark):
+    minute = 60_000
+    at = [0, 10, 50, 55, 120, 121]
+    rows = [(n, 7, "C", 600 * minute + m * minute, "last" if m == 55 else "next", 1, 0.5, 0.0) for n, m in enumerate(at)]
+    rows.append((99, 8, "C", 5000 * minute, "last", 1, 0.5, 0.0))
+    for parts in (1, 2, 400):
+        stream = deliver_each(spark, rows, parts).withWatermark("at", "1 minute")
+        got = st.to_table(st.stream_sessions(stream, "30 minutes"), "sessions").collect()
+        found = sorted((r["timestamp"] // minute - 600, r["tracks"], r["closed"]) for r in got if r["user"] == 7)
+        assert found == [(0, 2, False), (50, 2, True), (120, 2, False)], parts
+
+
+def deliver_each(spark, rows, parts):
+    """At most ``parts`` files with rows in time order, then one with the newest row alone."""
+    path = scratch_path(spark, "delivery")
+    rows = sorted(rows, key=lambda r: r[3])
+    early, size = rows[:-1], -(-(len(rows) - 1) // parts)
+    for part in [early[i : i + size] for i in range(0, len(early), size)] + [rows[-1:]]:
+        spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").json(path)
+    return st.stream_events(spark, path, schema=LOG, files_per_batch=1)
