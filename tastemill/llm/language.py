@@ -33,14 +33,16 @@ EDGE = "_"
 
 @dataclass
 class Backoff(dict):
-    """Word -> row of ``rows``; a word that is not there is scored by its n-grams and remembered for a while."""
+    """Word -> row of ``rows``; a word that is not there is scored by its n-grams, rows of ``gram_rows``, and remembered for a
+    while."""
 
     langs: list[str]
     words: dict[str, int]
     rows: np.ndarray
-    grams: dict[str, np.ndarray]
+    grams: dict[str, int]
+    gram_rows: np.ndarray
     longest: int
-    limit: int = 300_000
+    limit: int = 100_000
     table: np.ndarray = field(init=False)
     used: int = field(init=False, default=0)
 
@@ -67,7 +69,7 @@ class Backoff(dict):
         for n in range(min(self.longest, len(edged)), 0, -1):
             known = [g for i in range(len(edged) - n + 1) if (g := self.grams.get(edged[i : i + n])) is not None]
             if known:
-                return np.mean(known, 0)
+                return self.gram_rows[known].mean(0)
         return np.zeros(len(self.langs))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -131,14 +133,15 @@ def train(docs: DataFrame, sample_rows: int = 4_000, top_words: int = 20_000, to
         tables.append(held)
     known = tables[0]
     rows_of = np.array(list(known.values())) if known else np.zeros((0, len(langs)))
-    grams_of = {g: row for held in tables[1:] for g, row in held.items()}
-    return Backoff(langs, {w: i for i, w in enumerate(known)}, rows_of, grams_of, longest)
+    grams = {g: row for held in tables[1:] for g, row in held.items()}
+    grams_of = np.array(list(grams.values())) if grams else np.zeros((0, len(langs)))
+    return Backoff(langs, {w: i for i, w in enumerate(known)}, rows_of, {g: i for i, g in enumerate(grams)}, grams_of, longest)
 
 
 def predict(docs: DataFrame, model: Backoff) -> DataFrame:
     """``docs`` with lang_pred and score, from ``text`` alone."""
     shared = docs.sparkSession.sparkContext.broadcast(
-        (model.langs, model.words, model.rows, model.grams, model.longest)
+        (model.langs, model.words, model.rows, model.grams, model.gram_rows, model.longest)
     )
 
     @F.pandas_udf("lang_pred string, score double")

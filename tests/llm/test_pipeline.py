@@ -45,3 +45,14 @@ def test_one_document_of_each_group_stays(spark):
 def test_repeated_rows_leave_one(spark):
     df = spark.createDataFrame([(5, "a b c d e f", "en", "s", 1)] * 3 + [(None, "x", "en", "s", 1)] * 2, DOCS)
     assert sorted((r["doc_id"] or 0) for r in pipeline.near_duplicates(spark, df, SF).collect()) == [0, 0, 5]
+
+
+def test_texts_that_share_an_id_are_decided_one_by_one(spark):
+    copy, own = "one two three four five six seven", "quite another text of a few words"
+    rows = [(1, copy, "en", "s", 1), (2, copy, "en", "s", 1), (2, own, "en", "s", 1), (2, own, "en", "s", 1), (3, None, None, None, None),
+            (3, "", None, None, None), (None, copy, "en", "s", 1)]
+    df = spark.createDataFrame([(*r, {"k": 1}) for r in rows], DOCS + ", extra map<string,int>")
+    out = pipeline.near_duplicates(spark, df, SF)
+    assert out.columns == df.columns
+    kept = sorted(((r["doc_id"] or 0), r["text"] or "") for r in out.collect())
+    assert kept.count((2, own)) == 1 and (2, copy) not in kept and (1, copy) in kept and (0, copy) in kept
