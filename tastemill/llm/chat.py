@@ -4,8 +4,9 @@ Lines that start with ``>`` are quoted, the number of these marks being the leve
 passage and each of its lines are normalised (lower case, single spaces), hashed, and joined to the messages of the same
 conversation whose own text, or a line of it, has the hash: the latest one before the quoting message. A message replies to
 the message that matches most characters at its lowest matched level (ties: the later one), or, if nothing matches, to the message before
-it. Conversations are listed depth first: a message, then the replies to it, earlier ones first. Quoted lines, and a line such as
-"Ann wrote:" right above them, are taken out of the text.
+it. Conversations are listed depth first: a message, then the replies to it, earlier ones first. Quoted lines that are linked, alone
+or with their passage, and a line such as "Ann wrote:" right above them, are taken out of the text. Lines that begin with
+``>`` and link to nothing, such as a prompt, a comparison or a quotation from elsewhere, stay as they are.
 
 Only DataFrame functions; a conversation may be of any length and branch anywhere: places come from sums of subtree sizes, in
 rows of fixed width. Defined results: messages of one turn, and repeated rows, are
@@ -23,7 +24,7 @@ from tastemill.operators.ordering import number_rows, sum_before
 from tastemill.session import materialize
 
 MARKS = r"^((?:[ \t]*>)+)"
-HEADER = r"(?i)^.{0,200}\b(wrote|schrieb|a écrit|escribió):$"
+HEADER = r"(?i)^.{0,200}\b(wrote|schrieb|a écrit|escribió)\b.{0,100}:$"
 #: Positions of a conversation that one task walks together.
 SLICE = 1_000
 
@@ -33,11 +34,11 @@ def normalised(text: Column) -> Column:
 
 
 def parsed_lines(text: Column) -> Column:
-    """Array of (level, body), one per line."""
+    """Array of (level, body, whole), one per line."""
 
     def line(x: Column) -> Column:
         level = F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), "[^>]", ""))
-        return F.struct(level.alias("level"), F.trim(F.regexp_replace(x, MARKS, "")).alias("body"))
+        return F.struct(level.alias("level"), F.trim(F.regexp_replace(x, MARKS, "")).alias("body"), F.trim(x).alias("whole"))
 
     return F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), line)
 
@@ -66,7 +67,7 @@ def latest(rows: DataFrame, keys: list[str], order: list, at: str, value: Column
 
 
 def quoted_passages(messages: DataFrame) -> DataFrame:
-    """(conv, at, level, kind, hash, weight): passages and their lines."""
+    """(conv, at, level, kind, hash, weight, first, n): passages and their lines, n lines from the first on."""
     lines = messages.filter(F.exists("lines", lambda x: x["level"] > 0)).select(
         "conv", "at", F.posexplode("lines").alias("pos", "line")
     )
@@ -76,37 +77,60 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
     runs = lines.withColumn("run", F.col("pos") - place)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "body")))  # the lines of one passage of one message
     passages = runs.groupBy("conv", "at", "level", "run").agg(ordered.alias("parts"))
-    whole = passages.select("conv", "at", "level", F.lit("all").alias("kind"), F.concat_ws(" ", F.col("parts.body")).alias("body"))
-    both = whole.unionByName(lines.select("conv", "at", "level", F.lit("line").alias("kind"), "body"))
-    return both.select("conv", "at", "level", "kind", F.xxhash64("body").alias("hash"), F.length("body").alias("weight"))
+    whole = passages.select("conv", "at", "level", F.lit("all").alias("kind"), F.concat_ws(" ", F.col("parts.body")).alias("body"),
+                            F.col("parts")[0]["pos"].alias("first"), F.size("parts").alias("n"))
+    both = whole.unionByName(
+        lines.select("conv", "at", "level", F.lit("line").alias("kind"), "body", F.col("pos").alias("first"), F.lit(1).alias("n"))
+    )
+    return both.select("conv", "at", "level", "kind", F.xxhash64("body").alias("hash"), F.length("body").alias("weight"), "first", "n")
 
 
 def originals(messages: DataFrame) -> DataFrame:
     """(conv, at, kind, hash) of every message's own text and of its lines."""
-    whole = messages.select("conv", "at", F.lit("all").alias("kind"), normalised(F.col("content")).alias("body"))
+    whole = messages.select("conv", "at", F.lit("all").alias("kind"), normalised(F.array_join("own", "\n")).alias("body"))
     lines = messages.select("conv", "at", F.lit("line").alias("kind"), F.explode("own").alias("body"))
     lines = lines.withColumn("body", normalised(F.col("body")))
     rows = whole.unionByName(lines).filter(F.col("body") != "")
     return rows.select("conv", "at", "kind", F.xxhash64("body").alias("hash")).distinct()
 
 
-def reply_links(messages: DataFrame) -> DataFrame:
-    """(conv, at, parent) of the messages whose quotations match an earlier message of the conversation."""
+def linked_quotes(messages: DataFrame) -> DataFrame:
+    """(conv, at, level, weight, first, n, parent) of the quotations that match an earlier message of the conversation."""
     quotes = quoted_passages(messages)
     keys = ["conv", "kind", "hash"]
     sources = originals(messages).join(quotes.select(*keys).distinct(), keys, "left_semi")
+    none = F.lit(None).cast("int")
     rows = quotes.withColumn("source", F.lit(0)).unionByName(
-        sources.select("conv", "at", F.lit(None).cast("int").alias("level"), "kind", "hash",
-                       F.lit(None).cast("int").alias("weight"), F.lit(1).alias("source"))
+        sources.select("conv", "at", none.alias("level"), "kind", "hash", none.alias("weight"), none.alias("first"), none.alias("n"),
+                       F.lit(1).alias("source"))
     )
     # a message's own lines come after its quotations, so that it never answers itself
     found = latest(rows, keys, ["at", "source"], "at", F.when(F.col("source") == 1, F.col("at")), "parent")
-    votes = found.filter((F.col("source") == 0) & F.col("parent").isNotNull()).groupBy("conv", "at", "level", "parent")
+    return found.filter((F.col("source") == 0) & F.col("parent").isNotNull()).select("conv", "at", "level", "weight", "first", "n", "parent")
+
+
+def reply_links(quotes: DataFrame) -> DataFrame:
+    """(conv, at, parent): the message that most of a message's linked quotations come from."""
     best = F.min(F.struct("level", -F.col("weight"), -F.col("parent")))
-    chosen = votes.agg(F.sum("weight").alias("weight")).groupBy("conv", "at").agg(best.alias("best"))
+    votes = quotes.groupBy("conv", "at", "level", "parent").agg(F.sum("weight").alias("weight"))
+    chosen = votes.groupBy("conv", "at").agg(best.alias("best"))
     return chosen.select("conv", "at", (-F.col("best")["col3"]).alias("parent"))
 
 
+def without_quotes(messages: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(conv, at, kept) of the messages with linked quotations: their other lines, in order, without headers of what went."""
+    gone = quotes.select("conv", "at", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("pos")).distinct()
+    lines = messages.join(gone.select("conv", "at").distinct(), ["conv", "at"], "left_semi").select("conv", "at", F.posexplode("lines").alias("pos", "line"))
+    marked = lines.join(gone.withColumn("gone", F.lit(True)), ["conv", "at", "pos"], "left")
+    next_gone = F.coalesce(F.lead("gone").over(Window.partitionBy("conv", "at").orderBy("pos")), F.lit(False))
+    header = (F.col("line.level") == 0) & F.col("line.body").rlike(HEADER) & next_gone
+    kept = marked.withColumn("header", header).filter(F.col("gone").isNull() & ~F.col("header"))
+    # the lines of one message
+    texts = kept.groupBy("conv", "at").agg(F.array_sort(F.collect_list(F.struct("pos", "line.whole"))).alias("parts"))
+    every = gone.select("conv", "at").distinct().join(texts, ["conv", "at"], "left")
+    return every.select("conv", "at", F.coalesce(F.col("parts.whole"), F.array().cast("array<string>")).alias("kept"))
+
+
 def with_below(branches: DataFrame) -> DataFrame:
     """(conv, branch, below): sums of ``size`` over each branch and all that hang below it, by doubling over (conv, branch,
     up, size): after k rounds ``size`` holds what is less than 2^k steps below, and ``up`` is 2^k steps above."""
@@ -158,11 +182,13 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     )
     placed = number_rows(rows, ["conv"], ["turn", "role", "text"], "at")
     lined = placed.withColumn("lines", parsed_lines(F.col("text"))).withColumn("own", own_lines(F.col("lines")))
-    lined = lined.withColumn("content", F.trim(F.regexp_replace(F.array_join("own", "\n"), r"^\n+|\n+$", "")))
     messages = materialize(lined.drop("text"), "messages")
 
-    links = reply_links(messages)
-    joined = messages.join(links, ["conv", "at"], "left")
+    quotes = materialize(linked_quotes(messages), "quotes")
+    links = reply_links(quotes)
+    joined = messages.join(links, ["conv", "at"], "left").join(without_quotes(messages, quotes), ["conv", "at"], "left")
+    text = F.array_join(F.coalesce("kept", F.col("lines.whole")), "\n")
+    joined = joined.withColumn("content", F.trim(F.regexp_replace(text, r"^\n+|\n+$", ""))).drop("kept")
     before = F.when(F.col("at") > 1, F.col("at") - 1)
     tied = joined.withColumn("parent", F.coalesce("parent", before))
     # a branch starts at the first message and wherever the parent is not the message before

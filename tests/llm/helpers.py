@@ -56,7 +56,7 @@ def near_copies(rng, sizes=(9, 12, 31, 33, 64, 120), groups=8, most=12) -> list[
 
 
 MARKS = re.compile(r"^((?:[ \t]*>)+)")
-HEADER = re.compile(r"(?i)^.{0,200}\b(wrote|schrieb|a écrit|escribió):$")
+HEADER = re.compile(r"(?i)^.{0,200}\b(wrote|schrieb|a écrit|escribió)\b.{0,100}:$")
 
 
 def replies(rows: list[tuple]) -> list[tuple]:
@@ -73,8 +73,8 @@ def replies(rows: list[tuple]) -> list[tuple]:
         messages.sort(key=lambda m: tuple((x is not None, x if x is not None else 0) for x in m))
         parsed = []
         for _, _, text in messages:
-            lines = []
-            for line in re.split(r"\r?\n", text or ""):
+            lines, whole = [], re.split(r"\r?\n", text or "")
+            for line in whole:
                 marks = MARKS.match(line)
                 lines.append((marks.group(1).count(">") if marks else 0, MARKS.sub("", line).strip(" ")))
             own = [
@@ -82,9 +82,10 @@ def replies(rows: list[tuple]) -> list[tuple]:
                 for i, (level, body) in enumerate(lines)
                 if level == 0 and not (HEADER.search(body) and i + 1 < len(lines) and lines[i + 1][0] > 0)
             ]
-            parsed.append((lines, own, re.sub(r"^\n+|\n+$", "", "\n".join(own)).strip(" ")))
-        parents = []
-        for i, (lines, _, _) in enumerate(parsed):
+            parsed.append((lines, own, [w.strip(" ") for w in whole]))
+        parents, contents = [], []
+        for i, (lines, _, whole) in enumerate(parsed):
+            gone: set = set()
             by_level: dict = {}
             for at, (level, body) in enumerate(lines):
                 if level and norm(body):
@@ -93,16 +94,24 @@ def replies(rows: list[tuple]) -> list[tuple]:
             for level, found in by_level.items():
                 runs: dict = {}
                 for k, (at, body) in enumerate(found):
-                    runs.setdefault(at - k, []).append(body)
-                quotes = [("line", b) for _, b in found] + [("all", " ".join(r)) for r in runs.values()]
-                for kind, body in quotes:
+                    runs.setdefault(at - k, []).append((at, body))
+                quotes = [("line", b, {at}) for at, b in found]
+                quotes += [("all", " ".join(b for _, b in r), {at for at, _ in r}) for r in runs.values()]
+                for kind, body, places in quotes:
                     hits = [
                         j
                         for j in range(i)
-                        if body in ([norm(parsed[j][2])] if kind == "all" else [norm(o) for o in parsed[j][1]])
+                        if body in ([norm("\n".join(parsed[j][1]))] if kind == "all" else [norm(o) for o in parsed[j][1]])
                     ]
                     if hits:
+                        gone |= places
                         votes[level, hits[-1]] = votes.get((level, hits[-1]), 0) + len(body)
+            kept = [
+                w
+                for k, w in enumerate(whole)
+                if k not in gone and not (lines[k][0] == 0 and HEADER.search(lines[k][1]) and k + 1 in gone)
+            ]
+            contents.append(re.sub(r"^\n+|\n+$", "", "\n".join(kept)).strip(" "))
             best = min(((level, -w, -j) for (level, j), w in votes.items()), default=None)
             parents.append(-best[2] if best else i - 1 if i else None)
         order, todo = [], [0]
@@ -113,5 +122,5 @@ def replies(rows: list[tuple]) -> list[tuple]:
         for position, at in enumerate(order, 1):
             turn, role, _ = messages[at]
             above = None if parents[at] is None else messages[parents[at]][0]
-            out.append((conv, position, turn, role, above, parsed[at][2]))
+            out.append((conv, position, turn, role, above, contents[at]))
     return out

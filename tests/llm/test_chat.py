@@ -58,3 +58,14 @@ def test_quotes_are_linked_and_removed(spark):
 
 def test_empty(spark):
     assert chat.reply_ordered(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_lines_that_only_look_like_quotes_stay(spark):
+    texts = ["x > 3 is true\n> = 4 is not", ">>> f(x)\n1", "Carl schrieb am Montag:\n> from a book\nI agree", "Am Montag schrieb Bob <b@x>:\n> x > 3 is true\n> kept\nYes",
+             "> kept\n> as one passage", "See Ann wrote:\n> kept as one passage\nend", "long " * 30_000 + "\n> " + "no source " * 5_000]
+    rows = [(1, n, "user", t) for n, t in enumerate(texts)]
+    out = {r["turn"]: r for r in chat.reply_ordered(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[0]["content"] == texts[0] and out[1]["content"] == texts[1] and out[2]["content"] == texts[2]
+    assert out[3]["content"] == "> kept\nYes" and out[3]["parent_turn"] == 0
+    assert out[4]["content"] == texts[4] and out[5]["content"] == texts[5] and out[6]["content"] == "\n".join(x.strip() for x in texts[6].split("\n"))
+    assert ordered(got(spark.createDataFrame(rows, SCHEMA))) == ordered(replies(rows))
