@@ -78,7 +78,7 @@ def quantiles_by_refinement(df: DataFrame, columns: list[str], probabilities: li
 
     A sketch of all columns brackets every quantile; one pass then counts the rows below each bracket and the distinct values in
     it, a few thousandths of the rows, in which the quantile's place is looked up. A bracket with more than ``ORDERED``
-    distinct values is bracketed again inside, and one that the sketch missed by more than it promises is widened, so that
+    distinct values is bracketed again inside, as long as that halves it, and one that the sketch missed by more than it promises is widened, so that
     the result never depends on the sketch. NULLs are left out; NaN is larger than all numbers, as in Spark's order.
     """
     wide = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
@@ -123,8 +123,8 @@ def quantiles_by_refinement(df: DataFrame, columns: list[str], probabilities: li
             low, high = int(np.floor(goals[key])), int(np.ceil(goals[key]))
             if not before <= low or not high < before + held:  # missed: the whole column, in order
                 brackets[key], spread[key, "before"] = (None, None), 0
-            elif distinct > ORDERED and held > 1:
-                spread[key, "at"] = (goals[key] - before) / (held - 1)
+            elif distinct > ORDERED and 2 * held < spread.get((key, "held"), np.inf):
+                spread[key, "at"], spread[key, "held"] = (goals[key] - before) / (held - 1), held
                 later.append(key)
         pending, first = later, False
 
