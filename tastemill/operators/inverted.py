@@ -18,17 +18,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..functions.vectors import unit_vectors
 from ..session import materialize
+from .neighbours import MAX_TASKS
 from .ordering import top_k_per
-from .retrieval import SCHEMA, _bucketed, knn, usable
+from .retrieval import ITEM_BLOCK, SCHEMA, _flat, _Lists, _packed, knn, query_blocks, shares, usable
+from .tiles import expand, f8, walk
 
 PLACED = "id long, vector array<double>, bucket long, residual double"
-ASKED = "id long, vector array<double>, bucket long, bound double"
+#: Rows that are held against all centres at a time.
+ROWS = 2048
 
 
 @dataclass
@@ -86,63 +90,116 @@ def build(items: DataFrame, cells: int | None = None, metric: str = "ip", sample
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if len(frame):
-                far = nearest_centres(_values(frame["vector"], metric), shared.value)
-                yield frame.assign(bucket=far.argmin(1), residual=np.sqrt(far.min(1)))
+            for a in range(0, len(frame), ROWS):
+                part = frame.iloc[a : a + ROWS]
+                far = nearest_centres(_values(part["vector"], metric), shared.value)
+                yield part.assign(bucket=far.argmin(1), residual=np.sqrt(far.min(1)))
 
     placed = materialize(items.mapInPandas(place, PLACED), "cells")
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("residual").alias("radius"))
     return InvertedFile(placed.select("id", "vector", "bucket"), materialize(sizes, "cell-sizes"), centres, metric)
 
 
-def _asked(index: InvertedFile, queries: DataFrame, probes: int) -> DataFrame:
-    """(id, vector, bucket, bound) of every query and cell in falling order of the centre's score; ``bound`` is the centre's
-    score, to which the caller adds what the radius allows. ``probes`` cells per query."""
-    shared = queries.sparkSession.sparkContext.broadcast(index.centres)
-    metric = index.metric
+def _visits(x: np.ndarray, centres: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of the centres per row of ``x``."""
+    return -np.sqrt(nearest_centres(x, centres)) if metric == "l2" else x @ centres.T
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres = shared.value
-        for frame in frames:
-            if not len(frame) or not len(centres):
-                continue
-            x = _values(frame["vector"], metric)
-            near = -np.sqrt(nearest_centres(x, centres)) if metric == "l2" else x @ centres.T
-            best = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-            line = np.repeat(np.arange(len(frame)), best.shape[1])
-            part = frame.iloc[line]
-            yield pd.DataFrame({"id": part["id"].to_numpy(), "vector": part["vector"].to_numpy(),
-                                "bucket": best.ravel(), "bound": near[line, best.ravel()]})
 
-    return queries.mapInPandas(ask, ASKED)
+def _first(near: np.ndarray, probes: int) -> np.ndarray:
+    """Whether a cell is among the ``probes`` with the best centres, per row; of equals the first cells."""
+    out = np.zeros(near.shape, bool)
+    np.put_along_axis(out, np.argsort(-near, axis=1, kind="stable")[:, :probes], True, axis=1)
+    return out
+
+
+def _cells(index: InvertedFile) -> DataFrame:
+    """(bucket, radius, ids, vectors): the items of a cell packed into rows of at most about ``ITEM_BLOCK``; written."""
+    cuts = index.sizes.select("bucket", "radius", F.ceil(F.col("n") / ITEM_BLOCK).alias("_cuts"))
+    rows = index.items.join(cuts, "bucket").select("bucket", "radius", F.pmod(F.xxhash64("id"), F.col("_cuts")).alias("_cut"), "id", "vector")
+
+    def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        ids = t["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        return pa.table({"bucket": [key[0].as_py()], "radius": [t["radius"][0].as_py()], "_ids": [ids[order].astype("<i8").tobytes()],
+                         "_vectors": [np.ascontiguousarray(_flat(t["vector"])[order], "<f8").tobytes()]},
+                        schema=pa.schema([("bucket", pa.int64()), ("radius", pa.float64()), ("_ids", pa.binary()), ("_vectors", pa.binary())]))
+
+    packed = rows.groupBy("bucket", "_cut").applyInArrow(pack, "bucket long, radius double, _ids binary, _vectors binary")
+    return materialize(packed, "cell-blocks")
+
+
+def _searched(index: InvertedFile, queries: DataFrame, k: int, probes: int, digits: int, exclude_self: bool, least: DataFrame | None = None) -> DataFrame:
+    """(query, item, score, rank) from the ``probes`` best cells of each query, or with ``least`` (id, least) from all others whose
+    bound reaches the query's ``least``. Tasks walk through query blocks and their share of the cells, and score the
+    queries of the block that visit a cell; no vector is copied per cell."""
+    count = query_blocks(queries.count())
+    left = _packed(queries, count).repartition(min(count, MAX_TASKS))
+    if least is not None:
+        bounds = least.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("b"), "id", "least").groupBy("b").agg(
+            F.collect_list("id").alias("of"), F.collect_list("least").alias("least"))  # a block's queries
+        left = left.join(bounds, "b", "left")
+    else:
+        left = left.select("*", F.lit(None).cast("array<long>").alias("of"), F.lit(None).cast("array<double>").alias("least"))
+    right = _cells(index).coalesce(shares(index.items))
+    centres, metric, exact = index.centres, index.metric, least is not None
+    shared = queries.sparkSession.sparkContext.broadcast(centres)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lists, near, first, length = None, None, None, None, None
+        for b, ids, vectors, of, floors, cell, radius, item_ids, item_vectors in walk(batches):
+            if b != now:
+                if lists is not None:
+                    yield lists.rows()
+                names = np.frombuffer(ids, "<i8")
+                x = f8(vectors).reshape(len(names), -1)
+                none = np.array([], np.int64)
+                now, lists = b, _Lists(names, x, none, none, k, metric, digits, exclude_self)
+                own = unit_vectors(x) if metric == "cosine" else x
+                near = _visits(own, shared.value, metric)
+                first = _first(near, probes)
+                length = np.sqrt((x * x).sum(axis=1)) if metric == "ip" else np.ones(len(x))
+                for a, times, at in expand(np.array(of or [], np.int64), names):
+                    lists.floor[at] = np.repeat(np.array(floors, float)[a], times)
+            visit = first[:, cell]
+            if exact:  # one unit of the last digit covers rounding
+                visit = ~visit & (near[:, cell] + radius * length + 10.0**-digits >= lists.floor)
+            if visit.any():
+                others = np.frombuffer(item_ids, "<i8")
+                lists.add(others, f8(item_vectors).reshape(len(others), -1), np.flatnonzero(visit))
+        if lists is not None:
+            yield lists.rows()
+
+    parts = left.select("b", "ids", "vectors", "of", "least").crossJoin(right).mapInArrow(search, SCHEMA)
+    return top_k_per(parts, ["query"], [F.col("score").desc(), "item"], k)
 
 
 def ivf_knn(index: InvertedFile, queries: DataFrame, k: int, probes: int = 8, exact: bool = False, exclude_self: bool = False,
             digits: int = 9) -> DataFrame:
     """(query, item, score, rank): the k best items of each query among the cells it visits, or with ``exact`` among all."""
     asked = materialize(usable(queries).select("id", F.col("vector").cast("array<double>").alias("vector")), "queries")
-    first = materialize(_asked(index, asked, probes).select("id", "vector", "bucket"), "probes")
-    found = materialize(_bucketed(first, index.items, k, index.metric, digits, exclude_self), "found")
+    found = materialize(_searched(index, asked, k, probes, digits, exclude_self), "found")
     if not exact:
         return found
     last = found.filter(F.col("rank") == k).select(F.col("query").alias("id"), F.col("score").alias("least"))
-    every = _asked(index, asked, index.cells).join(index.sizes, "bucket")
-    length = F.when(F.lit(index.metric == "ip"), F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).otherwise(F.lit(1.0))
-    # one unit of the last digit covers rounding
-    bound = F.col("bound") + F.col("radius") * length + 10.0**-digits
-    more = (
-        every.join(last, "id", "left").filter(F.col("least").isNull() | (bound >= F.col("least")))
-        .join(first.select("id", "bucket"), ["id", "bucket"], "left_anti").select("id", "vector", "bucket")
-    )
-    rest = _bucketed(materialize(more, "more-probes"), index.items, k, index.metric, digits, exclude_self)
+    rest = _searched(index, asked, k, probes, digits, exclude_self, last)
     both = found.drop("rank").unionByName(rest.drop("rank"))
     return top_k_per(both.select(*[c.split()[0] for c in SCHEMA.split(", ")]), ["query"], [F.col("score").desc(), "item"], k)
 
 
 def share_compared(index: InvertedFile, queries: DataFrame, probes: int) -> float:
     """Share of all (query, item) pairs that a search with ``probes`` cells scores."""
-    visits = _asked(index, usable(queries).select("id", F.col("vector").cast("array<double>").alias("vector")), probes).join(index.sizes, "bucket")
-    scored = visits.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    asked = usable(queries).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    shared, metric = queries.sparkSession.sparkContext.broadcast(index.centres), index.metric
+
+    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for a in range(0, len(frame) if len(shared.value) else 0, ROWS):
+                near = _visits(_values(frame["vector"].iloc[a : a + ROWS], metric), shared.value, metric)
+                times = _first(near, probes).sum(axis=0)
+                yield pd.DataFrame({"bucket": np.arange(len(times)), "times": times})
+
+    visits = asked.mapInPandas(visit, "bucket long, times long").join(index.sizes, "bucket")
+    scored = visits.agg(F.coalesce(F.sum(F.col("n") * F.col("times")), F.lit(0)).alias("n")).first()["n"]
     return scored / max(usable(queries).count() * index.items.count(), 1)
 
 
