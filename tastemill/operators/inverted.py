@@ -153,7 +153,7 @@ def _searched(index: InvertedFile, queries: DataFrame, k: int, probes: int, digi
                 names = np.frombuffer(ids, "<i8")
                 x = f8(vectors).reshape(len(names), -1)
                 none = np.array([], np.int64)
-                now, lists = b, _Lists(names, x, none, none, k, metric, digits, exclude_self)
+                now, lists = b, _Lists(names, x, none, none, k, metric, digits, exclude_self, once=True)
                 own = unit_vectors(x) if metric == "cosine" else x
                 near = _visits(own, shared.value, metric)
                 first = _first(near, probes)
@@ -170,6 +170,7 @@ def _searched(index: InvertedFile, queries: DataFrame, k: int, probes: int, digi
             yield lists.rows()
 
     parts = left.select("b", "ids", "vectors", "of", "least").crossJoin(right).mapInArrow(search, SCHEMA)
+    parts = parts.groupBy("query", "item").agg(F.max("score").alias("score"))  # ids may repeat on both sides
     return top_k_per(parts, ["query"], [F.col("score").desc(), "item"], k)
 
 
@@ -182,8 +183,8 @@ def ivf_knn(index: InvertedFile, queries: DataFrame, k: int, probes: int = 8, ex
         return found
     last = found.filter(F.col("rank") == k).select(F.col("query").alias("id"), F.col("score").alias("least"))
     rest = _searched(index, asked, k, probes, digits, exclude_self, last)
-    both = found.drop("rank").unionByName(rest.drop("rank"))
-    return top_k_per(both.select(*[c.split()[0] for c in SCHEMA.split(", ")]), ["query"], [F.col("score").desc(), "item"], k)
+    both = found.drop("rank").unionByName(rest.drop("rank")).groupBy("query", "item").agg(F.max("score").alias("score"))
+    return top_k_per(both, ["query"], [F.col("score").desc(), "item"], k)
 
 
 def share_compared(index: InvertedFile, queries: DataFrame, probes: int) -> float:

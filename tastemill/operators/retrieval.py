@@ -139,7 +139,8 @@ def _packed(vectors: DataFrame, blocks: int, seen: DataFrame | None = None) -> D
 class _Lists:
     """The k best items so far of every query of a block. What cannot reach a query's k-th score is left out early."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, line: np.ndarray, known: np.ndarray, k: int | None, metric: str, digits: int, exclude_self: bool):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, line: np.ndarray, known: np.ndarray, k: int | None, metric: str, digits: int, exclude_self: bool, once: bool = False):
+        self.once = once  # an item that comes in several rows takes one place
         self.ids, self.vectors, self.line, self.known = ids, unit_vectors(vectors) if metric == "cosine" else vectors, line, known
         self.k, self.metric, self.digits, self.exclude_self = k, metric, digits, exclude_self
         self.square = (vectors * vectors).sum(axis=1)[:, None]
@@ -176,7 +177,7 @@ class _Lists:
             lo, hi = np.searchsorted(out_at, [a, a + step])
             scores[out_line[lo:hi], out_at[lo:hi] - a] = -np.inf
             floor = self.floor[lines]
-            if self.k is not None and not np.isfinite(floor).all():
+            if self.k is not None and not self.once and not np.isfinite(floor).all():
                 line, col = top_columns(np.round(scores, self.digits), self.k)
             else:  # what rounds to the k-th score is less than a unit of the last digit below it
                 line, col = np.nonzero(scores >= (floor - 10.0**-self.digits)[:, None])
@@ -189,6 +190,11 @@ class _Lists:
 
     def cut(self) -> None:
         line, item, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        if self.once:
+            order = np.lexsort((-score, item, line))
+            line, item, score = line[order], item[order], score[order]
+            fresh = np.r_[True, (line[1:] != line[:-1]) | (item[1:] != item[:-1])][: len(line)]
+            line, item, score = line[fresh], item[fresh], score[fresh]
         order = np.lexsort((item, -score, line))
         line, item, score = line[order], item[order], score[order]
         if self.k is not None:

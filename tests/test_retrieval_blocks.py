@@ -58,3 +58,16 @@ def test_small_buckets_are_searched_together(metric):
     want = pd.concat([best(part, part) for _, part in rows.groupby("bucket")])
     key = ["query", "item"]
     pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True), check_dtype=False)
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_repeated_vectors_take_one_place(points, metric):
+    v, df = points
+    twice = df.union(df.filter("id % 3 < 2")).union(df.filter("id < 4"))
+    got = {}
+    found = iv.ivf_knn(iv.build(twice, 4, metric), twice, 6, 2, exact=True, exclude_self=True)
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query"], []).append(r["item"])
+    scores = v @ v.T if metric == "ip" else -np.linalg.norm(v[:, None] - v[None], axis=2)
+    np.fill_diagonal(scores, -np.inf)
+    assert got == {q: list(np.argsort(-scores[q])[:6]) for q in range(30)}
