@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import sum_vectors, vector_dim
+from ..session import materialize
 from .ordering import number_rows, sum_before
 
 
@@ -267,10 +268,12 @@ def unexpectedness(recs: DataFrame, history: DataFrame, pairs: DataFrame) -> Dat
     """
     own = history.select("user", F.col("track").alias("j")).distinct()
     sizes = own.groupBy("user").agg(F.count(F.lit(1)).alias("_all"))
+    # pairs of items that nobody was recommended go first; written, the items' size is known to the join
+    asked = materialize(recs.select(F.col("track").alias("i")).distinct(), "asked")
     met = (
         recs.select("user", F.col("track").alias("i"))
         .join(own, "user")
-        .join(pairs, ["i", "j"])
+        .join(pairs.join(asked, "i", "left_semi"), ["i", "j"])
         .groupBy("user", "i")
         .agg(F.max(-F.col("npmi")).alias("_u"), F.count(F.lit(1)).alias("_met"))
     )
