@@ -66,7 +66,8 @@ def _blocks(vectors: DataFrame, numbers: DataFrame, key: str, size: int, dim: in
         out = np.zeros((size, dim))
         known = np.flatnonzero(np.asarray(t["vector"].is_valid()))
         if len(known):
-            flat = np.concatenate([np.asarray(v) for v in t["vector"].take(pa.array(known)).to_pylist()])
+            lists = t["vector"].take(pa.array(known)).combine_chunks()
+            flat = (lists if isinstance(lists, pa.Array) else lists.chunk(0)).flatten().to_numpy(zero_copy_only=False)
             out[t["place"].to_numpy()[known]] = flat.reshape(len(known), dim)
         return pa.table({"b": [key[0].as_py()], "data": [out.tobytes()]}, schema=pa.schema([("b", pa.int32()), ("data", pa.binary())]))
 
@@ -145,6 +146,11 @@ def _mean_rows(layers: list[DataFrame], numbers: DataFrame, key: str, size: int,
     return rows.join(numbers, "number").select(F.col(key).alias("id"), "vector")
 
 
+def block_size(n: int) -> int:
+    """Nodes of a block, of which every block of the other side gets a copy: about 16 blocks, or more of the largest size."""
+    return min(1 << 16, max(1 << 10, 1 << max(0, -(-n // 16) - 1).bit_length()))
+
+
 def propagate_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame, layers: int = 4, user: str = "user", item: str = "track",
                     **sizes) -> tuple[DataFrame, DataFrame]:
     """(id, vector) of users and of items: ``propagate`` over the graph of ``pairs(user, item)``, in tiles.
@@ -158,6 +164,7 @@ def propagate_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame, layers
     du = known.groupBy(user).agg(F.count(F.lit(1)).alias("_a"))
     di = known.groupBy(item).agg(F.count(F.lit(1)).alias("_b"))
     weighted = known.join(du, user).join(di, item).select(user, item, (1 / F.sqrt(F.col("_a") * F.col("_b"))).alias("w"))
+    sizes = {"lines": block_size(du.count()), "side": block_size(di.count())} | sizes
     parts = tile(weighted, user, item, ["w"], **sizes)
     of_users = [_blocks(users, parts.rows, "row", parts.lines, dim)]
     of_items = [_blocks(items, parts.columns, "col", parts.side, dim)]

@@ -57,3 +57,11 @@ def test_an_entry_is_packed_once_however_many_strips(spark):
     out = st.column_pairs(frame(spark, rows), "user", "track", ["time"], lambda *_: None, "j long", {"w": ("time", "time")}, size=20)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan and "Generate" not in plan
+
+
+def test_propagation_copies_vectors_to_few_blocks(spark):
+    """At 60 times sf0.1 blocks of the fixed sizes took 1,172 copies of every user's vector."""
+    from tastemill.operators import graph as gr
+
+    assert [gr.block_size(n) for n in (0, 20_000, 1_200_000)] == [1024, 2048, 65536]
+    assert all(-(-n // gr.block_size(n)) <= 20 for n in (0, 1, 900, 15_000, 20_001, 900_000, 1_200_000))
