@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tastemill.operators import neighbours as nb
 from tastemill.operators import strips as st
 
 SCHEMA = "user long, track long, time double"
@@ -65,3 +66,11 @@ def test_propagation_copies_vectors_to_few_blocks(spark):
 
     assert [gr.block_size(n) for n in (0, 20_000, 1_200_000)] == [1024, 2048, 65536]
     assert all(-(-n // gr.block_size(n)) <= 20 for n in (0, 1, 900, 15_000, 20_001, 900_000, 1_200_000))
+
+
+def test_a_missing_value_is_no_weight(spark):
+    df = spark.createDataFrame([(1, 1, 0.5), (1, 2, 1.0), (2, 1, None), (2, 2, 0.5), (2, 3, 1.0), (1, 3, 0.2), (None, 1, 0.3), (None, 3, 0.3), (1, None, 0.1)], SCHEMA)
+    sums = {(r["j"], r["i"]): r["w"] for r in nb.column_products(df, {"w": ("time", "time")}).collect()}
+    assert sums[1, 2] is None and sums[2, 3] == pytest.approx(0.7) and (1, 3) in sums and not any(None in p for p in sums)
+    assert all(r["w"] is not None for r in nb.item_weights(df, "pearson").collect())
+    assert [r["rank"] for r in nb.similar_items(nb.item_weights(df), 1).collect()] == [1, 1, 1]
