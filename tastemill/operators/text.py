@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import as_column
+from ..session import materialize
 
 
 def parse_numbered_list(df: DataFrame, text: str = "text", tag: str | None = None) -> DataFrame:
@@ -47,29 +48,32 @@ def tokens(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, F.explode(words).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def token_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, token, n, _len) with ``_len`` tokens of the whole key, written once for all that is counted from it. Texts travel to
+    the task of their key before they are cut, so texts are shuffled and not tokens."""
+    counts = tokens(df.select(key, text).repartition(F.col(key)), key, text)
+    return materialize(counts.withColumn("_len", F.sum("n").over(Window.partitionBy(key))), "token-counts")
+
+
 def tf_idf(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Token weights n / len * ln((docs + 1) / (df + 1)); the document size and frequency are aggregates joined back."""
-    counts = tokens(df, key, text)
-    docs = df.select(key).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    lengths = counts.groupBy(key).agg(F.sum("n").alias("_len"))
+    """Token weights n / len * ln((docs + 1) / (df + 1)); the document frequency is an aggregate joined back."""
+    counts = token_counts(df, key, text)
     freq = counts.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
-    return (
-        counts.join(lengths, key)
-        .join(freq, "token")
-        .select(key, "token", "n", (F.col("n") / F.col("_len") * F.log((docs + 1) / (F.col("_df") + 1))).alias("weight"))
+    docs = df.select(key).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    return counts.where(F.col(key).isNotNull()).join(freq, "token").select(
+        key, "token", "n", (F.col("n") / F.col("_len") * F.log((docs + 1) / (F.col("_df") + 1))).alias("weight")
     )
 
 
 def bm25(df: DataFrame, key: str, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 token weights per document."""
-    counts = tokens(df, key, text)
-    docs = df.select(key).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    lengths = counts.groupBy(key).agg(F.sum("n").alias("_len"))
-    mean = lengths.agg(F.avg("_len").alias("m")).scalar()
+    counts = token_counts(df, key, text)
     freq = counts.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    docs = df.select(key).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    mean = counts.groupBy(key).agg(F.max("_len").alias("_len")).agg(F.avg("_len").alias("m")).scalar()
     idf = F.log((docs - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
     return (
-        counts.join(lengths, key)
+        counts.where(F.col(key).isNotNull())
         .join(freq, "token")
         .withColumn("_mean", mean)
         .select(
