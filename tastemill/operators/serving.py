@@ -86,6 +86,8 @@ def recommend_i2i(
     the recommendation ('because you played A').
     """
     heard = F.transform(history, lambda x: x["track"])
+    # one row per track, so that an anchor meets its whole list at once; a list is as long as the neighbours asked for
+    lists = i2i.where(F.col("track").isNotNull()).groupBy("track").agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("_list"))
     weighed = F.transform(
         F.array_distinct(heard),
         lambda t: F.struct(
@@ -93,15 +95,17 @@ def recommend_i2i(
             F.aggregate(F.filter(history, lambda x: x["track"] == t), F.lit(0.0), lambda a, x: a + x["time"]).alias("w"),
         ),
     )
-    anchors = events.select(key, heard.alias("_seen"), F.explode(weighed).alias("_a")).select(key, "_seen", "_a.track", "_a.w")
+    anchors = events.select(key, F.array_distinct(heard).alias("_seen"), F.explode(weighed).alias("_a")).select(key, "_seen", "_a.track", "_a.w")
     anchors = anchors.withColumn("_draw", weighted_draw_key(uniform(key, "track", seed=seed), F.col("w")))
-    # best = smallest (draw, anchor, list rank); a minimum combines map-side, whatever the list lengths
+    # best = smallest (draw, anchor, list rank): the first unseen item of each anchor's list, then the first anchor
+    unseen = F.get(F.filter("_list", lambda x: ~F.array_contains("_seen", x["item"])), F.lit(0))
     best = (
-        anchors.join(i2i.select("track", "item", "rank"), "track")
-        .where(~F.array_contains("_seen", F.col("item")))
+        anchors.join(lists, "track")
+        .select(key, "_draw", "track", unseen.alias("_first"))
+        .where(F.col("_first").isNotNull())
         .groupBy(key)
-        .agg(F.min(F.struct("_draw", "track", "rank", "item")).alias("_b"))
-        .select(key, F.col("_b.item").alias("_item"), F.col("_b.track").alias("anchor"))
+        .agg(F.min(F.struct("_draw", "track", "_first")).alias("_b"))
+        .select(key, F.col("_b._first.item").alias("_item"), F.col("_b.track").alias("anchor"))
     )
     joined = events.join(best, key, "left")
     return recommend_random(joined, dense, key, seed, "_any").withColumn(alias, F.coalesce("_item", "_any")).drop("_item", "_any")

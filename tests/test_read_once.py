@@ -27,3 +27,14 @@ def test_token_weights_read_written_counts(spark):
     ranked = {(r["doc"], r["token"]): r["weight"] for r in tx.bm25(docs, "doc").collect()}
     idf = math.log((4 - 1 + 0.5) / (1 + 0.5) + 1)
     assert abs(ranked[2, "c"] - idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 4 / mean))) < 1e-12
+
+
+def test_an_anchor_meets_its_list_as_one_row(spark):
+    one = "event_id long, user long, track long, history array<struct<track: long, time: double>>"
+    events = spark.createDataFrame([(1, 7, 1, [(1, 0.5), (1, 0.2)]), (2, 7, 2, [(2, 0.4), (3, 0.0)]), (3, 8, 9, [(9, 1.0)])], one)
+    i2i = spark.createDataFrame([(1, 1, 1), (1, 5, 2), (1, 4, 2), (2, 3, 1), (2, None, 2), (2, 6, 3), (None, 8, 1)], "track long, item long, rank int")
+    dense = spark.createDataFrame([(100, 0)], "track long, at long")
+    out = sv.recommend_i2i(events, i2i, dense)
+    assert "collect_list" in plan(out)
+    # a seen item is passed over, of equal ranks the smaller item goes first, an event without neighbours gets any track
+    assert {r["event_id"]: (r["anchor"], r["next"]) for r in out.collect()} == {1: (1, 4), 2: (2, 6), 3: (None, 100)}
