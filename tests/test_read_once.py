@@ -38,3 +38,18 @@ def test_an_anchor_meets_its_list_as_one_row(spark):
     assert "collect_list" in plan(out)
     # a seen item is passed over, of equal ranks the smaller item goes first, an event without neighbours gets any track
     assert {r["event_id"]: (r["anchor"], r["next"]) for r in out.collect()} == {1: (1, 4), 2: (2, 6), 3: (None, 100)}
+
+
+def test_settings_share_their_numbers(spark, monkeypatch):
+    rows = [(u, t, ((u * 7 + t * 3) % 10) / 10) for u in range(20) for t in range(12) if (u + t) % 3]
+    calls, numbers = [], fa._numbers
+    monkeypatch.setattr(fa, "_numbers", lambda df, column: calls.append(column) or numbers(df, column))
+    df = spark.createDataFrame(rows, "user long, track long, time double")
+    best, results = fa.tune(df, {"rank": [2, 3], "regParam": [0.05, 0.2]}, maxIter=2)
+    assert sorted(calls) == ["track", "track", "user", "user"]  # of the train rows and, for the best setting, of all
+    found = {r["setting"]: r["rmse"] for r in results.collect()}
+    assert len(found) == 4 and best.model.rank in (2, 3)
+    parts = fa.random_split(df, [0.8, 0.2], ["user", "track"], seed=42)
+    alone = fa._fit(parts.where("part = 0").drop("part"), rank=3, regParam=0.2, maxIter=2)
+    rmse = fa.model_rmse(alone, parts.where("part = 1").drop("part"))
+    assert abs(rmse - found["rank=3, regParam=0.2"]) < 1e-6
