@@ -53,3 +53,20 @@ def test_settings_share_their_numbers(spark, monkeypatch):
     alone = fa._fit(parts.where("part = 0").drop("part"), rank=3, regParam=0.2, maxIter=2)
     rmse = fa.model_rmse(alone, parts.where("part = 1").drop("part"))
     assert abs(rmse - found["rank=3, regParam=0.2"]) < 1e-6
+
+
+def test_lists_are_computed_once(spark, monkeypatch):
+    recs = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2), (2, 12, 0.5, 1)], "user long, track long, score double, rank int")
+    vec = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0]), (12, [1.0, 1.0])], "id long, vector array<double>")
+    calls = []
+    for module in (q_models, q_properties):
+        monkeypatch.setattr(module, "candidates", lambda *a: calls.append(a) or (recs, vec))
+    got = q_properties.d2_lists(spark, "unused")
+    assert sorted(map(tuple, got.collect())) == [(1, 2, True), (2, 1, True)]
+    assert len(calls) == 1
+    plays = spark.createDataFrame([(1, 11), (2, 13)], "user long, track long")
+    monkeypatch.setattr(q_properties, "implicit_lists", lambda *a: recs)
+    monkeypatch.setattr(q_properties, "interactions", lambda *a: plays)
+    got = q_properties.c5_lists(spark, "unused")
+    assert "implicit-lists" in "".join(got.inputFiles())
+    assert sorted(map(tuple, got.collect())) == [(1, 2, True, 1), (2, 1, True, 0)]
