@@ -70,3 +70,12 @@ def test_lists_are_computed_once(spark, monkeypatch):
     got = q_properties.c5_lists(spark, "unused")
     assert "implicit-lists" in "".join(got.inputFiles())
     assert sorted(map(tuple, got.collect())) == [(1, 2, True, 1), (2, 1, True, 0)]
+
+
+def test_pairs_without_two_vectors_drop_before_vectors_travel(spark):
+    side = "id long, vector array<double>, bias double"
+    users, items = spark.createDataFrame([(1, [1.0, 2.0], 0.1)], side), spark.createDataFrame([(5, [3.0, 1.0], 0.2)], side)
+    pairs = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (2, 5), (None, 5)], "user long, track long")
+    out = bi.pair_features(pairs, users, items)
+    assert "LeftSemi" in plan(out)
+    assert [(r["user"], r["track"], r["product"]) for r in out.collect()] == [(1, 5, 5.0), (1, 5, 5.0)]
