@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tastemill.operators import linear as li
 from tastemill.operators import neighbours as nb
@@ -106,3 +107,13 @@ def test_linear_lists(spark):
     scores = np.round(m @ w, 9)
     got = {(r["user"], r["rank"]): r["track"] - 100 for r in li.linear_recommend(spark.createDataFrame(rows, SCHEMA), 5, lines=6, side=4).collect()}
     assert got == {(u * 10, r + 1): i for u in range(20) for r, i in enumerate(np.lexsort((np.arange(15), -scores[u]))[:5])}
+
+
+def test_a_file_holds_one_block(spark):
+    width, count = 4, 12  # 78 blocks, where the session's shuffles have 4 partitions
+    none = spark.createDataFrame([], ti.CELLS)
+    blocks = li.dense_lower(none, width * count, 2, 1.0)
+    for stored in (blocks, li._sweep(blocks, 3, count, width)):
+        files = stored.groupBy(F.input_file_name().alias("f")).count().collect()
+        assert sum(r["count"] for r in files) == 78 and max(r["count"] for r in files) <= 11  # the pivot's row and column are one narrow table
+    assert all(r["count"] == 1 for r in blocks.groupBy(F.input_file_name().alias("f")).count().collect())
