@@ -71,3 +71,43 @@ def test_repeated_vectors_take_one_place(points, metric):
     scores = v @ v.T if metric == "ip" else -np.linalg.norm(v[:, None] - v[None], axis=2)
     np.fill_diagonal(scores, -np.inf)
     assert got == {q: list(np.argsort(-scores[q])[:6]) for q in range(30)}
+
+
+def test_vectors_are_not_sent_with_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(rt, "PAIRS", 10)
+    monkeypatch.setattr(rt, "VECTOR_BLOCK", 4)
+    v = np.random.default_rng(6).standard_normal((20, 3))
+    items = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(20, None), (None, [9.0] * 3), (3, [1.0, None, 2.0])], VECTORS)
+    own = {u: sorted({(u * 7 + n * n) % 20 for n in range(1 + u % 5)}) for u in range(40)} | {None: [1, 2], 99: list(range(21))}
+    history = spark.createDataFrame([(u, i) for u, tracks in own.items() for i in tracks * 2], "user long, track long")
+    found = rt.mean_vectors(history, items)
+    assert "CoGroups" not in plan(found)  # they pass by in blocks instead
+    got = {r["id"]: r["vector"] for r in found.collect()}
+    rows = [[*v[i], 1.0] for i in range(20)]
+    for u, tracks in own.items():
+        sums, n = np.zeros(3), 0
+        for i in tracks:
+            if i < 20:
+                sums, n = sums + rows[i][:3], n + 1
+            if i == 3:
+                sums = sums + np.array([1.0, 0.0, 2.0])
+            n += i in (3, 20)  # a repeated row, and one without a vector, count as rows
+        assert np.allclose(got[u], sums / n), u
+    assert set(got) == set(own)
+
+
+def test_a_query_sends_its_list_once(spark, points, monkeypatch):
+    monkeypatch.setattr(rt, "ENOUGH", 1)
+    monkeypatch.setattr(rt, "SHARE", 64)  # a share of two vectors
+    monkeypatch.setattr(rt, "ITEM_BLOCK", 5)
+    v, df = points
+    found = rt.knn(df.union(df.limit(3)), df, 4)
+    assert "Window" not in plan(found)  # no lists of shares are left to merge
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query"], r["rank"])):
+        got.setdefault(r["query"], []).append((r["item"], r["rank"]))
+    best = np.argsort(-(v @ v.T), axis=1)
+    twice = {r["id"] for r in df.limit(3).collect()}
+    for q in range(30):
+        items = np.repeat(best[q], 2)[:4] if q in twice else best[q][:4]
+        assert got[q] == [(i, n + 1) for n, i in enumerate(items)]
