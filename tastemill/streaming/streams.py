@@ -1,6 +1,6 @@
 """The same analyses on Structured Streaming sources.
 
-Events are keyed by user; state per user is bounded (ten listens, or one open session). Outputs are append-only tables,
+Events are keyed by user or, for sessions, by a bucket of users; state per user is bounded (ten listens, or one open session). Outputs are append-only tables,
 so that a restarted query continues from its checkpoint without double counting.
 """
 
@@ -23,7 +23,10 @@ from ..sources.schemas import EVENTS
 HISTORY = "user long, version long, at long, tracks array<long>, times array<double>"
 HISTORY_STATE = "version long, at array<long>, tracks array<long>, times array<double>"
 SESSION = "user long, treatment string, timestamp long, tracks long, time double, latency double, closed boolean"
-SESSION_STATE = "timestamp long, last long, tracks long, time double, latency double"
+SESSION_STATE = """user array<long>, known array<boolean>, treatment array<string>, treated array<boolean>,
+  timestamp array<long>, last array<long>, tracks array<long>, time array<double>, latency array<double>"""
+#: Groups of users whose open sessions make one state.
+BUCKETS = 512
 
 
 def stream_events(spark: SparkSession, path: str, schema: str = EVENTS, files_per_batch: int | None = None) -> DataFrame:
@@ -106,7 +109,7 @@ def latest_history(updates: DataFrame) -> DataFrame:
     return updates.groupBy("user").agg(F.max_by(F.struct("tracks", "times"), "version").alias("_h")).select("user", "_h.*")
 
 
-def stream_sessions(events: DataFrame, timeout: str | None = None) -> DataFrame:
+def stream_sessions(events: DataFrame, timeout: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Sessions of each user and treatment, closed by the 'last' marker and emitted as soon as they close.
 
     ``events`` has user, treatment, timestamp, message, time, latency and, for a timeout, the watermarked ``at``. Events
@@ -114,58 +117,86 @@ def stream_sessions(events: DataFrame, timeout: str | None = None) -> DataFrame:
     ``timeout`` (such as '30 minutes') a pause longer than that of event time ends a session as not closed: when the next
     event shows it, or when the watermark has passed it, whatever batches the events came in.
 
-    Of a key's rows in a micro-batch four numbers each are held while they are sorted; ``files_per_batch`` bounds them.
+    Users are dealt into ``buckets``; a bucket's state is its open sessions, and a call works on the rows of all its users at
+    once. A stream goes on with the number of buckets it began with. Of a bucket's rows in a micro-batch a few numbers each
+    are held while they are sorted; ``files_per_batch`` bounds them.
     """
     idle = None if timeout is None else int(pd.Timedelta(timeout).total_seconds() * 1000)
+    numbers = ["timestamp", "last", "tracks", "time", "latency"]
+    keys = ["user", "known", "treatment", "treated"]
 
-    def frame(rows: list[tuple], key: tuple) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["timestamp", "tracks", "time", "latency", "closed"])
-        out.insert(0, "user", key[0])
-        out.insert(1, "treatment", pd.Series([key[1]] * len(out), dtype=object))
+    def closed_rows(rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows[["timestamp", "tracks", "time", "latency", "closed"]].astype({"timestamp": "int64", "tracks": "int64", "closed": bool})
+        out.insert(0, "user", rows["user"].astype("Int64").where(rows["known"].astype(bool)))
+        out.insert(1, "treatment", rows["treatment"].astype(object).where(rows["treated"].astype(bool), None))
         return out
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            start, _, tracks, time, latency = state.get
-            state.remove()
-            yield frame([(start, tracks, time, latency, False)], key)
+    def keep(held: pd.DataFrame, state: GroupState) -> None:
+        if not len(held):
+            if state.exists:
+                state.remove()
             return
-        parts = [[pdf[c].to_numpy() for c in ("timestamp", "time", "latency")]
-                 + [pdf["message"].to_numpy() == "last", *(pdf[t].to_numpy() for t in TIES)] for pdf in batches]
-        at, times, latencies, last, *ties = (np.concatenate(p) for p in zip(*parts, strict=True))
-        order = np.lexsort([*(pd.factorize(t, sort=True)[0] for t in reversed(ties)), at])
-        at, times, latencies, last = at[order], times[order], latencies[order], last[order]
-        pause = np.zeros(len(at), bool) if idle is None else np.r_[False, np.diff(at) > idle]
-        begin = np.flatnonzero(np.r_[True, last[:-1]] | pause)
-        starts, tracks = at[begin], np.diff(np.r_[begin, len(at)])
-        sums, waits = np.add.reduceat(times, begin), np.add.reduceat(latencies, begin) * 1000
-        ends = np.r_[begin[1:], len(at)] - 1
-        rows = []
-        if state.exists:
-            start, latest, count, time, latency = state.get
-            state.remove()
-            if idle is not None and at[0] - latest > idle:
-                rows.append((start, count, time, latency, False))
-            else:
-                starts[0] = start
-                tracks[0] += count
-                sums[0] += time
-                waits[0] += latency
-        done = len(begin)
-        if not last[-1]:
-            done -= 1
-            state.update((int(starts[-1]), int(at[-1]), int(tracks[-1]), float(sums[-1]), float(waits[-1])))
-            if idle is not None:
-                state.setTimeoutTimestamp(max(int(at[-1]) + idle, state.getCurrentWatermarkMs() + 1))
-        rows += [(int(starts[n]), int(tracks[n]), float(sums[n]), float(waits[n]), bool(last[ends[n]])) for n in range(done)]
-        if rows:
-            yield frame(rows, key)
+        state.update(tuple(held[c].tolist() for c in (*keys, *numbers)))
+        if idle is not None:
+            state.setTimeoutTimestamp(max(int(held["last"].min()) + idle, state.getCurrentWatermarkMs() + 1))
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = dict(zip((*keys, *numbers), state.get if state.exists or state.hasTimedOut else [[]] * 9, strict=True))
+        held = pd.DataFrame(before).astype({"known": bool, "treated": bool, "time": float, "latency": float} | dict.fromkeys(("user", "timestamp", "last", "tracks"), "int64"))
+        out = []
+        parts = [] if state.hasTimedOut else list(batches)
+        if parts:
+            rows = pd.concat(parts, ignore_index=True)
+            both = pd.concat([held[keys], rows[keys]], ignore_index=True)
+            code = both.groupby(keys, sort=False).ngroup().to_numpy()
+            mine, code = code[: len(held)], code[len(held) :]
+            order = np.lexsort([*(pd.factorize(rows[t], sort=True)[0] for t in reversed(TIES)), rows["timestamp"].to_numpy(), code])
+            rows, code = rows.iloc[order], code[order]
+            at, last = rows["timestamp"].to_numpy(), rows["message"].to_numpy() == "last"
+            fresh = np.r_[True, code[1:] != code[:-1]]
+            pause = np.zeros(len(at), bool) if idle is None else np.r_[False, np.diff(at) > idle]
+            begin = np.flatnonzero(fresh | np.r_[True, last[:-1]] | pause)
+            ends = np.r_[begin[1:], len(at)] - 1
+            found = rows[keys].iloc[begin].reset_index(drop=True)
+            found["timestamp"], found["last"], found["tracks"] = at[begin], at[ends], np.diff(np.r_[begin, len(at)])
+            found["time"] = np.add.reduceat(rows["time"].to_numpy(), begin)
+            found["latency"] = np.add.reduceat(rows["latency"].to_numpy(), begin) * 1000
+            found["closed"] = last[ends]
+            # an open session goes on in the first one of its key, unless the pause between them was too long
+            first = np.full(max(mine.max(initial=-1), code.max()) + 1, -1)
+            first[code[np.flatnonzero(fresh)]] = np.searchsorted(begin, np.flatnonzero(fresh))
+            to = first[mine]
+            met = to >= 0
+            over = met & False if idle is None else met & (found["timestamp"].to_numpy()[to] - held["last"].to_numpy() > idle)
+            out.append(held[over].assign(closed=False))
+            goes = met & ~over
+            found.loc[to[goes], "timestamp"] = held["timestamp"].to_numpy()[goes]
+            for name in ("tracks", "time", "latency"):
+                found.loc[to[goes], name] += held[name].to_numpy()[goes]
+            # the newest session of a key stays open unless the marker ended it
+            newest = np.r_[code[begin][1:] != code[begin][:-1], True] & ~found["closed"].to_numpy()
+            out.append(found[~newest])
+            held = pd.concat([held[~met], found.loc[newest, [*keys, *numbers]]], ignore_index=True)
+            untouched = np.arange(len(held)) < (~met).sum()
+        else:
+            untouched = np.ones(len(held), bool)
+        if idle is not None:
+            late = untouched & (held["last"].to_numpy() + idle < state.getCurrentWatermarkMs())
+            out.append(held[late].assign(closed=False))
+            held = held[~late]
+        keep(held, state)
+        out = [x for x in out if len(x)]
+        if out:
+            yield closed_rows(pd.concat(out, ignore_index=True))
 
     mode = GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.EventTimeTimeout
-    columns = ["user", "treatment", "timestamp", "message", "track", "time", "latency"]
-    if timeout is not None:
-        columns.append("at")
-    return events.select(*columns).groupBy("user", "treatment").applyInPandasWithState(update, SESSION, SESSION_STATE, "append", mode)
+    given = events.select(
+        F.pmod(F.xxhash64("user", "treatment"), F.lit(buckets)).cast("int").alias("bucket"),
+        F.coalesce("user", F.lit(0)).cast("long").alias("user"), F.col("user").isNotNull().alias("known"),
+        F.coalesce("treatment", F.lit("")).alias("treatment"), F.col("treatment").isNotNull().alias("treated"),
+        "timestamp", "message", "track", "time", "latency", *(["at"] if timeout is not None else []),
+    )
+    return given.groupBy("bucket").applyInPandasWithState(update, SESSION, SESSION_STATE, "append", mode)
 
 
 class StreamABStats:

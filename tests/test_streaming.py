@@ -111,3 +111,15 @@ def deliver_each(spark, rows, parts):
     for part in [early[i : i + size] for i in range(0, len(early), size)] + [rows[-1:]]:
         spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").json(path)
     return st.stream_events(spark, path, schema=LOG, files_per_batch=1)
+
+
+def test_users_of_a_bucket_share_a_call_and_keep_their_sessions(spark):
+    rows = [(r[0], r[1], r[2], r[3] * 1000 + r[0], *r[4:]) for r in random_log(300, seed=9)]
+    rows += [(1000 + n, user, arm, 10 * 3_600_000 + n, "next", 1, 0.5, 0.1) for n, (user, arm) in enumerate([(None, "C"), (0, ""), (0, None), ((1 << 62) + 1, "C")])]
+
+    def found(buckets):
+        stream = deliver(spark, rows, 3).withWatermark("at", "1 minute")
+        got = st.to_table(st.stream_sessions(stream, "30 minutes", buckets), f"sessions-{buckets}").collect()
+        return sorted(((r["user"], r["treatment"], r["timestamp"], r["tracks"], round(r["time"], 6), round(r["latency"], 6), r["closed"]) for r in got), key=str)
+
+    assert found(2) == found(1000) and found(2)
