@@ -74,3 +74,27 @@ def test_a_missing_value_is_no_weight(spark):
     assert sums[1, 2] is None and sums[2, 3] == pytest.approx(0.7) and (1, 3) in sums and not any(None in p for p in sums)
     assert all(r["w"] is not None for r in nb.item_weights(df, "pearson").collect())
     assert [r["rank"] for r in nb.similar_items(nb.item_weights(df), 1).collect()] == [1, 1, 1]
+
+
+def test_sums_by_cell_need_no_sort(monkeypatch):
+    rng = np.random.default_rng(5)
+    marks, width = st._Marks(), 50
+    for n, lines in ((400, 9), (30, 9), (700, 3), (5, 9), (0, 4)):  # cells keep what earlier sums left in them
+        key = np.sort(rng.integers(0, lines, n)) * width + rng.integers(0, width, n)
+        value = rng.normal(size=n)
+        less = np.sort(rng.choice(lines * width, 6, replace=False))  # some of them without a product
+        want = np.bincount(np.r_[key, less], weights=np.r_[value, -np.ones(6)], minlength=lines * width)
+        for sparse in (1 << 30, 0):
+            monkeypatch.setattr(st, "SPARSE", sparse)
+            got, sums = marks.added(key, value, lines * width, less, np.ones(6))
+            assert sorted(got) == sorted({*key, *less}) and (np.diff(got // width) >= 0).all()
+            assert np.allclose(sums, want[got])
+
+
+def test_a_merge_sorts_only_what_can_be_listed():
+    part = lambda line, column, score: tuple(map(np.array, (line, column, score)))
+    parts = [part([0, 0, 2], [5, 7, 1], [0.9, 0.5, 0.1]), part([0, 0, 1, 2], [2, 8, 8, 3], [0.8, 0.5, -1.0, 0.7]), part([], [], [])]
+    line, column, score = st._hopeful([(x.astype(int), y, z) for x, y, z in parts], 2)
+    assert sorted(zip(line, column, score, strict=True)) == [(0, 2, 0.8), (0, 5, 0.9), (0, 7, 0.5), (0, 8, 0.5), (1, 8, -1.0), (2, 1, 0.1), (2, 3, 0.7)]
+    line, column, score = st._hopeful([tuple(a[:2] for a in parts[0]), part([0, 0], [9, 3], [0.4, 0.3])], 2)
+    assert sorted(column) == [5, 7]
