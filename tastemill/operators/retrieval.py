@@ -32,6 +32,8 @@ SHARE = 1 << 26
 ENOUGH = 48
 #: Scores held at a time.
 SCORES = 1_000_000
+#: Queries and items whose single-precision scores lie in a core's cache; largest number that single precision is used for.
+TILE, WIDTH, LARGEST = 512, 512, 1e15
 #: Rows up to which a bucket counts as small, rows of small buckets searched together, pairs up to which no matrix pays.
 SMALL, CHUNK, FEW = 1000, 20_000, 4096
 #: Pairs of a user and an item whose vectors one task adds up, vectors that pass it at a time.
@@ -142,6 +144,14 @@ def _packed(vectors: DataFrame, blocks: int, seen: DataFrame | None = None) -> D
     return materialize(both, "blocks")
 
 
+def _true(mask: np.ndarray) -> np.ndarray:
+    """Places of the few that are true, found eight at a time."""
+    if len(mask) % 8:
+        return np.flatnonzero(mask)
+    at = (np.flatnonzero(mask.view(np.int64))[:, None] * 8 + np.arange(8)).ravel()
+    return at[mask[at]]
+
+
 class _Lists:
     """The k best items so far of every query of a block. What cannot reach a query's k-th score is left out early."""
 
@@ -176,6 +186,9 @@ class _Lists:
         out_line, out_at = out_line[order], out_at[order]
         step = max(1, SCORES // max(1, len(lines)))
         for a in range(0, len(ids), step):
+            if self._rough(mine, vectors, lines):
+                self._sift(ids, vectors, mine, lines, out_line, out_at, a)
+                return
             part = vectors[a : a + step]
             scores = mine @ part.T
             if self.metric == "l2":
@@ -194,6 +207,72 @@ class _Lists:
             if self.k is not None and (every and len(self.found) == 1 or self.size > 2 * self.k * len(self.ids)):
                 self.cut()
 
+    def _rough(self, mine: np.ndarray, vectors: np.ndarray, lines: np.ndarray) -> bool:
+        """Whether single precision can tell what need not be scored: every query has a floor and the numbers are not too large."""
+        if self.k is None or self.once or self.metric == "l2" or not len(lines) or not np.isfinite(self.floor[lines]).all():
+            return False
+        return max(np.abs(mine).max(initial=0.0), np.abs(vectors).max(initial=0.0)) < LARGEST
+
+    def _sift(self, ids, vectors, mine, lines, out_line, out_at, first: int) -> None:
+        """Add the items from place ``first``: tiles of single-precision scores show which pairs may reach a query's floor, these
+        are scored in full. What the rough score may be off by is a bound on the rounding of its inputs and of its sum."""
+        dim = max(1, vectors.shape[1])
+        q, v = mine.astype(np.float32), vectors.astype(np.float32)
+        off = (dim + 4) * 2.0**-23 * np.sqrt((mine * mine).sum(axis=1)) * math.sqrt((vectors * vectors).sum(axis=1).max(initial=0.0))
+        hidden = np.sort(out_line * len(ids) + out_at)
+        low = self._lowest(lines, off)
+        rough, above = np.empty(TILE * WIDTH, np.float32), np.empty(TILE * WIDTH, bool)
+        for a in range(first, len(ids), WIDTH):
+            part = v[a : a + WIDTH].T
+            some = []
+            for b in range(0, len(lines), TILE):
+                block = q[b : b + TILE]
+                shape = len(block), part.shape[1]
+                scores, mask = (x[: shape[0] * shape[1]].reshape(shape) for x in (rough, above))
+                np.matmul(block, part, out=scores)
+                np.greater_equal(scores, low[b : b + TILE, None], out=mask)
+                at = _true(mask.ravel())
+                if len(at):
+                    some.append((at // shape[1] + b) * len(ids) + (at % shape[1] + a))
+            if not some:
+                continue
+            pair = np.concatenate(some)
+            if len(hidden):
+                pair = pair[hidden[np.minimum(np.searchsorted(hidden, pair), len(hidden) - 1)] != pair]
+            line, col = pair // len(ids), pair % len(ids)
+            values = np.concatenate([np.zeros(0), *[(mine[line[n : n + FEW]] * vectors[col[n : n + FEW]]).sum(axis=1) for n in range(0, len(line), FEW)]])
+            kept = values >= self.floor[lines[line]] - 10.0**-self.digits
+            self.found.append((lines[line[kept]], ids[col[kept]], np.round(values[kept], self.digits)))
+            self.size += int(kept.sum())
+            if self.size > 2 * self.k * len(self.ids):
+                self.lift()
+                low = self._lowest(lines, off)
+
+    def _lowest(self, lines: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The single-precision score from which on a pair may reach the floor."""
+        return np.nextafter((self.floor[lines] - 10.0**-self.digits - off).astype(np.float32), np.float32(-np.inf))
+
+    def lift(self) -> None:
+        """Raise the floors to about the k-th scores and drop what is below: line and score, rounded down to single precision, are
+        one number, whose sort costs a fraction of a full one."""
+        line, item, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        near = score.astype(np.float32)
+        near = np.where(near > score, np.nextafter(near, np.float32(-np.inf)), near)
+        bits = near.view(np.int32).astype(np.int64)
+        falling = np.where(bits < 0, bits & 0x7FFFFFFF, 0x7FFFFFFF - bits) + (bits < 0) * (1 << 31)  # larger scores first
+        key = np.sort((line.astype(np.int64) << 32) | falling)
+        opens = np.searchsorted(key >> 32, np.arange(len(self.ids)))
+        full = np.flatnonzero(np.bincount(line, minlength=len(self.ids)) >= self.k)
+        last = key[opens[full] + self.k - 1] & 0xFFFFFFFF
+        bits = np.where(last >= 1 << 31, (last - (1 << 31)) | (1 << 31), 0x7FFFFFFF - last)
+        floor = bits.astype(np.uint32).view(np.float32).astype(float)
+        self.floor[full] = np.maximum(self.floor[full], floor)
+        kept = score >= self.floor[line]
+        line, item, score = line[kept], item[kept], score[kept]
+        self.found, self.size = [(line, item, score)], len(line)
+        if self.size > 2 * self.k * len(self.ids):  # many equal scores
+            self.cut()
+
     def cut(self) -> None:
         line, item, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
         if self.once:
@@ -220,8 +299,9 @@ class _Lists:
     def ranked(self) -> pa.RecordBatch:
         """The k best of every query that has seen all items, with their rank; rows of one query share its list."""
         query, item, score = (x.to_numpy() for x in self.rows().columns)
-        order = np.lexsort((item, -score, query))
-        query, item, score = query[order], item[order], score[order]
+        if (self.ids[1:] == self.ids[:-1]).any():
+            order = np.lexsort((item, -score, query))
+            query, item, score = query[order], item[order], score[order]
         rank = np.arange(len(query)) - np.searchsorted(query, query, "left")
         kept = rank < self.k
         arrays = [pa.array(x[kept]) for x in (query, item, score, (rank + 1).astype(np.int32))]

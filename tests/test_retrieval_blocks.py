@@ -111,3 +111,48 @@ def test_a_query_sends_its_list_once(spark, points, monkeypatch):
     for q in range(30):
         items = np.repeat(best[q], 2)[:4] if q in twice else best[q][:4]
         assert got[q] == [(i, n + 1) for n, i in enumerate(items)]
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine"])
+@pytest.mark.parametrize("kind", ["near", "whole", "large", "tiny"])
+def test_rough_scores_lose_no_neighbour(monkeypatch, metric, kind):
+    """Scores that single precision cannot tell apart, equal ones, and hidden pairs; the rough ones show what is scored in full."""
+    rng = np.random.default_rng(11)
+    q, v = rng.normal(size=(30, 6)), rng.normal(size=(900, 6))
+    if kind == "near":
+        v = v[:3][rng.integers(0, 3, 900)] + rng.normal(size=(900, 6)) * 1e-8
+    elif kind == "whole":
+        q, v = rng.integers(-2, 3, (30, 6)).astype(float), rng.integers(-2, 3, (900, 6)).astype(float)
+    elif kind == "large":
+        v[::50] *= 1e9
+    else:
+        q, v = q * 1e-3, v * 1e-5
+    for name, value in (("SCORES", 30 * 20), ("TILE", 8), ("WIDTH", 50), ("FEW", 16)):
+        monkeypatch.setattr(rt, name, value)
+    sifted, sift, lifted, lift = [], rt._Lists._sift, [], rt._Lists.lift
+    monkeypatch.setattr(rt._Lists, "_sift", lambda self, *a: sifted.append(1) or sift(self, *a))
+    monkeypatch.setattr(rt._Lists, "lift", lambda self: lifted.append(1) or lift(self))
+    ids = np.arange(900) * 3
+    line, known = np.repeat(np.arange(30), 5), rng.choice(ids, 150)
+    lists = rt._Lists(np.arange(30), q, line, known, 7, metric, 9, False)
+    for a in range(0, 900, 300):
+        lists.add(ids[a : a + 300], v[a : a + 300])
+    got = [(x["query"], x["item"], x["rank"]) for x in lists.ranked().to_pylist()]
+    full = np.round(rt._scores(q, v, metric), 9)
+    full[line, known // 3] = -np.inf
+    want = [(u, ids[i], n + 1) for u in range(30) for n, i in enumerate(np.lexsort((ids, -full[u]))[:7])]
+    assert len(sifted) == 3 and (lifted or kind == "large") and got == want
+
+
+def test_floors_of_lifted_lists_are_bounds():
+    rng = np.random.default_rng(2)
+    lists = rt._Lists(np.arange(4), rng.normal(size=(4, 2)), np.array([], int), np.array([], int), 3, "ip", 9, False)
+    line = np.r_[np.zeros(40, int), np.ones(40, int), np.full(2, 2)]
+    score = np.r_[rng.normal(size=40), -rng.random(40) * 1e-7, 1.0, -1.0]
+    lists.found = [(line, np.arange(82), score)]
+    lists.size = 82
+    lists.lift()
+    third = [np.sort(score[line == n])[-3] for n in (0, 1)]
+    assert (lists.floor[:2] <= third).all() and np.allclose(lists.floor[:2], third, rtol=1e-6) and np.isinf(lists.floor[2:]).all()
+    kept = lists.found[0]
+    assert [(kept[0] == n).sum() for n in range(4)] == [3, 3, 2, 0]
