@@ -648,11 +648,15 @@ def minhash_neighbours(
     signed = pairs.groupBy("id").agg(
         F.array(*[F.min(F.xxhash64("_t", F.lit(seed * 1000 + n))) for n in range(hashes)]).alias("vector")
     )
+    signed = materialize(signed, "signatures")
     bands, rows = (bands, hashes // bands) if threshold is None else band_shape(hashes, threshold)
-    keys = [
-        F.concat(F.lit(f"{b}:"), F.md5(F.concat_ws(",", F.slice("vector", b * rows + 1, rows).cast("array<string>"))))
-        for b in range(bands)
-    ]
-    placed = materialize(signed.select("id", "vector", F.explode(F.array(*keys)).alias("bucket")), "bands")
+    part = lambda b: F.slice("vector", b * rows + 1, rows)
+    keys = [F.concat(F.lit(f"{b}:"), F.md5(F.concat_ws(",", part(b).cast("array<string>")))) for b in range(bands)]
+    # a signature travels only for the bands that another user may share, told by a number per band
+    numbers = F.array(*[F.xxhash64(part(b), F.lit(b)) for b in range(bands)])
+    numbered = signed.select(F.col("id").alias("_id"), F.posexplode(numbers).alias("_b", "_h"))
+    shared = numbered.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h")
+    needed = numbered.join(materialize(shared, "shared-bands"), "_h", "left_semi").groupBy("_id").agg(F.collect_list("_b").alias("_bands"))
+    some = signed.join(needed, F.col("id").eqNullSafe(F.col("_id"))).select("id", "vector", F.transform("_bands", lambda b: F.element_at(F.array(*keys), b + 1)).alias("_keys"))
+    placed = materialize(some.select("id", "vector", F.explode("_keys").alias("bucket")), "bands")
     return _bucketed(placed, placed, k, "match", 9, True)
-

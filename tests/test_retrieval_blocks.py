@@ -156,3 +156,13 @@ def test_floors_of_lifted_lists_are_bounds():
     assert (lists.floor[:2] <= third).all() and np.allclose(lists.floor[:2], third, rtol=1e-6) and np.isinf(lists.floor[2:]).all()
     kept = lists.found[0]
     assert [(kept[0] == n).sum() for n in range(4)] == [3, 3, 2, 0]
+
+
+def test_a_signature_travels_only_for_shared_bands(spark, monkeypatch):
+    written, write = {}, rt.materialize
+    monkeypatch.setattr(rt, "materialize", lambda df, name="stage": written.setdefault(name, write(df, name)))
+    rows = [(u, t) for u in (1, 2) for t in range(30)] + [(None, t) for t in range(30)] + [(u, 1000 * u + t) for u in range(3, 12) for t in range(30)]
+    found = rt.minhash_neighbours(spark.createDataFrame(rows, "user long, track long"), 3, 12, 6)
+    assert {(1, 2, 1.0), (2, 1, 1.0)} <= {(r["query"], r["item"], r["score"]) for r in found.collect()}
+    assert written["signatures"].count() == 12
+    assert written["bands"].groupBy("id").count().count() == 3 and written["bands"].count() == 3 * 6
