@@ -98,3 +98,59 @@ def test_a_merge_sorts_only_what_can_be_listed():
     assert sorted(zip(line, column, score, strict=True)) == [(0, 2, 0.8), (0, 5, 0.9), (0, 7, 0.5), (0, 8, 0.5), (1, 8, -1.0), (2, 1, 0.1), (2, 3, 0.7)]
     line, column, score = st._hopeful([tuple(a[:2] for a in parts[0]), part([0, 0], [9, 3], [0.4, 0.3])], 2)
     assert sorted(column) == [5, 7]
+
+
+@pytest.mark.parametrize("size", [1_000_000, 30])
+def test_best_pairs_leave_a_task(spark, monkeypatch, size):
+    """At least the k largest of every column, far fewer than all pairs, in a plan without an exchange."""
+    monkeypatch.setattr(nb, "CHUNK", size)
+    _, rows = table(4, 60, 40)
+    df = spark.createDataFrame([*rows, (None, 105, 0.4), (20, None, 0.4), (30, 107, None)], SCHEMA)
+    every = nb.item_weights(df)
+    best = nb.item_weights(df, best=3)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    want = sorted(map(tuple, nb.similar_items(every, 3).collect()), key=str)
+    got = sorted(map(tuple, nb.similar_items(best, 3).collect()), key=str)
+    assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want], nan_ok=True)
+    assert 3 * best.count() < every.count()
+
+
+def test_equal_pairs_go_out_rather_than_pile_up(monkeypatch):
+    monkeypatch.setattr(st, "LISTED", 10)
+    kept, out = st._Kept(2, 2), 0
+    for n in range(50):
+        full = kept.add(np.array([0, 0, 1]), np.array([2 * n, 2 * n + 1, n]), "w", {"w": np.array([0.5, 0.5, n / 50])})
+        out += 0 if full is None else len(full[0])
+        assert kept.size <= 16 + 3
+    assert out >= 100 - 19 and kept.floor[0] < 0.5
+
+
+def test_pairs_of_wanted_items_only(spark, monkeypatch):
+    monkeypatch.setattr(nb, "CHUNK", 40)
+    _, rows = table(6)
+    df = spark.createDataFrame(rows, SCHEMA)
+    every = {(r["i"], r["j"]): r["npmi"] for r in nb.npmi(df).collect()}
+    wanted = spark.createDataFrame([(100,), (103,), (999,), (None,), (103,)], "track long")
+    got = {(r["i"], r["j"]): r["npmi"] for r in nb.npmi(df, of=wanted).collect()}
+    assert got == {k: pytest.approx(v) for k, v in every.items() if k[0] in (100, 103)} and got
+
+
+def test_strips_are_packed_in_one_exchange(spark, monkeypatch):
+    plans, write = [], st.materialize
+    monkeypatch.setattr(st, "materialize", lambda df, name="stage": plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    cells = spark.createDataFrame([(n % 3, n % 5, n, n / 2) for n in range(40, 0, -1)], "s int, r long, c long, x double")
+    out = st.packed(cells, "s", 3, "r", "c", {"r": "<i8", "c": "<i4", "x": "<f8"}).collect()
+    assert [p.count("Exchange") for _, p in plans] == [1] and sorted(r["s"] for r in out) == [0, 1, 2]
+    for line in out:
+        r, c, x = st.i8(line["r"]), st.i4(line["c"]), st.f8(line["x"])
+        assert [*zip(r, c, strict=True)] == sorted((n % 5, n) for n in range(1, 41) if n % 3 == line["s"]) and (x == c / 2).all()
+
+
+def test_floors_are_bounds_of_the_kth_score():
+    from tastemill.operators.tiles import floors
+
+    score = np.array([3.0, -1.0, 2.0, 1e300, -1e300, 0.1, np.nan, 5.0, -0.0, 0.0])
+    line = np.array([0, 0, 0, 1, 1, 2, 2, 2, 4, 4])
+    got = floors(line, score, 2, 5)
+    assert got[0] == 2.0 and got[1] == -np.inf and 0.0999 < got[2] <= 0.1 and got[3] == -np.inf and got[4] <= 0.0
