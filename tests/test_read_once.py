@@ -91,3 +91,20 @@ def test_blocks_of_a_fit_follow_the_ratings(spark, monkeypatch):
     model = fa.fit_als(df, rank=2, max_iter=1)
     assert (given[0]["numUserBlocks"], given[0]["numItemBlocks"]) == (12, 12)
     assert (model.model.userFactors.count(), model.model.itemFactors.count()) == (20, 6)
+
+
+def test_profiles_read_written_ratings(spark, monkeypatch):
+    """The mean, both biases and the profiles each ran the join of orders and lines and its aggregate."""
+    from tastemill.plans import q_serving
+
+    rows = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.25), (2, 10, 1.0)], "user long, track long, time double")
+    vec = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0])], "id long, vector array<double>")
+    given, baseline, means = [], fa.bias_baseline, q_serving.rt.mean_vectors
+    monkeypatch.setattr(q_serving, "rated", lambda *a: rows)
+    monkeypatch.setattr(q_serving, "vectors", lambda *a: vec)
+    monkeypatch.setattr(fa, "bias_baseline", lambda df, *a, **k: given.append(df) or baseline(df, *a, **k))
+    monkeypatch.setattr(q_serving.rt, "mean_vectors", lambda df, *a, **k: given.append(df) or means(df, *a, **k))
+    users, items = q_serving.profile_factors(spark, "unused")
+    assert len(given) == 2 and all("profile-ratings" in "".join(df.inputFiles()) for df in given)
+    assert {r["id"]: r["vector"] for r in users.collect()} == {1: [0.5, 0.5], 2: [1.0, 0.0]}
+    assert items.count() == 2
